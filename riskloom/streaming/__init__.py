@@ -1,0 +1,6 @@
+"""No streaming operators.
+
+The reference is batch only.  The builders in ``riskloom.functions`` are
+stateless Column expressions, so they can be applied to a streaming frame
+unchanged; nothing else is offered here.
+"""
