@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed value: the characters a Unicode-aware split() treats as white space.
 SPACE = r"[\x09-\x0d\x1c-\x20\x85\p{Z}]"
@@ -61,7 +62,7 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longer > 0, 1.0 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([
         None if x is None or y is None else SequenceMatcher(None, x, y).ratio()

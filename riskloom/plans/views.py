@@ -81,6 +81,17 @@ class Views:
                         F.concat(F.lit("The total is $"), money.cast("string"), unit).alias("response"),
                         truth.alias("truth"), F.col("o_orderpriority").alias("domain"))
 
+    @cached_property
+    def options(self) -> DataFrame:
+        """The prompts with option literals, option index and sometimes documents."""
+        word = lambda i: F.element_at(F.split("ground_truth", " "), i)
+        literal = F.concat(F.lit("{'1': '"), word(1), F.lit("', '0': \""), word(2),
+                           F.lit("\", '2': 'none', 'correct answer': '"), word(1), F.lit("'}"))
+        docs = (F.when(F.col("conv_id") % 3 == 0, F.lit(None)).when(F.col("conv_id") % 3 == 1, F.lit("  "))
+                .otherwise(F.col("ground_truth")))
+        return self.prompts.select("*", literal.alias("options"),
+                                   (F.col("conv_id") % 4).cast("int").alias("correct_index"), docs.alias("documents"))
+
     # --- vectors ------------------------------------------------------------
     @cached_property
     def vectors(self) -> DataFrame:
@@ -200,36 +211,40 @@ class Views:
                 .groupBy("text_normalized").agg(F.min("label").alias("label")))
 
     # --- nested corpus ------------------------------------------------------
+    CHUNK = 20
+
     @cached_property
-    def nested(self) -> DataFrame:
-        """One document per customer: a table of cells, paragraphs, questions.
+    def order_places(self) -> DataFrame:
+        """Orders with the document they belong to and their place in it.
 
-        Orders stand in for table rows and questions, so a busy customer gives a
-        long document; the arrays are the input's own nesting.
+        A document holds at most ``CHUNK`` orders of one customer, so no customer,
+        however busy, becomes one row.
         """
-        o = self.table("orders")
-        cell = lambda c: F.col(c).cast("string")
-        row = F.struct("o_orderkey", F.array(
-            cell("o_orderkey"), F.col("o_orderstatus"), F.col("o_orderpriority")).alias("cells"))
-        para = F.struct((F.col("o_orderkey") % 3).cast("int").alias("order"), F.col("o_orderkey").alias("key"),
-                        F.concat(F.lit("Order "), cell("o_orderkey"), F.lit(" is "), F.col("o_orderstatus")).alias("text"))
-        ask = F.struct(F.col("o_orderkey").alias("key"),
-                       F.concat(F.lit("Status of "), cell("o_orderkey"), F.lit("?")).alias("question"),
+        o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
+        ranked = positions(o, ["o_custkey"], F.floor(F.col("o_orderkey") / 4096), [F.col("o_orderkey")], "place")
+        return ranked.withColumn("doc", F.concat(
+            F.lit("c"), F.col("o_custkey"), F.lit("_"), F.floor(F.col("place") / self.CHUNK)))
+
+    @cached_property
+    def nested(self) -> DataFrame:
+        """One row per document: a table of cells, paragraphs and questions."""
+        cell = F.col("o_orderkey").cast("string")
+        row = F.struct("o_orderkey", F.array(cell, "o_orderstatus", "o_orderpriority").alias("cells"))
+        para = F.struct("o_orderkey", (F.col("o_orderkey") % 3).cast("int").alias("order"),
+                        F.concat(F.lit("Order "), cell, F.lit(" is "), F.col("o_orderstatus")).alias("text"))
+        ask = F.struct("o_orderkey", F.concat(F.lit("Status of "), cell, F.lit("?")).alias("question"),
                        F.col("o_orderstatus").alias("answer"),
                        F.when(F.col("o_orderkey") % 2 == 0, "span").otherwise("arithmetic").alias("answer_type"))
-        per = o.groupBy("o_custkey").agg(F.array_sort(F.collect_list(row)).alias("rows"),
-                                         F.array_sort(F.collect_list(ask)).alias("asks"),
-                                         F.sort_array(F.collect_list(F.struct(
-                                             F.col("o_orderkey").alias("k"), para.alias("p")))).alias("paras"))
+        per = self.order_places.groupBy("doc").agg(
+            F.sort_array(F.collect_list(row)).alias("rows"), F.sort_array(F.collect_list(para)).alias("paras"),
+            F.sort_array(F.collect_list(ask)).alias("asks"))
         return per.select(
-            F.col("o_custkey").alias("doc"),
-            F.struct(F.concat(F.lit("t"), F.col("o_custkey")).alias("uid"),
+            "doc",
+            F.struct(F.concat(F.lit("t_"), F.col("doc")).alias("uid"),
                      F.transform("rows", lambda r: r["cells"]).alias("table")).alias("table"),
-            F.transform("paras", lambda p: F.struct(p["p"]["order"].alias("order"),
-                                                    p["p"]["text"].alias("text"))).alias("paragraphs"),
-            F.transform("asks", lambda a: F.struct(a["question"].alias("question"),
-                                                   a["answer"].alias("answer"),
-                                                   a["answer_type"].alias("answer_type"))).alias("questions"))
+            F.transform("paras", lambda x: F.struct(x["order"].alias("order"), x["text"].alias("text"))).alias("paragraphs"),
+            F.transform("asks", lambda x: F.struct(x["question"].alias("question"), x["answer"].alias("answer"),
+                                                   x["answer_type"].alias("answer_type"))).alias("questions"))
 
 
 _DOMAIN_LIST = "['Medicine','Math','Finance','IS','Psychology']"
@@ -279,6 +294,27 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "v_sample_vectors": (("v_samples",), """
         SELECT s.prompt_id, s.sample_id, e.vec_id, e.embedding AS vector FROM v_samples s
         JOIN embeddings e ON e.vec_id = (s.conv_id * 3 + s.sample_id // 2) % (SELECT count(*) FROM embeddings)"""),
+    "v_places": ((), """
+        SELECT *, 'c' || o_custkey || '_' || (place // 20) AS doc, o_orderkey % 3 AS para_order FROM (
+          SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority,
+            row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 AS place FROM orders)"""),
+    "v_docs": (("v_places",), """
+        SELECT doc,
+          string_agg('Order ' || o_orderkey || ' is ' || o_orderstatus, chr(10) || chr(10) ORDER BY para_order, o_orderkey) AS para_text,
+          string_agg(o_orderkey || ' | ' || o_orderstatus || ' | ' || o_orderpriority, chr(10) ORDER BY o_orderkey) AS table_text
+        FROM v_places GROUP BY doc"""),
+    "v_questions": (("v_places", "v_docs"), """
+        SELECT p.doc || '_q' || (row_number() OVER (PARTITION BY p.doc ORDER BY o_orderkey) - 1) AS id,
+          'Status of ' || o_orderkey || '?' AS question, o_orderstatus AS answer,
+          para_text || chr(10) || chr(10) || 'TABLE:' || chr(10) || table_text AS context, 't_' || p.doc AS table_uid,
+          CASE WHEN o_orderkey % 2 = 0 THEN 'span' ELSE 'arithmetic' END AS answer_type
+        FROM v_places p JOIN v_docs d ON d.doc = p.doc"""),
+    "v_options": (("v_prompts",), """
+        SELECT *, replace('{~1~: ~' || string_split(ground_truth, ' ')[1] || '~, ~0~: "' || string_split(ground_truth, ' ')[2]
+          || '", ~2~: ~none~, ~correct answer~: ~' || string_split(ground_truth, ' ')[1] || '~}', '~', chr(39)) AS options,
+          CAST(conv_id % 4 AS INTEGER) AS correct_index,
+          CASE WHEN conv_id % 3 = 0 THEN NULL WHEN conv_id % 3 = 1 THEN '  ' ELSE ground_truth END AS documents
+        FROM v_prompts"""),
     "v_scored": ((), """
         SELECT 'length' AS model, d.lang AS domain, d.doc_id AS id, 1 - l.quality AS y,
                round(d.n_chars / (d.n_chars + 1500.0), 4) AS p,
