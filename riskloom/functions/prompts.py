@@ -43,7 +43,7 @@ def plain_prompt(question: Column, domain: Column, style: str = "simple") -> Col
 def parse_options(literal: Column) -> Column:
     """Quoted key/value text, single or double quotes, to ``map<string,string>``."""
     return F.from_json(literal, "map<string,string>", {
-        "allowSingleQuotes": "true", "allowUnescapedControlChars": "true",
+        "allowSingleQuotes": "true", "allowUnquotedControlChars": "true",
         "allowBackslashEscapingAnyCharacter": "true"})
 
 

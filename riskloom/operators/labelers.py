@@ -1,13 +1,15 @@
-"""Label rules per domain.
+"""Label rules per domain; ``1`` means the response is wrong.
 
-Each rule is one Column that yields a ``LABEL`` struct; ``1`` means the response
-is wrong.  A single ``when`` over the domain labels every domain in one pass.
+A rule first states facts (numbers read, overlaps, similarities) in stages, each
+stage a projection over the one before, and then a label over those facts.
+Facts are computed once per row however often the label refers to them, and all
+domains share the same few projections.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,13 +45,52 @@ class LabelInputs:
     response_vector: Column | None = None
     truth_vector: Column | None = None
     similarity: str = "matcher"
+    # None compares whole texts; 1000 gives the published shortcut for grounded answers
+    compare_chars: int | None = None
 
 
-def label(**given: Column) -> Column:
-    """A full label struct, NULL where a rule says nothing."""
-    return F.struct(*[
-        given.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in LABEL_FIELDS.items()
-    ])
+class Facts:
+    """Columns of earlier stages by name."""
+
+    def __init__(self, prefix: str):
+        self._prefix = prefix
+
+    def __getattr__(self, name: str) -> Column:
+        return F.col(f"{self._prefix}{name}")
+
+
+Stage = Callable[["LabelInputs", Facts], dict[str, Column]]
+
+
+Branch = tuple[Column | None, dict[str, Column]]
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Stages of facts, then branches ``(condition, fields)``; the first that holds decides."""
+
+    stages: tuple[Stage, ...]
+    branches: Callable[["LabelInputs", Facts], list[Branch]]
+
+
+def label(**given: Column) -> dict[str, Column]:
+    unknown = set(given) - set(LABEL_FIELDS)
+    if unknown:
+        raise ValueError(f"unknown label fields {sorted(unknown)}")
+    return given
+
+
+def _decide(branches: list[Branch], name: str) -> Column:
+    """One field over all branches.
+
+    Each field has its own CASE, so a query that uses or filters on one field
+    drags along only what that field depends on.
+    """
+    out = F.lit(None).cast(LABEL_FIELDS[name])
+    for condition, given in reversed(branches):
+        value = given.get(name, F.lit(None)).cast(LABEL_FIELDS[name])
+        out = value if condition is None else F.when(condition, value).otherwise(out)
+    return out
 
 
 def _flag(faithful: Column) -> Column:
@@ -60,145 +101,166 @@ def _missing(c: Column) -> Column:
     return c.isNull() | (c == "")
 
 
-def null_truth(method: str = "null_ground_truth") -> Column:
+def null_truth(method: str = "null_ground_truth") -> dict[str, Column]:
     what = "documents or ground truth" if method == "null_reference" else "ground truth"
     return label(hallucination_label=F.lit(1), confidence=F.lit(0.0), method=F.lit(method),
                  note=F.lit(f"No {what} available for comparison"))
 
 
-def math_label(c: LabelInputs) -> Column:
-    got, want = last_number(c.response), last_number(c.truth)
-    gap = F.abs(got - want)
-    unread = label(hallucination_label=F.lit(1), confidence=F.lit(0.5), extracted_response=got,
-                   extracted_truth=want, method=F.lit("numerical_extraction"))
+# --- math ---------------------------------------------------------------------
+
+def _numbers(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    return {"got": last_number(c.response), "want": last_number(c.truth)}
+
+
+def _math_label(c: LabelInputs, f: Facts) -> list[Branch]:
+    gap = F.abs(f.got - f.want)
+    unread = label(hallucination_label=F.lit(1), confidence=F.lit(0.5), extracted_response=f.got,
+                   extracted_truth=f.want, method=F.lit("numerical_extraction"))
     compared = label(hallucination_label=_flag(gap < cfg.MATH_TOLERANCE), confidence=F.lit(1.0),
-                     extracted_response=got, extracted_truth=want, difference=gap,
+                     extracted_response=f.got, extracted_truth=f.want, difference=gap,
                      method=F.lit("exact_numerical_match"))
-    return (F.when(_missing(c.truth), null_truth())
-            .when(got.isNull() | want.isNull(), unread).otherwise(compared))
+    return [(_missing(c.truth), null_truth()), (f.got.isNull() | f.want.isNull(), unread), (None, compared)]
 
 
-def finance_values(c: LabelInputs) -> dict[str, Column]:
-    """Both values in base units, and whether the truth is a numeric answer."""
-    response_unit, stated = unit_of(c.response), unit_of(c.truth)
+MATH = Rule((_numbers,), _math_label)
+
+
+# --- finance ------------------------------------------------------------------
+
+def _units(c: LabelInputs, f: Facts) -> dict[str, Column]:
     asked = prompt_unit(c.prompt) if c.prompt is not None else F.lit(None).cast("string")
-    inferred = stated.isNull() & last_number(c.truth).isNotNull()
     low = F.lower(c.truth)
-    qualitative = (F.length(c.truth) > cfg.QUALITATIVE_LENGTH) | F.contains(c.truth, F.lit("\n"))
+    wordy = (F.length(c.truth) > cfg.QUALITATIVE_LENGTH) | F.contains(c.truth, F.lit("\n"))
     for mark in cfg.QUALITATIVE_MARKS:
-        qualitative = qualitative | F.contains(low, F.lit(mark))
+        wordy = wordy | F.contains(low, F.lit(mark))
+    return {**_numbers(c, f), "response_unit": unit_of(c.response), "stated": unit_of(c.truth),
+            "asked": asked, "wordy": wordy}
+
+
+def _values(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    """Both values in base units; a truth without a unit takes the one the question asks for."""
+    inferred = f.stated.isNull() & f.want.isNotNull()
     return {
-        "response": last_number(c.response) * multiplier(response_unit),
-        "truth": last_number(c.truth) * multiplier(F.when(inferred, asked).otherwise(stated)),
-        "response_unit": response_unit,
-        "truth_unit": F.when(inferred, F.concat(asked, F.lit(" (inferred)"))).otherwise(stated),
-        "qualitative": qualitative,
+        "got_value": f.got * multiplier(f.response_unit),
+        "want_value": f.want * multiplier(F.coalesce(f.stated, F.when(inferred, f.asked))),
+        "truth_unit": F.when(inferred, F.concat(f.asked, F.lit(" (inferred)"))).otherwise(f.stated),
+        "numeric": f.got.isNotNull() & f.want.isNotNull() & ~F.coalesce(f.wordy, F.lit(True)),
+        "ta": tx.without(tx.terms(c.response), cfg.FINANCE_STOPWORDS),
+        "tb": tx.without(tx.terms(c.truth), cfg.FINANCE_STOPWORDS),
     }
 
 
-def _numeric_answer(v: dict[str, Column]) -> Column:
-    return v["response"].isNotNull() & v["truth"].isNotNull() & ~v["qualitative"]
-
-
-def finance_numeric_label(c: LabelInputs, tolerance: float = cfg.FINANCE_TOLERANCE) -> Column:
-    v = finance_values(c)
-    allowed = F.when(v["truth"] == 0, F.lit(1e-6)).otherwise(F.abs(v["truth"] * tolerance))
-    gap = F.abs(v["response"] - v["truth"])
-    return label(hallucination_label=_flag(gap <= allowed), confidence=F.lit(1.0),
-                 extracted_response=v["response"], extracted_truth=v["truth"],
-                 response_unit=v["response_unit"], truth_unit=v["truth_unit"],
-                 tolerance_used=allowed, difference=gap,
-                 method=F.lit("numerical_tolerance_unit_aware"))
-
-
-def finance_text_label(c: LabelInputs, needed: Column | None = None) -> Column:
-    """Similarity and term overlap; ``needed`` limits which rows pay for the comparison."""
-    a, b = F.lower(c.response), F.lower(c.truth)
-    if needed is not None:
-        a, b = F.when(needed, a), F.when(needed, b)
-    like = tx.similarity(c.similarity, a, b)
-    shared = tx.overlap(tx.without(tx.terms(c.response), cfg.FINANCE_STOPWORDS),
-                        tx.without(tx.terms(c.truth), cfg.FINANCE_STOPWORDS))
-    score = like * 0.6 + shared * 0.4
-    return label(hallucination_label=_flag(score >= cfg.FINANCE_TEXT_THRESHOLD),
-                 confidence=F.lit(0.7), similarity_score=like, term_overlap=shared,
-                 combined_score=score, method=F.lit("text_similarity_with_term_overlap"))
-
-
-def finance_label(c: LabelInputs, tolerance: float = cfg.FINANCE_TOLERANCE) -> Column:
-    numeric = F.coalesce(_numeric_answer(finance_values(c)), F.lit(False))
-    needed = ~_missing(c.truth) & ~numeric
-    return (F.when(_missing(c.truth), null_truth())
-            .when(numeric, finance_numeric_label(c, tolerance))
-            .otherwise(finance_text_label(c, needed)))
-
-
-def mcq_label(c: LabelInputs, strict: bool = False) -> Column:
-    letter = option_letter(c.response, strict)
-    index = option_index(letter)
-    unread = label(hallucination_label=F.lit(1), confidence=F.lit(0.5),
-                   method=F.lit("mcq_parse_failure"),
-                   note=F.lit("Could not parse option letter from response"),
-                   response_preview=F.substring(c.response, 1, 100))
-    read = label(hallucination_label=_flag(index == c.correct_index), confidence=F.lit(1.0),
-                 selected_option=letter, selected_index=index, correct_index=c.correct_index,
-                 method=F.lit("mcq_exact_match"))
-    return F.when(letter.isNull(), unread).otherwise(read)
-
-
-def medical_text_label(c: LabelInputs, needed: Column | None = None) -> Column:
-    low_a, low_b = F.lower(c.response), F.lower(c.truth)
-    clean_a, clean_b = tx.strip_symbols(low_a), tx.strip_symbols(low_b)
-    n_words = F.size(tx.words(clean_b))
-    contained = F.contains(clean_a, tx.strip(clean_b)) & (n_words <= cfg.MEDICAL_MAX_CONTAINED_WORDS)
-    want = ~contained if needed is None else needed & ~contained
-    like = tx.similarity(c.similarity, F.when(want, low_a), F.when(want, low_b))
-    shared = tx.overlap(F.array_distinct(tx.words(clean_a)), F.array_distinct(tx.words(clean_b)))
-    score = (like + shared) / 2
+def _finance_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    """Only answers that are not numeric pay for the comparison."""
+    worded = ~_missing(c.truth) & ~f.numeric
+    return {
+        "like": tx.similarity(c.similarity, F.when(worded, F.lower(c.response)), F.when(worded, F.lower(c.truth))),
+        "shared": tx.overlap(f.ta, f.tb),
+    }
+
+
+def _finance_label(c: LabelInputs, f: Facts, tolerance: float = cfg.FINANCE_TOLERANCE) -> list[Branch]:
+    allowed = F.when(f.want_value == 0, F.lit(1e-6)).otherwise(F.abs(f.want_value * tolerance))
+    gap = F.abs(f.got_value - f.want_value)
+    numeric = label(hallucination_label=_flag(gap <= allowed), confidence=F.lit(1.0),
+                    extracted_response=f.got_value, extracted_truth=f.want_value,
+                    response_unit=f.response_unit, truth_unit=f.truth_unit,
+                    tolerance_used=allowed, difference=gap,
+                    method=F.lit("numerical_tolerance_unit_aware"))
+    score = f.like * 0.6 + f.shared * 0.4
+    worded = label(hallucination_label=_flag(score >= cfg.FINANCE_TEXT_THRESHOLD),
+                   confidence=F.lit(0.7), similarity_score=f.like, term_overlap=f.shared,
+                   combined_score=score, method=F.lit("text_similarity_with_term_overlap"))
+    return [(_missing(c.truth), null_truth()), (f.numeric, numeric), (None, worded)]
+
+
+FINANCE = Rule((_units, _values, _finance_scores), _finance_label)
+
+
+def finance_rule(tolerance: float) -> Rule:
+    return Rule(FINANCE.stages, lambda c, f: _finance_label(c, f, tolerance))
+
+
+# --- medicine -----------------------------------------------------------------
+
+def _medical_texts(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    choice = c.correct_index.isNotNull() if c.correct_index is not None else F.lit(False)
+    return {"choice": choice, "letter": F.when(choice, option_letter(c.response)),
+            "ca": F.when(~choice, tx.strip_symbols(F.lower(c.response))),
+            "cb": F.when(~choice, tx.strip_symbols(F.lower(c.truth)))}
+
+
+def _medical_words(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    return {"wa": F.array_distinct(tx.words(f.ca)), "wb": tx.words(f.cb),
+            "inside": F.contains(f.ca, tx.strip(f.cb))}
+
+
+def _medical_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    found = f.inside & (F.size(f.wb) <= cfg.MEDICAL_MAX_CONTAINED_WORDS)
+    worded = ~_missing(c.truth) & ~f.choice & ~found
+    return {"found": found,
+            "like": tx.similarity(c.similarity, F.when(worded, F.lower(c.response)), F.when(worded, F.lower(c.truth))),
+            "shared": tx.overlap(f.wa, F.array_distinct(f.wb))}
+
+
+def _medical_label(c: LabelInputs, f: Facts) -> list[Branch]:
+    out: list[Branch] = [(_missing(c.truth), null_truth())]
+    if c.correct_index is not None:
+        index = option_index(f.letter)
+        unread = label(hallucination_label=F.lit(1), confidence=F.lit(0.5),
+                       method=F.lit("mcq_parse_failure"),
+                       note=F.lit("Could not parse option letter from response"),
+                       response_preview=F.substring(c.response, 1, 100))
+        read = label(hallucination_label=_flag(index == c.correct_index), confidence=F.lit(1.0),
+                     selected_option=f.letter, selected_index=index, correct_index=c.correct_index,
+                     method=F.lit("mcq_exact_match"))
+        out += [(f.choice & f.letter.isNull(), unread), (f.choice, read)]
+    score = (f.like + f.shared) / 2
     found = label(hallucination_label=F.lit(0), confidence=F.lit(0.9), gt_contained=F.lit(True),
-                  truth_word_count=n_words, method=F.lit("medical_containment_fallback"))
+                  truth_word_count=F.size(f.wb), method=F.lit("medical_containment_fallback"))
     scored = label(hallucination_label=_flag(score >= cfg.MEDICAL_TEXT_THRESHOLD),
-                   confidence=F.lit(0.7), similarity_score=like, term_overlap=shared,
+                   confidence=F.lit(0.7), similarity_score=f.like, term_overlap=f.shared,
                    combined_score=score, threshold_used=F.lit(cfg.MEDICAL_TEXT_THRESHOLD),
                    method=F.lit("medical_similarity_fallback"))
-    return F.when(contained, found).otherwise(scored)
+    return [*out, (f.found, found), (None, scored)]
 
 
-def medical_label(c: LabelInputs) -> Column:
-    known = c.correct_index.isNotNull() if c.correct_index is not None else F.lit(False)
-    out = F.when(_missing(c.truth), null_truth())
-    if c.correct_index is not None:
-        out = out.when(known, mcq_label(c))
-    return out.otherwise(medical_text_label(c, ~_missing(c.truth) & ~known))
+MEDICAL = Rule((_medical_texts, _medical_words, _medical_scores), _medical_label)
 
 
-def truth_flag_label(c: LabelInputs) -> Column:
-    return label(hallucination_label=_flag(c.truth.isin("1", "True", "true")),
-                 confidence=F.lit(1.0), method=F.lit("truthfulqa_label"))
+# --- psychology ---------------------------------------------------------------
 
+# Truths that are themselves a verdict.
+TRUE_FLAGS = ["1", "True", "true"]
+FALSE_FLAGS = ["0", "False", "false"]
 
-def semantic_label(c: LabelInputs) -> Column:
-    like = cosine(c.response_vector, c.truth_vector)
-    return label(hallucination_label=_flag(like >= cfg.SEMANTIC_THRESHOLD), confidence=F.lit(0.8),
-                 semantic_similarity=like, threshold_used=F.lit(cfg.SEMANTIC_THRESHOLD),
-                 method=F.lit("semantic_similarity"))
 
+def _psychology_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    """Cosine where both vectors exist, word overlap otherwise."""
+    like = F.lit(None).cast("double")
+    if c.response_vector is not None and c.truth_vector is not None:
+        like = cosine(c.response_vector, c.truth_vector)
+    return {"like": like, "ta": tx.terms(c.response), "tb": tx.terms(c.truth)}
 
-def word_overlap_label(c: LabelInputs) -> Column:
-    shared = tx.overlap(tx.terms(c.response), tx.terms(c.truth))
-    return label(hallucination_label=_flag(shared >= cfg.WORD_OVERLAP_THRESHOLD),
-                 confidence=F.lit(0.6), word_overlap=shared, method=F.lit("fallback_word_overlap"))
 
+def _psychology_label(c: LabelInputs, f: Facts) -> list[Branch]:
+    flagged = label(hallucination_label=_flag(c.truth.isin(*TRUE_FLAGS)), confidence=F.lit(1.0),
+                    method=F.lit("truthfulqa_label"))
+    semantic = label(hallucination_label=_flag(f.like >= cfg.SEMANTIC_THRESHOLD), confidence=F.lit(0.8),
+                     semantic_similarity=f.like, threshold_used=F.lit(cfg.SEMANTIC_THRESHOLD),
+                     method=F.lit("semantic_similarity"))
+    shared = tx.overlap(f.ta, f.tb)
+    worded = label(hallucination_label=_flag(shared >= cfg.WORD_OVERLAP_THRESHOLD), confidence=F.lit(0.6),
+                   word_overlap=shared, method=F.lit("fallback_word_overlap"))
+    return [(_missing(c.truth), null_truth()), (c.truth.isin(*TRUE_FLAGS, *FALSE_FLAGS), flagged),
+            (f.like.isNotNull(), semantic), (None, worded)]
 
-def psychology_label(c: LabelInputs) -> Column:
-    """Literal truth flags, then vectors where both exist, then word overlap."""
-    out = (F.when(_missing(c.truth), null_truth())
-           .when(c.truth.isin("0", "1", "True", "False", "true", "false"), truth_flag_label(c)))
-    if c.response_vector is not None and c.truth_vector is not None:
-        both = c.response_vector.isNotNull() & c.truth_vector.isNotNull()
-        out = out.when(both, semantic_label(c))
-    return out.otherwise(word_overlap_label(c))
 
+PSYCHOLOGY = Rule((_psychology_scores,), _psychology_label)
+
+
+# --- grounded answers ---------------------------------------------------------
 
 def clean_documents(documents: Column) -> Column:
     """Take off one pair of brackets and, inside it, one quote at each end."""
@@ -208,81 +270,106 @@ def clean_documents(documents: Column) -> Column:
     return F.when(listed, bare).otherwise(documents)
 
 
-def grounded_label(c: LabelInputs, needed: Column | None = None,
-                   compare_chars: int | None = None) -> Column:
-    """Response against documents, or against the truth where there are none.
-
-    Whole texts are compared; ``compare_chars=1000`` gives the published shortcut
-    for the character similarity.
-    """
+def _grounded_texts(c: LabelInputs, f: Facts) -> dict[str, Column]:
     docs = c.documents if c.documents is not None else F.lit(None).cast("string")
-    has_docs = ~_missing(docs)
-    reference = F.when(has_docs, docs).otherwise(c.truth)
-    a = tx.strip(F.lower(c.response))
-    b = tx.strip(F.lower(clean_documents(reference)))
-    ka, kb = a, b
-    if compare_chars is not None:
-        ka, kb = F.substring(a, 1, compare_chars), F.substring(b, 1, compare_chars)
-    if needed is not None:
-        ka, kb = F.when(needed, ka), F.when(needed, kb)
-    like = tx.similarity(c.similarity, ka, kb)
-    shared = tx.overlap(tx.meaningful_terms(a, cfg.GROUNDED_STOPWORDS),
-                        tx.meaningful_terms(b, cfg.GROUNDED_STOPWORDS))
-    plain = shared * 0.6 + like * 0.4
+    reference = F.when(~_missing(docs), docs).otherwise(c.truth)
+    return {"used": docs.isNotNull(), "lost": _missing(reference),
+            "a": tx.strip(F.lower(c.response)), "b": tx.strip(F.lower(clean_documents(reference)))}
+
+
+def _grounded_terms(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    ka, kb = f.a, f.b
+    if c.compare_chars is not None:
+        ka, kb = F.substring(f.a, 1, c.compare_chars), F.substring(f.b, 1, c.compare_chars)
     semantic = F.lit(None).cast("double")
     if c.response_vector is not None and c.truth_vector is not None:
         semantic = cosine(c.response_vector, c.truth_vector)
-        score = F.when(semantic.isNotNull(), semantic * 0.5 + shared * 0.3 + like * 0.2).otherwise(plain)
-    else:
-        score = plain
+    return {"ta": tx.meaningful_terms(f.a, cfg.GROUNDED_STOPWORDS),
+            "tb": tx.meaningful_terms(f.b, cfg.GROUNDED_STOPWORDS),
+            "like": tx.similarity(c.similarity, F.when(~f.lost, ka), F.when(~f.lost, kb)),
+            "semantic": semantic}
+
+
+def _grounded_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    return {"shared": tx.overlap(f.ta, f.tb)}
+
+
+def _grounded_label(c: LabelInputs, f: Facts) -> list[Branch]:
+    """Weighted score, with a term for the vectors where both exist."""
+    score = F.when(f.semantic.isNotNull(), f.semantic * 0.5 + f.shared * 0.3 + f.like * 0.2) \
+        .otherwise(f.shared * 0.6 + f.like * 0.4)
     scored = label(hallucination_label=_flag(score >= cfg.GROUNDED_THRESHOLD), confidence=F.lit(0.7),
-                   semantic_similarity=semantic, term_overlap=shared, text_similarity=like,
+                   semantic_similarity=f.semantic, term_overlap=f.shared, text_similarity=f.like,
                    combined_score=score, threshold_used=F.lit(cfg.GROUNDED_THRESHOLD),
-                   used_documents=docs.isNotNull(), method=F.lit("document_grounded_consistency"))
-    return F.when(_missing(reference), null_truth("null_reference")).otherwise(scored)
+                   used_documents=f.used, method=F.lit("document_grounded_consistency"))
+    return [(f.lost, null_truth("null_reference")), (None, scored)]
+
+
+GROUNDED = Rule((_grounded_texts, _grounded_terms, _grounded_scores), _grounded_label)
 
 
-def existing_label(c: LabelInputs) -> Column:
+# --- labels that come with the data -------------------------------------------
+
+def _existing_label(c: LabelInputs, f: Facts) -> list[Branch]:
     missing = label(hallucination_label=F.lit(0), confidence=F.lit(0.5),
                     method=F.lit("existing_label_missing"))
     if c.existing_label is None:
-        return missing
+        return [(None, missing)]
     given = label(hallucination_label=c.existing_label, confidence=F.lit(1.0),
                   method=F.lit("existing_label"))
-    return F.when(c.existing_label.isNotNull(), given).otherwise(missing)
+    return [(c.existing_label.isNotNull(), given), (None, missing)]
+
 
+EXISTING = Rule((), _existing_label)
 
-LABELERS: dict[str, Callable[[LabelInputs], Column]] = {
-    "Medicine": medical_label,
-    "Math": math_label,
-    "Finance": finance_label,
-    "IS": grounded_label,
-    "Psychology": psychology_label,
+LABELERS: dict[str, Rule] = {
+    "Medicine": MEDICAL,
+    "Math": MATH,
+    "Finance": FINANCE,
+    "IS": GROUNDED,
+    "Psychology": PSYCHOLOGY,
 }
 
 
-def dispatch(domain: Column, c: LabelInputs,
-             labelers: dict[str, Callable[[LabelInputs], Column]] | None = None) -> Column:
-    """The label of each row by its domain's rule; NULL for a domain without one.
+def apply_rules(df: DataFrame, c: LabelInputs, rules: dict[str, Rule], domain: Column | None = None,
+                name: str = "label") -> DataFrame:
+    """Add the label struct of each row under ``name``.
 
-    The character comparison is fed only the rows that its branch will keep, so
-    a batch of numeric answers never reaches Python.
+    Without ``domain`` the single rule given covers every row.  With it, a rule
+    sees response and truth only of its own domain, so one domain's rows never
+    pay for another's comparison; a domain without a rule gets NULL fields.
     """
-    rules = labelers or LABELERS
-    out = F.lit(None)
-    first = True
-    for name, rule in rules.items():
-        mine = domain == name
-        gated = LabelInputs(**{**c.__dict__,
-                               "response": F.when(mine, c.response),
-                               "truth": F.when(mine, c.truth)})
-        out = F.when(mine, rule(gated)) if first else out.when(mine, rule(gated))
-        first = False
-    return out
+    given = df.columns
+    plans = []
+    for i, (of, rule) in enumerate(rules.items()):
+        mine = None if domain is None else domain == of
+        gate = (lambda x: x) if mine is None else (lambda x, m=mine: F.when(m, x))
+        plans.append((mine, rule, replace(c, response=gate(c.response), truth=gate(c.truth)), f"_{i}_"))
+    out = df
+    for level in range(max(len(rule.stages) for rule in rules.values())):
+        new = []
+        for _, rule, inputs, prefix in plans:
+            if level < len(rule.stages):
+                facts = rule.stages[level](inputs, Facts(prefix))
+                new += [col.alias(prefix + key) for key, col in facts.items()]
+        out = out.select("*", *new)
+    decided = [(mine, rule.branches(inputs, Facts(prefix))) for mine, rule, inputs, prefix in plans]
+    fields = []
+    for field in LABEL_FIELDS:
+        value = F.lit(None).cast(LABEL_FIELDS[field])
+        for mine, branches in reversed(decided):
+            got = _decide(branches, field)
+            value = got if mine is None else F.when(mine, got).otherwise(value)
+        fields.append(value.alias(field))
+    return out.select(*given, F.struct(*fields).alias(name))
+
+
+def label_with(df: DataFrame, c: LabelInputs, rule: Rule, name: str = "label") -> DataFrame:
+    return apply_rules(df, c, {"": rule}, None, name)
 
 
 def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "matcher",
-                    labelers: dict | None = None) -> DataFrame:
+                    rules: dict[str, Rule] | None = None) -> DataFrame:
     """Label the primary response of every prompt that has one.
 
     ``prompts`` holds prompt_id, domain, prompt, ground_truth and optionally
@@ -300,11 +387,14 @@ def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "m
         prompt=F.col("prompt"), documents=maybe("documents"), correct_index=maybe("correct_index"),
         existing_label=maybe("existing_label"), response_vector=maybe("response_vector"),
         truth_vector=maybe("truth_vector"), similarity=similarity)
-    out = joined.withColumn("_label", dispatch(F.col("domain"), inputs, labelers))
+    rules = rules or LABELERS
+    known = joined.filter(F.col("domain").isin(*rules))
+    out = apply_rules(known, inputs, rules, F.col("domain"), "_label")
     extras = [f for f in LABEL_FIELDS if f not in ("hallucination_label", "confidence", "method")]
-    return out.filter(F.col("_label").isNotNull()).select(
+    renamed = {"correct_index": "label_correct_index"}
+    return out.select(
         "prompt_id", "domain", "prompt", "ground_truth", "primary_response",
         F.col("_label.hallucination_label").alias("hallucination_label"),
         F.col("_label.confidence").alias("label_confidence"),
         F.col("_label.method").alias("label_method"),
-        *[F.col(f"_label.{f}").alias(f) for f in extras])
+        *[F.col(f"_label.{f}").alias(renamed.get(f, f)) for f in extras])

@@ -84,11 +84,11 @@ def pairs(v):
         "prompt_id", "conv_id", "domain", "prompt", "response", truth.alias("truth"))
 
 
-def fields(df, key, label_col, *names):
+def fields(df, key, inp, rule, *names):
     doubles = {"confidence", "extracted_response", "extracted_truth", "difference", "tolerance_used",
                "similarity_score", "term_overlap", "combined_score", "semantic_similarity", "word_overlap",
                "text_similarity"}
-    out = df.withColumn("_l", label_col)
+    out = L.label_with(df, inp, rule, "_l")
     return out.select(*key, *[(F.round(f"_l.{n}", 6) if n in doubles else F.col(f"_l.{n}")).alias(n) for n in names])
 
 
@@ -107,12 +107,12 @@ def extract_last_number(v):
 
 @query("label_math", f"""WITH e AS (SELECT id, truth, {_num('response')} AS a, {_num('truth')} AS b FROM v_numeric)
     SELECT id, CAST(CASE WHEN truth IS NULL OR a IS NULL OR b IS NULL THEN 1 WHEN abs(a - b) < 1e-6 THEN 0 ELSE 1 END AS INTEGER) AS hallucination_label,
-      CASE WHEN truth IS NULL THEN 0.0 WHEN a IS NULL OR b IS NULL THEN 0.5 ELSE 1.0 END AS confidence,
+      CAST(CASE WHEN truth IS NULL THEN 0.0 WHEN a IS NULL OR b IS NULL THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence,
       CASE WHEN truth IS NULL THEN 'null_ground_truth' WHEN a IS NULL OR b IS NULL THEN 'numerical_extraction'
            ELSE 'exact_numerical_match' END AS method,
       CASE WHEN truth IS NOT NULL THEN round(abs(a - b), 6) END AS difference FROM e""", ("v_numeric",))
 def label_math(v):
-    return fields(v.numeric, ["id"], L.math_label(inputs()), "hallucination_label", "confidence", "method", "difference")
+    return fields(v.numeric, ["id"], inputs(), L.MATH, "hallucination_label", "confidence", "method", "difference")
 
 
 @query("extract_value_with_unit", f"""WITH e AS (SELECT id, response, truth, {_UNIT.format('response')} AS ru, {_UNIT.format('truth')} AS tu FROM v_numeric)
@@ -140,7 +140,7 @@ _FIN = f"""u AS (SELECT *, {_UNIT.format('response')} AS ru, {_UNIT.format('trut
     FROM e WHERE NOT {_QUAL}""", ("v_numeric",))
 def label_finance_numeric(v):
     kept = v.numeric.filter(F.col("truth").isNotNull())
-    got = kept.withColumn("l", L.finance_label(inputs(prompt=F.col("prompt"), similarity="edit")))
+    got = L.label_with(kept, inputs(prompt=F.col("prompt"), similarity="edit"), L.FINANCE, "l")
     return got.filter(F.col("l.method") == "numerical_tolerance_unit_aware").select(
         "id", "l.hallucination_label", *[F.round(f"l.{n}", 2).alias(n) for n in ("extracted_response", "extracted_truth", "difference")],
         "l.response_unit", "l.truth_unit", "l.method")
@@ -157,13 +157,13 @@ _ft = f"""p AS (SELECT * FROM v_pairs WHERE truth IS NOT NULL AND truth <> ''),
       round(ov, 6) AS term_overlap, round(sim * 0.6::DOUBLE + ov * 0.4::DOUBLE, 6) AS combined_score FROM s""", ("v_pairs",))
 def label_finance_text(v):
     kept = pairs(v).filter(F.col("truth").isNotNull() & (F.col("truth") != ""))
-    return fields(kept, ["prompt_id"], L.finance_text_label(inputs(similarity="edit")),
+    return fields(kept, ["prompt_id"], inputs(similarity="edit"), L.FINANCE,
                   "hallucination_label", "similarity_score", "term_overlap", "combined_score")
 
 
 @query("label_finance_text_matcher")
 def label_finance_text_matcher(v):
-    return fields(pairs(v), ["prompt_id"], L.finance_label(inputs(prompt=F.col("prompt"))),
+    return fields(pairs(v), ["prompt_id"], inputs(prompt=F.col("prompt")), L.FINANCE,
                   "hallucination_label", "method", "similarity_score", "term_overlap", "combined_score")
 
 
@@ -173,12 +173,12 @@ def extract_mcq_option(v):
 
 
 @query("label_mcq", """SELECT event_id, CAST(CASE WHEN letter IS NULL OR ascii(letter) - 65 <> correct_index THEN 1 ELSE 0 END AS INTEGER) AS hallucination_label,
-      CASE WHEN letter IS NULL THEN 0.5 ELSE 1.0 END AS confidence, letter AS selected_option,
+      CAST(CASE WHEN letter IS NULL THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence, letter AS selected_option,
       CAST(ascii(letter) - 65 AS INTEGER) AS selected_index, CASE WHEN letter IS NULL THEN text END AS response_preview,
       CASE WHEN letter IS NULL THEN 'mcq_parse_failure' ELSE 'mcq_exact_match' END AS method FROM v_mcq_letters""", ("v_mcq_letters",))
 def label_mcq(v):
     c = LabelInputs(response=F.col("text"), truth=F.lit("x"), correct_index=F.col("correct_index"))
-    return fields(v.mcq, ["event_id"], L.medical_label(c), "hallucination_label", "confidence", "selected_option",
+    return fields(v.mcq, ["event_id"], c, L.MEDICAL, "hallucination_label", "confidence", "selected_option",
                   "selected_index", "response_preview", "method")
 
 
@@ -191,12 +191,12 @@ _CLEAN = r"regexp_replace(lower({0}), '[^\p{{L}}\p{{N}}_\x09-\x0d\x1c-\x20\x85\p
       contains(ca, {_strip('cb')}) AS inside, {_edit('lower(response)', 'lower(truth)')} AS sim FROM p),
     s AS (SELECT *, {_overlap('ta', 'tb')} AS ov, inside AND nw <= 5 AS found FROM t)
     SELECT prompt_id, CAST(CASE WHEN found THEN 0 WHEN (sim + ov) / 2 >= 0.3 THEN 0 ELSE 1 END AS INTEGER) AS hallucination_label,
-      CASE WHEN found THEN 0.9 ELSE 0.7 END AS confidence, CASE WHEN found THEN CAST(nw AS INTEGER) END AS truth_word_count,
+      CAST(CASE WHEN found THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN found THEN CAST(nw AS INTEGER) END AS truth_word_count,
       CASE WHEN NOT found THEN round(ov, 6) END AS term_overlap, CASE WHEN NOT found THEN round((sim + ov) / 2, 6) END AS combined_score,
       CASE WHEN found THEN 'medical_containment_fallback' ELSE 'medical_similarity_fallback' END AS method FROM s""", ("v_pairs",))
 def label_medical_text(v):
     kept = pairs(v).filter(F.col("truth").isNotNull() & (F.col("truth") != ""))
-    return fields(kept, ["prompt_id"], L.medical_text_label(inputs(similarity="edit")), "hallucination_label", "confidence",
+    return fields(kept, ["prompt_id"], inputs(similarity="edit"), L.MEDICAL, "hallucination_label", "confidence",
                   "truth_word_count", "term_overlap", "combined_score", "method")
 
 
@@ -208,7 +208,7 @@ _FLAGS = ["1", "0", "True", "False", "true", "false", "yes"]
 def label_truth_flag(v):
     flag = F.element_at(F.array(*[F.lit(x) for x in _FLAGS]), (F.col("event_id") % 7 + 1).cast("int"))
     df = v.table("events").select("event_id", F.lit("no").alias("response"), flag.alias("truth"))
-    return fields(df, ["event_id"], L.psychology_label(inputs()), "hallucination_label", "method")
+    return fields(df, ["event_id"], inputs(), L.PSYCHOLOGY, "hallucination_label", "method")
 
 
 VIEW_SQL["v_vec_pairs"] = ((), """
@@ -229,7 +229,7 @@ def vec_pairs(v):
       round(list_cosine_similarity(u, w), 6) AS semantic_similarity, 'semantic_similarity' AS method FROM v_vec_pairs""", ("v_vec_pairs",))
 def label_semantic(v):
     c = LabelInputs(response=F.lit("x"), truth=F.lit("y"), response_vector=F.col("u"), truth_vector=F.col("w"))
-    return fields(vec_pairs(v), ["vec_id"], L.psychology_label(c), "hallucination_label", "semantic_similarity", "method")
+    return fields(vec_pairs(v), ["vec_id"], c, L.PSYCHOLOGY, "hallucination_label", "semantic_similarity", "method")
 
 
 @query("label_word_overlap", f"""WITH t AS (SELECT *, {_terms('response')} AS a, {_terms('truth')} AS b FROM v_pairs),
@@ -238,7 +238,7 @@ def label_semantic(v):
       CASE WHEN truth IS NOT NULL THEN round(ov, 6) END AS word_overlap,
       CASE WHEN truth IS NULL THEN 'null_ground_truth' ELSE 'fallback_word_overlap' END AS method FROM s""", ("v_pairs",))
 def label_word_overlap(v):
-    return fields(pairs(v), ["prompt_id"], L.psychology_label(inputs()), "hallucination_label", "word_overlap", "method")
+    return fields(pairs(v), ["prompt_id"], inputs(), L.PSYCHOLOGY, "hallucination_label", "word_overlap", "method")
 
 
 @query("documents_clean", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^[''"]|[''"]$', '', 'g')
@@ -269,24 +269,24 @@ def _meaningful(e):
     UNION ALL SELECT prompt_id, 1, NULL, NULL, NULL, NULL, 'null_reference' FROM p WHERE ref IS NULL OR ref = ''""", ("v_pairs",))
 def label_grounded(v):
     df = pairs(v).withColumn("documents", F.when(F.col("conv_id") % 2 == 0, F.col("prompt")))
-    return fields(df, ["prompt_id"], L.grounded_label(inputs(documents=F.col("documents"), similarity="edit")),
+    return fields(df, ["prompt_id"], inputs(documents=F.col("documents"), similarity="edit"), L.GROUNDED,
                   "hallucination_label", "term_overlap", "text_similarity", "combined_score", "used_documents", "method")
 
 
-@query("label_existing", """SELECT d.doc_id, CAST(coalesce(l.toxic, 0) AS INTEGER) AS hallucination_label, CASE WHEN l.doc_id IS NULL THEN 0.5 ELSE 1.0 END AS confidence,
+@query("label_existing", """SELECT d.doc_id, CAST(coalesce(l.toxic, 0) AS INTEGER) AS hallucination_label, CAST(CASE WHEN l.doc_id IS NULL THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence,
       CASE WHEN l.doc_id IS NULL THEN 'existing_label_missing' ELSE 'existing_label' END AS method
     FROM documents d LEFT JOIN labels l USING (doc_id)""")
 def label_existing(v):
     df = v.table("documents").select("doc_id").join(v.table("labels").select("doc_id", "toxic"), "doc_id", "left")
     c = LabelInputs(response=F.lit(""), truth=F.lit(""), existing_label=F.col("toxic"))
-    return fields(df, ["doc_id"], L.existing_label(c), "hallucination_label", "confidence", "method")
+    return fields(df, ["doc_id"], c, L.EXISTING, "hallucination_label", "confidence", "method")
 
 
 @query("label_null_truth", """SELECT id, domain, CAST(1 AS INTEGER) AS hallucination_label, CAST(0 AS DOUBLE) AS confidence, 'null_ground_truth' AS method,
       'No ground truth available for comparison' AS note FROM v_numeric WHERE truth IS NULL""", ("v_numeric",))
 def label_null_truth(v):
     c = inputs(prompt=F.col("prompt"), similarity="edit")
-    got = v.numeric.withColumn("l", L.finance_label(c)).filter(F.col("l.method") == "null_ground_truth")
+    got = L.label_with(v.numeric, c, L.FINANCE, "l").filter(F.col("l.method") == "null_ground_truth")
     return got.select("id", "domain", "l.hallucination_label", "l.confidence", "l.method", "l.note")
 
 
@@ -488,7 +488,7 @@ VIEW_SQL["v_split"] = (("v_math_labels",), f"""
 
 
 def math_labels(v):
-    return v.numeric.select("id", "domain", L.math_label(inputs()).getField("hallucination_label").alias("hallucination_label"))
+    return L.label_with(v.numeric, inputs(), L.MATH, "l").select("id", "domain", "l.hallucination_label")
 
 
 def math_split(v):
