@@ -119,7 +119,7 @@ def tune(df: DataFrame, columns: list[str], ids: list[str], label: str = LABEL,
              plain.minInstancesPerNode: s.min_child, plain.minInfoGain: s.gamma / 1000.0} for s in specs]
     cv = CrossValidator(estimator=plain, estimatorParamMaps=grid, numFolds=n_folds, foldCol="fold",
                         evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=parallelism, seed=seed)
-    scores = list(cv.fit(folded).avgMetrics)
+    scores = [float(x) for x in cv.fit(folded).avgMetrics]
     best = max(range(len(specs)), key=lambda i: scores[i])
     return specs[best], scores
 

@@ -11,19 +11,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-BUCKETS = 4096
+# At most this many bucket totals per key reach one task.
+BUCKETS = 1 << 20
 
 
 def unit_bucket(p: Column, buckets: int = BUCKETS) -> Column:
-    """Order-keeping bucket of a value in [0, 1]."""
-    return F.greatest(F.lit(0), F.least(F.floor(p * buckets).cast("int"), F.lit(buckets - 1)))
+    """Order-keeping bucket of a value in [0, 1].
+
+    Half of the scale is linear and half is the log-odds, so scores crowded near
+    0 or 1, as a saturated classifier gives them, still spread over many buckets.
+    Both halves grow with p, hence so does their sum.
+    """
+    odds = F.log(p / (F.lit(1.0) - p))
+    squeezed = F.when(p <= 0, 0.0).when(p >= 1, 1.0).otherwise(
+        F.greatest(F.lit(0.0), F.least(F.lit(1.0), (odds + 40.0) / 80.0)))
+    return share_bucket((p + squeezed) / 2, buckets)
+
+
+def share_bucket(share: Column, buckets: int = BUCKETS) -> Column:
+    return F.greatest(F.lit(0), F.least(F.floor(share * buckets).cast("int"), F.lit(buckets - 1)))
 
 
 def hash_text(seed: int, *ids: Column) -> Column:
     return F.md5(F.concat_ws("|", *[i.cast("string") for i in ids], F.lit(str(seed))))
 
 
-def hash_bucket(h: Column, digits: int = 3) -> Column:
+def hash_bucket(h: Column, digits: int = 4) -> Column:
     """Bucket of a hex hash that follows the hash's own order."""
     return F.conv(F.substring(h, 1, digits), 16, 10).cast("int")
 
@@ -95,25 +108,30 @@ def hash_cut(df: DataFrame, keys: list[str], ids: list[str], quota: Column, seed
 def value_cells(long: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
     """Count equal values once and give every cell an order-keeping bucket.
 
-    Copies of a value fold together before anything is sorted.  The bucket is
-    equal-width on an asinh scale between the key's own limits, so heavy tails
-    do not pile into one bucket.
+    Copies of a value fold together before anything is sorted.
     """
     cells = long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
     return with_value_bucket(cells, keys, value)
 
 
 def with_value_bucket(cells: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
-    squeezed = F.asinh(F.col(value).cast("double"))
+    """Add ``_bucket``: half linear, half asinh between the key's own limits.
+
+    The asinh half keeps a long tail from pressing everything else into one
+    bucket; the linear half tells close values apart.
+    """
+    x = F.col(value).cast("double")
     if keys:
-        limits = cells.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi"))
+        limits = cells.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
         cells = cells.join(limits, keys)
-        lo, hi = F.asinh(F.col("_lo").cast("double")), F.asinh(F.col("_hi").cast("double"))
     else:
-        lo = F.asinh(cells.agg(F.min(value).cast("double")).scalar())
-        hi = F.asinh(cells.agg(F.max(value).cast("double")).scalar())
-    share = F.when(hi > lo, (squeezed - lo) / (hi - lo)).otherwise(F.lit(0.0))
-    return cells.withColumn("_bucket", unit_bucket(share)).drop("_lo", "_hi")
+        one = cells.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).alias("s")).scalar()
+        cells = cells.select("*", one.getField("lo").alias("_lo"), one.getField("hi").alias("_hi"))
+    lo, hi = F.col("_lo"), F.col("_hi")
+    linear = (x - lo) / (hi - lo)
+    squeezed = (F.asinh(x) - F.asinh(lo)) / (F.asinh(hi) - F.asinh(lo))
+    share = F.when(F.asinh(hi) > F.asinh(lo), (linear + squeezed) / 2).otherwise(F.lit(0.0))
+    return cells.withColumn("_bucket", share_bucket(share)).drop("_lo", "_hi")
 
 
 def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float],

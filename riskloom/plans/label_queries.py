@@ -241,16 +241,13 @@ def label_word_overlap(v):
     return fields(pairs(v), ["prompt_id"], inputs(), L.PSYCHOLOGY, "hallucination_label", "word_overlap", "method")
 
 
-@query("documents_clean", """SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN regexp_replace(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), '^[''"]|[''"]$', '', 'g')
-      WHEN doc_id % 3 = 1 THEN '[' || text ELSE text END AS cleaned FROM documents
-    WHERE NOT (doc_id % 3 = 1 AND text LIKE '%]') AND NOT (doc_id % 3 = 2 AND text LIKE '[%]')""")
+@query("documents_clean", f"""WITH raw AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '[''' || text || '"]' WHEN 1 THEN '[' || text ELSE text END AS t FROM documents)
+    SELECT doc_id, CASE WHEN starts_with(t, '[') AND ends_with(t, ']') THEN regexp_replace(regexp_replace({_strip("substr(t, 2, length(t) - 2)")}, '^[''"]', ''), '[''"]$', '')
+      ELSE t END AS cleaned FROM raw""")
 def documents_clean(v):
-    d = v.table("documents")
     raw = (F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("['"), "text", F.lit("\"]")))
            .when(F.col("doc_id") % 3 == 1, F.concat(F.lit("["), "text")).otherwise(F.col("text")))
-    odd = (((F.col("doc_id") % 3 == 1) & F.col("text").endswith("]"))
-           | ((F.col("doc_id") % 3 == 2) & F.col("text").startswith("[") & F.col("text").endswith("]")))
-    return d.filter(~odd).select("doc_id", L.clean_documents(raw).alias("cleaned"))
+    return v.table("documents").select("doc_id", L.clean_documents(raw).alias("cleaned"))
 
 
 def _meaningful(e):

@@ -2,9 +2,18 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from riskloom.config import K_BEST, BoosterSpec
+from riskloom.functions.prompts import format_prompt, parse_options
+from riskloom.functions.text import terms
+from riskloom.operators import clustering, context, labelers, matrix, metrics, modeling, responses, selection, splits
+from riskloom.operators import uncertainty as U
 from riskloom.plans.views import Views
+from riskloom.session import materialize
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -12,3 +21,79 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     from riskloom.plans.label_queries import split_rate_gap
 
     return split_rate_gap(Views(spark, sf_dir))
+
+
+def prepare(df: DataFrame, limit: int | None = None, style: str = "simple") -> DataFrame:
+    """Processed prompts: an optional seeded sample, then the formatted prompt, then pruning."""
+    from riskloom.sources.readers import prune_columns
+
+    if limit:
+        df = splits.sample_limit(df, ["prompt_id"], limit)
+    options = parse_options(F.col("options")) if "options" in df.columns else None
+    documents = F.col("documents") if "documents" in df.columns else None
+    formatted = format_prompt(F.col("prompt"), F.col("domain"), style, options, documents)
+    return prune_columns(df.withColumn("formatted_prompt", formatted))
+
+
+@dataclass
+class RunResult:
+    """Lazy tables and the fitted model of one run."""
+
+    labelled: DataFrame
+    features: DataFrame
+    model: modeling.RiskModel
+    scored: DataFrame
+    metrics: DataFrame
+
+
+def run(prompts: DataFrame, samples: DataFrame, tokens: DataFrame, vectors: DataFrame, gazetteer: DataFrame,
+        similarity: str = "matcher", mcq: bool = False, tune_trials: int = 0, fit_on: str = "train",
+        spec: BoosterSpec = BoosterSpec()) -> RunResult:
+    """Prompts and stored answers to labels, features, a model and its metrics.
+
+    ``tokens`` are those of each prompt's primary answer, ``vectors`` one per
+    sample.  ``fit_on='all'`` sets fill values and feature choice on all rows, as
+    the published pipeline did; the default keeps the test rows out.
+    """
+    labelled = labelers.label_responses(prompts, responses.primary_responses(samples), similarity)
+    labelled = materialize(splits.stratified_split(labelled, ["prompt_id"], check=True), "labelled")
+    entropy = U.cluster_entropy(clustering.cluster_weights(vectors))
+    letters = U.letter_features(samples) if mcq else None
+    first = U.first_token(tokens) if mcq else None
+    epistemic = U.epistemic_features(prompts, entropy, tokens, letters, first)
+    entities = context.extract_entities(prompts.select("prompt_id", "prompt"), gazetteer)
+    contextual = context.contextual_features(prompts.select("prompt_id", "prompt"), entities)
+    raw = materialize(matrix.feature_matrix(labelled, epistemic, contextual), "matrix")
+    columns = matrix.feature_columns(raw)
+
+    def basis(df: DataFrame) -> DataFrame | None:
+        return df.filter(F.col("split") == "train") if fit_on == "train" else None
+
+    filled = matrix.impute(raw, columns, "mean", basis(raw))
+    filled = materialize(matrix.impute_residual(filled, columns, basis(filled)), "filled")
+    rows = filled if fit_on == "all" else filled.filter(F.col("split") == "train")
+    chosen = selection.select_features(rows, columns, modeling.LABEL, k_best=K_BEST)
+    train, test = splits.route_split(filled, ["prompt_id"])
+    if tune_trials:
+        spec, _ = modeling.tune(train, chosen, ["prompt_id"], n_trials=tune_trials, base=spec)
+    model = modeling.train(train, chosen, ["prompt_id"], spec=spec)
+    scored = modeling.scored_set(model, test, "test").unionByName(modeling.scored_set(model, train, "train"))
+    return RunResult(labelled, filled, model, scored, metrics.metrics_bundle(scored))
+
+
+def sample_terms(samples: DataFrame) -> DataFrame:
+    return samples.select("prompt_id", "sample_id", terms(F.col("text")).alias("terms"))
+
+
+def summary_document(bundle: DataFrame, rates: DataFrame, chi: DataFrame, tests: DataFrame, trend: DataFrame,
+                     top: int = 20) -> DataFrame:
+    """One nested JSON document of finished result tables, each a few rows long."""
+    def rows(df: DataFrame, name: str):
+        return df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias(name))
+
+    parts = [rows(bundle, "ablation_study"), rows(rates, "domain_stats"), rows(chi, "domain_comparison"),
+             rows(tests.orderBy(F.abs("pearson_r").desc_nulls_last(), "feature").limit(top), "top_correlated_features"),
+             rows(trend, "knowledge_overshadowing")]
+    first = parts[0]
+    return first.select(F.to_json(F.struct(
+        F.col("ablation_study"), *[p.scalar().alias(p.columns[0]) for p in parts[1:]])).alias("document"))

@@ -50,7 +50,7 @@ class Views:
     @cached_property
     def logprobs(self) -> DataFrame:
         """prompt_id, pos, logprob: one row per token."""
-        ranked = positions(self.table("events"), ["user_id"], F.date_trunc("hour", F.col("ts")),
+        ranked = positions(self.table("events"), ["user_id"], F.date_trunc("minute", F.col("ts")),
                            [F.col("ts"), F.col("event_id")], "pos")
         return ranked.select(F.concat(F.lit("conv_"), F.col("user_id")).alias("prompt_id"),
                              "pos", (-F.col("value") / 100).alias("logprob"))
