@@ -10,24 +10,33 @@ from riskloom.config import PROMPT_UNITS, UNITS
 
 def last_number(text: Column) -> Column:
     """The last number in the text, ``$ , %`` removed first; NULL if there is none."""
-    bare = F.regexp_replace(text, "[$,%]", "")
+    bare = F.translate(text, "$,%", "")
     found = F.regexp_extract_all(bare, F.lit(r"-?[0-9]+\.?[0-9]*"), F.lit(0))
     return F.try_element_at(found, F.lit(-1)).cast("double")
 
 
-def unit_of(text: Column, whole_words: bool = False) -> Column:
+def listed_unit(text: Column, whole_words: bool = False) -> Column:
     """First listed unit that occurs in the text.
 
     Substrings count by default, so any ``k`` means thousand; ``whole_words``
     asks for a unit that is not part of a longer word.
     """
-    low = F.lower(text)
+    return unit_in(F.lower(text), whole_words)
+
+
+def unit_in(low: Column, whole_words: bool = False) -> Column:
+    """``listed_unit`` of a text already in lower case."""
     out = F.lit(None).cast("string")
     for unit, _ in reversed(UNITS):
         hit = (low.rlike(rf"(?:^|[^\p{{L}}]){unit}s?(?:$|[^\p{{L}}])") if whole_words
                else F.contains(low, F.lit(unit)))
         out = F.when(hit, F.lit(unit)).otherwise(out)
-    return F.when(last_number(text).isNotNull(), out)
+    return out
+
+
+def unit_of(text: Column, whole_words: bool = False) -> Column:
+    """The listed unit of a text that holds a number; NULL without a number."""
+    return F.when(last_number(text).isNotNull(), listed_unit(text, whole_words))
 
 
 def multiplier(unit: Column) -> Column:
@@ -43,7 +52,10 @@ def scaled_number(text: Column, whole_words: bool = False) -> Column:
 
 def prompt_unit(prompt: Column) -> Column:
     """Unit that the question asks for, by the first listed phrase."""
-    low = F.lower(prompt)
+    return phrase_unit(F.lower(prompt))
+
+
+def phrase_unit(low: Column) -> Column:
     out = F.lit(None).cast("string")
     for phrase, unit in reversed(PROMPT_UNITS):
         out = F.when(F.contains(low, F.lit(phrase)), F.lit(unit)).otherwise(out)

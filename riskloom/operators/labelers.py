@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from riskloom import config as cfg
 from riskloom.functions import text as tx
 from riskloom.functions.choice import option_index, option_letter
-from riskloom.functions.numbers import last_number, multiplier, prompt_unit, unit_of
+from riskloom.functions.numbers import last_number, multiplier, phrase_unit, unit_in
 from riskloom.functions.vectors import cosine
 
 LABEL_FIELDS = {
@@ -128,36 +128,43 @@ MATH = Rule((_numbers,), _math_label)
 
 # --- finance ------------------------------------------------------------------
 
+def _finance_texts(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    asked = c.prompt if c.prompt is not None else F.lit(None).cast("string")
+    return {**_numbers(c, f), "low_response": F.lower(c.response), "low_truth": F.lower(c.truth),
+            "low_prompt": F.lower(asked)}
+
+
 def _units(c: LabelInputs, f: Facts) -> dict[str, Column]:
-    asked = prompt_unit(c.prompt) if c.prompt is not None else F.lit(None).cast("string")
-    low = F.lower(c.truth)
+    """Units stated beside a number, the unit asked for, and whether the truth is prose."""
     wordy = (F.length(c.truth) > cfg.QUALITATIVE_LENGTH) | F.contains(c.truth, F.lit("\n"))
     for mark in cfg.QUALITATIVE_MARKS:
-        wordy = wordy | F.contains(low, F.lit(mark))
-    return {**_numbers(c, f), "response_unit": unit_of(c.response), "stated": unit_of(c.truth),
-            "asked": asked, "wordy": wordy}
+        wordy = wordy | F.contains(f.low_truth, F.lit(mark))
+    return {"response_unit": F.when(f.got.isNotNull(), unit_in(f.low_response)),
+            "stated": F.when(f.want.isNotNull(), unit_in(f.low_truth)),
+            "asked": F.when(f.want.isNotNull(), phrase_unit(f.low_prompt)),
+            "numeric": f.got.isNotNull() & f.want.isNotNull() & ~F.coalesce(wordy, F.lit(True))}
 
 
 def _values(c: LabelInputs, f: Facts) -> dict[str, Column]:
-    """Both values in base units; a truth without a unit takes the one the question asks for."""
-    inferred = f.stated.isNull() & f.want.isNotNull()
+    """Both values in base units; a truth without a unit takes the one the question asks for.
+
+    Only answers that are not numeric pay for the comparison.
+    """
+    inferred = f.stated.isNull()
+    worded = ~_missing(c.truth) & ~f.numeric
+    a, b = F.when(worded, f.low_response), F.when(worded, f.low_truth)
     return {
         "got_value": f.got * multiplier(f.response_unit),
-        "want_value": f.want * multiplier(F.coalesce(f.stated, F.when(inferred, f.asked))),
+        "want_value": f.want * multiplier(F.coalesce(f.stated, f.asked)),
         "truth_unit": F.when(inferred, F.concat(f.asked, F.lit(" (inferred)"))).otherwise(f.stated),
-        "numeric": f.got.isNotNull() & f.want.isNotNull() & ~F.coalesce(f.wordy, F.lit(True)),
-        "ta": tx.without(tx.terms(c.response), cfg.FINANCE_STOPWORDS),
-        "tb": tx.without(tx.terms(c.truth), cfg.FINANCE_STOPWORDS),
+        "ta": tx.without(tx.terms(a), cfg.FINANCE_STOPWORDS),
+        "tb": tx.without(tx.terms(b), cfg.FINANCE_STOPWORDS),
+        "like": tx.similarity(c.similarity, a, b),
     }
 
 
 def _finance_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
-    """Only answers that are not numeric pay for the comparison."""
-    worded = ~_missing(c.truth) & ~f.numeric
-    return {
-        "like": tx.similarity(c.similarity, F.when(worded, F.lower(c.response)), F.when(worded, F.lower(c.truth))),
-        "shared": tx.overlap(f.ta, f.tb),
-    }
+    return {"shared": tx.overlap(f.ta, f.tb)}
 
 
 def _finance_label(c: LabelInputs, f: Facts, tolerance: float = cfg.FINANCE_TOLERANCE) -> list[Branch]:
@@ -175,7 +182,7 @@ def _finance_label(c: LabelInputs, f: Facts, tolerance: float = cfg.FINANCE_TOLE
     return [(_missing(c.truth), null_truth()), (f.numeric, numeric), (None, worded)]
 
 
-FINANCE = Rule((_units, _values, _finance_scores), _finance_label)
+FINANCE = Rule((_finance_texts, _units, _values, _finance_scores), _finance_label)
 
 
 def finance_rule(tolerance: float) -> Rule:

@@ -15,6 +15,7 @@ from riskloom.plans.eval_queries import r6
 from riskloom.plans.registry import query
 from riskloom.plans.source_queries import _sample_rows
 from riskloom.plans.views import VIEW_SQL
+from riskloom.session import materialize
 
 # --- SQL text shared by the checks -----------------------------------------
 _SP = tx.SPACE
@@ -489,7 +490,8 @@ def math_labels(v):
 
 
 def math_split(v):
-    return splits.stratified_split(math_labels(v), ["id"], by=["domain"])
+    """The labels are written once: the split reads them for the counts, the cut and the result."""
+    return splits.stratified_split(materialize(math_labels(v), "labels"), ["id"], by=["domain"])
 
 
 @query("stratified_split", "SELECT id, domain, hallucination_label, split FROM v_split", ("v_split",))

@@ -10,6 +10,7 @@ from riskloom.plans.feature_queries import found
 from riskloom.plans.label_queries import math_labels
 from riskloom.plans.registry import query
 from riskloom.plans.views import VIEW_SQL, Views
+from riskloom.session import materialize
 
 COLS = Views.FEATURES
 
@@ -151,7 +152,7 @@ def rare(v):
       ['Low Rarity (Popular)', 'Medium Rarity', 'High Rarity (Rare)'][CASE WHEN round(rarity, 9) <= a THEN 0 WHEN round(rarity, 9) <= b THEN 1 ELSE 2 END + 1] AS rarity_group,
       round(avg(y), 6) AS rate, count(*) AS n FROM v_rare, q GROUP BY 1, 2""", ("v_rare",))
 def rarity_terciles(v):
-    df = rare(v).withColumn("avg_entity_rarity", F.round("avg_entity_rarity", 9))
+    df = materialize(rare(v).withColumn("avg_entity_rarity", F.round("avg_entity_rarity", 9)), "rarity")
     return stats.rarity_terciles(df, "y").select("tercile", "rarity_group", *r6("rate"), "n")
 
 
