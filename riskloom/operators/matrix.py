@@ -81,7 +81,7 @@ def _fills(df: DataFrame, columns: list[str], method: str) -> dict[str, Column]:
     if method == "mean":
         one = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("s")).scalar()
     else:
-        at = exact_quantiles(long_features(df, columns, []), ["feature"], [0.5])
+        at = exact_quantiles(long_features(df, columns, []), ["feature"], [0.5], few_keys=True)
         one = at.agg(F.struct(*[F.max(F.when(F.col("feature") == c, F.col("at"))).alias(c) for c in columns]).alias("s")).scalar()
     return {c: one.getField(c) for c in columns}
 

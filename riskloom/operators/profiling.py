@@ -74,5 +74,6 @@ def length_histogram(df: DataFrame, measures: dict[str, Column], bins: int = 30)
         for n in measures])).alias("r")).select("r.*")
     width = (F.col("hi") - F.col("lo")) / bins
     spot = F.when(width > 0, F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).otherwise(0)
-    return cells.join(edges, "measure").groupBy("measure", spot.cast("int").alias("bin")).agg(
+    # one row per named measure
+    return cells.join(F.broadcast(edges), "measure").groupBy("measure", spot.cast("int").alias("bin")).agg(
         F.sum("n").alias("n"), F.min("x").alias("smallest"), F.max("x").alias("largest"))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskloom.session import materialize
+
 # At most this many bucket totals per key reach one task.
 BUCKETS = 1 << 20
 
@@ -88,7 +90,9 @@ def hash_cut(df: DataFrame, keys: list[str], ids: list[str], quota: Column, seed
     """The hash below which exactly ``quota`` rows of each key fall.
 
     ``quota`` is an expression over ``total_n``.  Only the bucket that holds the
-    cut is ranked; the result has one row per key: keys, ``cut``.
+    cut is ranked; the result has one row per key: keys, ``cut``.  Both small
+    tables are written to the shared folder, so that the optimizer knows their
+    size and need not shuffle the rows they are joined to.
     """
     hashed = df.select(*keys, hash_text(seed, *[F.col(i) for i in ids]).alias("_h"))
     hashed = hashed.withColumn("_bucket", hash_bucket(F.col("_h"), digits))
@@ -98,32 +102,35 @@ def hash_cut(df: DataFrame, keys: list[str], ids: list[str], quota: Column, seed
             .filter(F.col("before_n") < F.col("_want"))
             .withColumn("_r", F.row_number().over(last)).filter("_r = 1")
             .select(*keys, "_bucket", (F.col("_want") - F.col("before_n")).alias("_take")))
+    edge = materialize(edge, "edge")
     inside = Window.partitionBy(*keys, "_bucket").orderBy("_h")
     ranked = (hashed.join(edge, [*keys, "_bucket"])
               .withColumn("_r", F.row_number().over(inside))
               .filter(F.col("_r") <= F.col("_take")))
-    return ranked.groupBy(*keys).agg(F.max("_h").alias("cut"))
+    return materialize(ranked.groupBy(*keys).agg(F.max("_h").alias("cut")), "cut")
 
 
-def value_cells(long: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
+def value_cells(long: DataFrame, keys: list[str], value: str = "x", few_keys: bool = False) -> DataFrame:
     """Count equal values once and give every cell an order-keeping bucket.
 
     Copies of a value fold together before anything is sorted.
     """
     cells = long.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    return with_value_bucket(cells, keys, value)
+    return with_value_bucket(cells, keys, value, few_keys)
 
 
-def with_value_bucket(cells: DataFrame, keys: list[str], value: str = "x") -> DataFrame:
+def with_value_bucket(cells: DataFrame, keys: list[str], value: str = "x", few_keys: bool = False) -> DataFrame:
     """Add ``_bucket``: half linear, half asinh between the key's own limits.
 
     The asinh half keeps a long tail from pressing everything else into one
-    bucket; the linear half tells close values apart.
+    bucket; the linear half tells close values apart.  ``few_keys`` says that the
+    keys are bounded by the caller (a list of feature names), so that their
+    limits are broadcast; otherwise the optimizer decides.
     """
     x = F.col(value).cast("double")
     if keys:
         limits = cells.groupBy(*keys).agg(F.min(value).cast("double").alias("_lo"), F.max(value).cast("double").alias("_hi"))
-        cells = cells.join(limits, keys)
+        cells = cells.join(F.broadcast(limits) if few_keys else limits, keys)
     else:
         one = cells.agg(F.struct(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi")).alias("s")).scalar()
         cells = cells.select("*", one.getField("lo").alias("_lo"), one.getField("hi").alias("_hi"))
@@ -135,13 +142,13 @@ def with_value_bucket(cells: DataFrame, keys: list[str], value: str = "x") -> Da
 
 
 def exact_quantiles(long: DataFrame, keys: list[str], probs: list[float],
-                    value: str = "x") -> DataFrame:
+                    value: str = "x", few_keys: bool = False) -> DataFrame:
     """Exact quantiles with linear interpolation: keys, ``q``, ``at``.
 
     Two order statistics are read off running counts of distinct values, so the
     cost is one shuffle of the distinct values, whatever their number.
     """
-    cells = value_cells(long, keys, value)
+    cells = value_cells(long, keys, value, few_keys)
     ranked = running_totals(cells, keys, "_bucket", [F.col(value)], {"n": F.col("n")})
     spot = lambda q: F.lit(float(q)) * (F.col("total_n") - 1)
     below, upto = F.col("cum_n") - F.col("n"), F.col("cum_n")

@@ -62,7 +62,7 @@ def label_cells(df: DataFrame, columns: list[str], label: str, keys: list[str] |
     long = long_features(df, columns, [*keys, label])
     cells = long.groupBy(*keys, "feature", "x").agg(
         F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    return with_value_bucket(cells, [*keys, "feature"], "x")
+    return with_value_bucket(cells, [*keys, "feature"], "x", few_keys=not keys)
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = MI_BINS) -> DataFrame:

@@ -16,8 +16,8 @@ from riskloom.operators.ranking import hash_bucket, hash_cut, hash_text, positio
 def _below_cut(df: DataFrame, keys: list[str], ids: list[str], quota: Column, seed: int) -> DataFrame:
     """Every row with ``_in``: does its hash lie at or below its stratum's cut?
 
-    The cut table has one row per stratum (a class, perhaps a domain); the
-    optimizer measures it and broadcasts it, so wide rows are not shuffled.
+    The cut table has one row per stratum (a class, perhaps a domain) and a known
+    size; below the broadcast threshold the wide rows are not shuffled at all.
     """
     cut = hash_cut(df, keys, ids, quota, seed)
     h = hash_text(seed, *[F.col(i) for i in ids])
