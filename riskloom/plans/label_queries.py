@@ -138,11 +138,11 @@ _FIN = f"""u AS (SELECT *, {_UNIT.format('response')} AS ru, {_UNIT.format('trut
     SELECT id, CAST(CASE WHEN abs(a - b) <= CASE WHEN b = 0 THEN 1e-6 ELSE abs(b * 0.05::DOUBLE) END THEN 0 ELSE 1 END AS INTEGER) AS hallucination_label,
       round(a, 2) AS extracted_response, round(b, 2) AS extracted_truth, round(abs(a - b), 2) AS difference, ru AS response_unit,
       CASE WHEN tu IS NOT NULL THEN tu WHEN pu IS NOT NULL THEN pu || ' (inferred)' END AS truth_unit, 'numerical_tolerance_unit_aware' AS method
-    FROM e WHERE NOT {_QUAL}""", ("v_numeric",))
+    FROM e""", ("v_numeric",))
 def label_finance_numeric(v):
     kept = v.numeric.filter(F.col("truth").isNotNull())
     got = L.label_with(kept, inputs(prompt=F.col("prompt"), similarity="edit"), L.FINANCE, "l")
-    return got.filter(F.col("l.method") == "numerical_tolerance_unit_aware").select(
+    return got.select(
         "id", "l.hallucination_label", *[F.round(f"l.{n}", 2).alias(n) for n in ("extracted_response", "extracted_truth", "difference")],
         "l.response_unit", "l.truth_unit", "l.method")
 
@@ -178,7 +178,7 @@ def extract_mcq_option(v):
       CAST(ascii(letter) - 65 AS INTEGER) AS selected_index, CASE WHEN letter IS NULL THEN text END AS response_preview,
       CASE WHEN letter IS NULL THEN 'mcq_parse_failure' ELSE 'mcq_exact_match' END AS method FROM v_mcq_letters""", ("v_mcq_letters",))
 def label_mcq(v):
-    c = LabelInputs(response=F.col("text"), truth=F.lit("x"), correct_index=F.col("correct_index"))
+    c = LabelInputs(response=F.col("text"), truth=F.lit("x"), correct_index=F.col("correct_index"), similarity="edit")
     return fields(v.mcq, ["event_id"], c, L.MEDICAL, "hallucination_label", "confidence", "selected_option",
                   "selected_index", "response_preview", "method")
 

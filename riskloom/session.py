@@ -9,6 +9,28 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+# Settings for large inputs.  Start with many shuffle partitions and let adaptive
+# execution merge small ones and split those of a hot key, even where splitting
+# a join costs another shuffle.
+SCALE_CONF = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128MB",
+    "spark.sql.shuffle.partitions": "20000",
+    "spark.sql.files.maxPartitionBytes": "256MB",
+}
+
+
+def configure(spark: SparkSession, **overrides: str) -> SparkSession:
+    """Apply ``SCALE_CONF`` to a running session; keyword names use _ for the dots."""
+    settings = {**SCALE_CONF, **{k.replace("_", "."): v for k, v in overrides.items()}}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(app: str = "riskloom", cores: str = "8") -> SparkSession:
     """A session for tests and the bench; on a cluster use the one you are given."""
     spark = (
