@@ -76,14 +76,14 @@ def long_features(df: DataFrame, columns: list[str], keep: list[str]) -> DataFra
         .filter(F.col("x").isNotNull() & ~F.isnan("x"))
 
 
-def _fills(df: DataFrame, columns: list[str], method: str) -> dict[str, Column]:
-    """Fill value per column as a scalar subquery over one aggregation."""
+def _fills(df: DataFrame, columns: list[str], method: str) -> Column:
+    """Struct of the fill values as one scalar subquery."""
     if method == "mean":
         one = df.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("s")).scalar()
     else:
         at = exact_quantiles(long_features(df, columns, []), ["feature"], [0.5], few_keys=True)
         one = at.agg(F.struct(*[F.max(F.when(F.col("feature") == c, F.col("at"))).alias(c) for c in columns]).alias("s")).scalar()
-    return {c: one.getField(c) for c in columns}
+    return one
 
 
 def impute(df: DataFrame, columns: list[str], method: str = "mean", fit_on: DataFrame | None = None) -> DataFrame:
@@ -95,14 +95,17 @@ def impute(df: DataFrame, columns: list[str], method: str = "mean", fit_on: Data
     source = df if fit_on is None else fit_on
     if method == "drop":
         return df.dropna(subset=columns)
+    given = df.columns
     if method == "zero":
         fills = {c: F.lit(0.0) for c in columns}
     elif method in ("mean", "median"):
-        fills = _fills(source, columns, method)
+        # stated once, then read by name: the subquery is planned once, not per column
+        df = df.withColumn("_fills", _fills(source, columns, method))
+        fills = {c: F.col("_fills").getField(c) for c in columns}
     else:
         raise ValueError(f"unknown method {method!r}")
     return df.select(*[F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None)), fills[c]).alias(c)
-                       if c in fills else F.col(c) for c in df.columns])
+                       if c in fills else F.col(c) for c in given])
 
 
 def impute_residual(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:
