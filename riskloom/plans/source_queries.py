@@ -113,10 +113,10 @@ _TABLES = ("region nation customer supplier part orders lineitem events document
 
 @query("dataset_presence", " UNION ALL ".join(
     f"SELECT '{t}' AS dataset, count(*) AS n_rows, true AS found FROM {t}" for t in _TABLES)
-    + " UNION ALL SELECT 'med_halt', 0, false")
+    + " UNION ALL SELECT 'not_there', 0, false")
 def dataset_presence(v):
     counted = R.union_all([v.table(t).agg(F.lit(t).alias("dataset"), F.count("*").alias("n")) for t in _TABLES])
-    expected = v.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in [*_TABLES, "med_halt"]])).alias("dataset"))
+    expected = v.spark.range(1).select(F.explode(F.array(*[F.lit(t) for t in [*_TABLES, "not_there"]])).alias("dataset"))
     return expected.join(counted, "dataset", "left").select(
         "dataset", F.coalesce("n", F.lit(0)).alias("n_rows"), F.col("n").isNotNull().alias("found"))
 

@@ -35,7 +35,7 @@ def test_unknown_dataset_and_missing_files(spark, tmp_path):
 
 
 def test_load_domain_numbers_before_filtering(spark, tmp_path):
-    path = tmp_path / "hallumix.csv"
+    path = tmp_path / "answers.csv"
     path.write_text('question,answer,documents\nq0,a0,d0\nq1,a1,"  "\nq2,a2,d2\n')
     got = R.load_domain(spark, "is_agents", str(path)).orderBy("prompt_id").collect()
     assert [(r.prompt_id, r.prompt, r.domain) for r in got] == [("is_agents_0", "q0", "IS"), ("is_agents_2", "q2", "IS")]
