@@ -80,3 +80,12 @@ def materialize(df, stem: str = "stage"):
     path = fresh_path(df.sparkSession, stem)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_stage(df) -> None:
+    """Delete the files of a table that ``materialize`` wrote and nothing reads any more."""
+    for name in df.inputFiles()[:1]:
+        folder = name.rsplit("/", 1)[0]
+        jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
