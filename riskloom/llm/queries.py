@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, quality, secrets, shards, simhash, token_files
+from riskloom.llm import bpe, decontaminate, quality, repeats, secrets, shards, simhash, token_files
 from riskloom.llm.common import table
 from riskloom.session import materialize
 
@@ -46,6 +46,10 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _tokenizers()
     files = token_files.write(table(spark, sf_dir, "documents"), token_files.fresh_folder(spark), p.path(LIBRARY_FILE), p.PATTERN, END_ID)
@@ -56,5 +60,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_decontaminate, op5_quality, op6_bpe, op9_token_files, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_decontaminate, op5_quality, op6_bpe, op7_repeats, op9_token_files, op10_secrets)}
 CHECKS: dict[str, str] = {}
