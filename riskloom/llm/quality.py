@@ -88,14 +88,25 @@ def host_verdicts(hosts: DataFrame, most_failing: float = 0.5) -> DataFrame:
     return hosts.withColumn("host_rate", rate).withColumn("host_rejected", rate > most_failing)
 
 
-def judge(measured: DataFrame, host: str = "source", most_failing: float = 0.5) -> DataFrame:
+def keep_good(docs: DataFrame, host: str = "source", text: str = "text", most_failing: float = 0.5) -> DataFrame:
+    """``docs`` without rows that the document rules or the host rules reject; columns stay as they are."""
+    columns = docs.columns
+    wide = docs.select(F.struct(*[f"`{c}`" for c in columns]).alias("__row"), F.col(f"`{host}`").alias("__from"), F.col(f"`{text}`").alias("__text"))
+    counted = measure(wide.select("__from", "__text"), ["__from"], "__text")
+    judged = judge(measure(wide, ["__row", "__from"], "__text"), "__from", most_failing, counted)
+    return judged.where("kept").select("__row.*")
+
+
+def judge(measured: DataFrame, host: str = "source", most_failing: float = 0.5, counted: DataFrame | None = None) -> DataFrame:
     """``measured`` with ``base_failed``, ``host_rejected`` and ``kept``.
 
+    counted: a narrower table of the same rows to count hosts from, where ``measured`` is wide and not stored.
+
     Host counts fold in each task before they move, so a host with a third of the rows is
     no burden; only rejected hosts are joined back.  A document without a host is judged
     by its own rules.
     """
-    hosts = materialize(host_counts(measured, host), "hosts")
+    hosts = materialize(host_counts(measured if counted is None else counted, host), "hosts")
     bad = host_verdicts(hosts, most_failing).where("host_rejected").select(F.col("host").alias("__host"), F.lit(True).alias("__bad"))
     judged = measured.join(bad, F.col(host) == F.col("__host"), "left")
     out = judged.withColumns({"base_failed": base_failed(), "host_rejected": F.coalesce("__bad", F.lit(False))})

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, quality, repeats, secrets, shards, simhash, token_files
+from riskloom.llm import bpe, decontaminate, language_model, quality, repeats, secrets, shards, simhash, token_files, toxicity
 from riskloom.llm.common import table
 from riskloom.session import materialize
 
@@ -32,6 +32,13 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.scan(docs, benchmark, ["doc_id"])
 
 
+def op4_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = language_model.score(docs, ["doc_id"], language_model.not_held_out())
+    held = F.coalesce(toxicity.remainder("doc_id", 5) == 1, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     measured = materialize(quality.measure(table(spark, sf_dir, "documents"), ["doc_id", "source"]), "measures")
     return quality.judge(measured).select("doc_id", *quality.MEASURES, "base_failed", "kept", "host_rejected")
@@ -50,6 +57,15 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    sample, share = toxicity.training_sample(docs, table(spark, sf_dir, "labels"), "doc_id", "text", "toxic", 2_000, 4_000,
+                                             lambda c: toxicity.remainder(c, 4) != 2)
+    scored = toxicity.score(docs, ["doc_id"], toxicity.fit(sample, share))
+    held = F.coalesce(toxicity.remainder("doc_id", 4) == 2, F.lit(False))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"), "toxic_spans")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _tokenizers()
     files = token_files.write(table(spark, sf_dir, "documents"), token_files.fresh_folder(spark), p.path(LIBRARY_FILE), p.PATTERN, END_ID)
@@ -60,5 +76,6 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_decontaminate, op5_quality, op6_bpe, op7_repeats, op9_token_files, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_decontaminate, op4_language_model, op5_quality, op6_bpe, op7_repeats,
+                                  op8_toxicity, op9_token_files, op10_secrets)}
 CHECKS: dict[str, str] = {}
