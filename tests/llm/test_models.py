@@ -48,13 +48,15 @@ def test_network_is_a_distribution_and_its_slope_is_right():
     slots, h = rng.integers(0, 12, (6, 3)), np.zeros((3, 5))
     on = np.ones((6, 3), bool)
     on[4:, 2] = False
-    _, grads, _ = net.slope(p, slots, on, h)
+    starts = np.zeros((6, 3), bool)
+    starts[2, 1] = True
+    _, grads, _ = net.slope(p, slots, on, h, starts)
     for name, g in grads.items():
         i = tuple(rng.integers(0, s) for s in p[name].shape) if name != "table" else (int(slots[1, 0]), 2)
         values = []
         for d in (1e-3, -1e-3):
             p[name][i] += d
-            values.append(net.log_prob(p, net.run(p, slots, h)[0][on], slots[on])[0].sum())
+            values.append(net.log_prob(p, net.run(p, slots, h, None, starts)[0][on], slots[on])[0].sum())
             p[name][i] -= d
         assert g[i] == pytest.approx((values[0] - values[1]) / 2e-3, rel=2e-2, abs=2e-3), name
 
@@ -64,8 +66,9 @@ def test_state_is_carried(monkeypatch):
     p = net.fresh(np.ones(6))
     rng = np.random.default_rng(2)
     data = [rng.integers(0, 6, n).astype(np.int32) for n in (70, 33, 32, 1, 64)]
-    a, b = lm.log_probs(net, p, data, width=7), lm.log_probs(net, p, data, together=2, width=100)
-    assert all(np.allclose(x, y, atol=1e-4) for x, y in zip(a, b))
+    flat, n = np.concatenate(data), np.array([len(x) for x in data])
+    a, b = lm.log_probs(net, p, flat, n, width=7), lm.log_probs(net, p, flat, n, together=2, width=100)
+    assert np.allclose(a, b, atol=1e-4)
 
 
 def test_training_beats_counts(spark, sf):
