@@ -37,7 +37,7 @@ class MergeReplay:
         try:
             return self.pairs[a, b]
         except KeyError:
-            if len(self.pairs) > 500_000:
+            if len(self.pairs) > 200_000:
                 self.pairs.clear()
             rank = self.pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
             return rank
@@ -110,7 +110,7 @@ def coder(path_key: str, ranks: dict[bytes, int], pattern: str) -> tuple[ChunkCo
     """One coder for each vocabulary and worker process."""
     if path_key not in _CODERS:
         replay = MergeReplay(ranks)
-        _CODERS[path_key] = ChunkCoder(pattern, lambda words: replay.encode([w.encode() for w in words])), replay
+        _CODERS[path_key] = ChunkCoder(pattern, lambda words: replay.encode([w.encode() for w in words]), most=200_000), replay
     return _CODERS[path_key]
 
 
@@ -135,7 +135,7 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str, pattern: str, text
     def compute(batches):
         code, _ = coder(key + pattern, shared.value, pattern)
         for batch in batches:
-            yield [[x for part in slices(batch, text, 8_000_000) for x in code.ids(texts(part, text))]]
+            yield [[x for part in slices(batch, text, 4_000_000) for x in code.ids(texts(part, text))]]
 
     return row_wise(docs, keep, text, {"ids": "binary"}, compute)
 

@@ -31,7 +31,7 @@ class ChunkCoder:
     encode: gets a list of distinct pieces and returns their ids in the same order.
     """
 
-    def __init__(self, pattern: str, encode, kind: str = "<u4", most: int = 500_000) -> None:
+    def __init__(self, pattern: str, encode, kind: str = "<u4", most: int = 450_000) -> None:
         self.cut = piece_pattern(pattern).findall
         self.encode, self.kind, self.most = encode, np.dtype(kind), most
         self.chunks: dict[str, bytes | bool] = {}

@@ -104,7 +104,7 @@ def write(docs: DataFrame, folder: str, vocabulary: str, pattern: str, end: int,
             n_docs += len(ids)
             n_null += sum(i is None for i in ids)
             files["docs"].write(np.array([i or 0 for i in ids], "<i8").tobytes())
-            for piece in slices(batch, "text", 8_000_000):
+            for piece in slices(batch, "text", 4_000_000):
                 coded = code.ids(texts(piece, "text"))
                 counts = np.array([len(x) // code.kind.itemsize + 1 for x in coded], "<u8")
                 files["offsets"].write((np.cumsum(counts, dtype="<u8") + np.uint64(n_ids)).tobytes())
