@@ -41,8 +41,7 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, token ids (little-endian unsigned 32 bit), their number, and digests of the ids and of what they decode to."""
     path, keep = public_tokenizers.path(VOCABULARY), ["doc_id", "lang", "source"]
-    coded = bpe.encode(docs.select(*keep, "text"), keep, path, public_tokenizers.PATTERN)
-    back = bpe.decoded(coded, [*keep, "ids"], path)
+    back = bpe.encode(docs.select(*keep, "text"), keep, path, public_tokenizers.PATTERN, back=True)
     return back.select(*keep, (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

@@ -15,7 +15,7 @@ import heapq
 import numpy as np
 from pyspark.sql import DataFrame
 
-from riskloom.llm.common import row_wise, slices, texts
+from riskloom.llm.common import row_wise, texts
 from riskloom.llm.pieces import ChunkCoder
 
 _CODERS: dict = {}
@@ -110,7 +110,7 @@ def coder(path_key: str, ranks: dict[bytes, int], pattern: str) -> tuple[ChunkCo
     """One coder for each vocabulary and worker process."""
     if path_key not in _CODERS:
         replay = MergeReplay(ranks)
-        _CODERS[path_key] = ChunkCoder(pattern, lambda words: replay.encode([w.encode() for w in words]), most=200_000), replay
+        _CODERS[path_key] = ChunkCoder(pattern, lambda words: replay.encode([w.encode() for w in words]), most=300_000), replay
     return _CODERS[path_key]
 
 
@@ -124,20 +124,23 @@ def _shared(docs: DataFrame, vocabulary: str):
     return key, docs.sparkSession.sparkContext.broadcast(read_ranks(vocabulary))
 
 
-def encode(docs: DataFrame, keep: list[str], vocabulary: str, pattern: str, text: str = "text") -> DataFrame:
+def encode(docs: DataFrame, keep: list[str], vocabulary: str, pattern: str, text: str = "text", back: bool = False) -> DataFrame:
     """``keep`` columns and ``ids``, the token ids of each whole text as little-endian unsigned 32-bit integers.
 
+    back: add ``decoded``, the bytes that the ids stand for, decoded in the same task.
+
     vocabulary: file of base64 tokens and ranks, read by the driver (its size is that of the vocabulary).
     A null or empty text has no ids.
     """
     key, shared = _shared(docs, vocabulary)
 
     def compute(batches):
-        code, _ = coder(key + pattern, shared.value, pattern)
+        code, replay = coder(key + pattern, shared.value, pattern)
         for batch in batches:
-            yield [[x for part in slices(batch, text, 4_000_000) for x in code.ids(texts(part, text))]]
+            ids = code.ids(texts(batch, text))
+            yield [ids, [decode(x, replay.bytes_of) for x in ids]] if back else [ids]
 
-    return row_wise(docs, keep, text, {"ids": "binary"}, compute)
+    return row_wise(docs, keep, text, {"ids": "binary", "decoded": "binary"} if back else {"ids": "binary"}, compute)
 
 
 def decoded(encoded: DataFrame, keep: list[str], vocabulary: str, ids: str = "ids") -> DataFrame:

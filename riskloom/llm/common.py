@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
@@ -27,7 +28,8 @@ def texts(batch: pa.RecordBatch, name: str) -> list[str]:
 def slices(batch: pa.RecordBatch, name: str, most_bytes: int):
     """Runs of rows whose texts have about ``most_bytes`` together; a longer text stands alone."""
     begin, held = 0, 0
-    sizes = [len(x) for x in text_bytes(batch, name)]
+    column = batch.column(batch.schema.get_field_index(name)).cast(pa.binary())
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_pylist()
     for i, size in enumerate(sizes):
         if held and held + size > most_bytes:
             yield batch.slice(begin, i - begin)
@@ -37,6 +39,9 @@ def slices(batch: pa.RecordBatch, name: str, most_bytes: int):
         yield batch.slice(begin, len(sizes) - begin)
 
 
+#: Bytes of text that are worked on at once.
+SLICE = 4_000_000
+
 _ARROW = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64(),
           "binary": pa.binary()}
 _SPARK = {"long": T.LongType(), "int": T.IntegerType(), "string": T.StringType(), "boolean": T.BooleanType(),
@@ -48,7 +53,8 @@ def row_wise(rows: DataFrame, keep: list[str], text: str, new: dict[str, str], c
 
     ``compute`` gets an iterator of record batches and yields, for each, a list of
     value lists in the order of ``new``.  Rows are neither joined nor moved, so repeated and
-    null ids need no care.  A kept column that bears the name of a new one gives way to it.
+    null ids need no care.  A batch goes through in slices of a few MB, so that neither side holds many long texts.
+     A kept column that bears the name of a new one gives way to it.
     """
     keep = [c for c in keep if c not in new]
     carried = rows.select(*[rows[f"`{c}`"] for c in dict.fromkeys([*keep, text])])
@@ -59,9 +65,10 @@ def row_wise(rows: DataFrame, keep: list[str], text: str, new: dict[str, str], c
         held = []
 
         def taken():
-            for batch in batches:
-                held.append(batch)
-                yield batch
+            for whole in batches:
+                for batch in slices(whole, text, SLICE):
+                    held.append(batch)
+                    yield batch
 
         for values in compute(taken()):
             batch = held.pop(0)

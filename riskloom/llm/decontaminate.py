@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, row_wise, slices, text_bytes
+from riskloom.llm.common import row_wise, text_bytes
 
 #: Bytes of a word: digits, letters, and all of a character outside ASCII.
 _WORD = np.zeros(256, np.uint8)
@@ -167,10 +167,9 @@ def scan(docs: DataFrame, benchmark: DataFrame, keep: list[str], text: str = "te
         found, hasher = WindowSet(windows), Hasher()
         for batch in batches:
             rows = []
-            for part in slices(batch, text, 4_000_000):
-                for n_words, spans, items in scan_texts(text_bytes(part, text), found, hasher):
-                    listed = ",".join(sorted(names[i] for i in items))
-                    rows.append((n_words, len(spans), len(items), hashlib.sha256(listed.encode()).hexdigest(), bool(spans)))
+            for n_words, spans, items in scan_texts(text_bytes(batch, text), found, hasher):
+                listed = ",".join(sorted(names[i] for i in items))
+                rows.append((n_words, len(spans), len(items), hashlib.sha256(listed.encode()).hexdigest(), bool(spans)))
             yield [list(c) for c in zip(*rows)] or [[] for _ in FOUND]
 
     return row_wise(docs, keep, text, FOUND, compute)
@@ -199,10 +198,8 @@ def drop_spans(docs: DataFrame, benchmark: DataFrame, text: str = "text", width:
         found, hasher = WindowSet({w: [] for w in shared.value}), Hasher()
         for batch in batches:
             nulls = batch.column(batch.schema.get_field_index(text)).is_null().to_pylist()
-            out: list = []
-            for part in slices(batch, text, 4_000_000):
-                data = text_bytes(part, text)
-                out += [cut_spans(x, s[1]).decode("utf-8", "replace") for x, s in zip(data, scan_texts(data, found, hasher))]
+            data = text_bytes(batch, text)
+            out = [cut_spans(x, s[1]).decode("utf-8", "replace") for x, s in zip(data, scan_texts(data, found, hasher))]
             yield [[None if n else x for n, x in zip(nulls, out)]]
 
     return row_wise(docs, docs.columns, text, {text: "string"}, compute).select(*[f"`{c}`" for c in docs.columns])

@@ -47,8 +47,7 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _tokenizers()
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    coded = bpe.encode(docs, ["doc_id"], p.path(BPE_FILE), p.PATTERN)
-    back = bpe.decoded(coded, ["doc_id", "ids"], p.path(BPE_FILE))
+    back = bpe.encode(docs, ["doc_id"], p.path(BPE_FILE), p.PATTERN, back=True)
     return back.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 

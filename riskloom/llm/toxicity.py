@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, row_wise, slices, text_bytes
+from riskloom.llm.common import LOWER, row_wise, text_bytes
 
 _TOKEN = re.compile(rb"[^\x20\x09-\x0D]+")
 _EDGE = bytes(x for x in range(33, 127) if not chr(x).isalnum())
@@ -230,7 +230,7 @@ def score(docs: DataFrame, keep: list[str], chain: Chain, text: str = "text", sp
     def compute(batches):
         tagger = Tagger(shared.value)
         for batch in batches:
-            rows = [r for part in slices(batch, text, 4_000_000) for r in tagger.scores(text_bytes(part, text), spans)]
+            rows = tagger.scores(text_bytes(batch, text), spans)
             yield [list(c) for c in zip(*rows)] or [[], []]
 
     return row_wise(docs, keep, text, {"score": "double", "toxic_spans": "string"}, compute)
