@@ -53,8 +53,8 @@ def row_wise(rows: DataFrame, keep: list[str], text: str, new: dict[str, str], c
 
     ``compute`` gets an iterator of record batches and yields, for each, a list of
     value lists in the order of ``new``.  Rows are neither joined nor moved, so repeated and
-    null ids need no care.  A batch goes through in slices of a few MB, so that neither side holds many long texts.
-     A kept column that bears the name of a new one gives way to it.
+    null ids need no care.  Batches go through in slices of a few MB.
+    A kept column that bears the name of a new one gives way to it.
     """
     keep = [c for c in keep if c not in new]
     carried = rows.select(*[rows[f"`{c}`"] for c in dict.fromkeys([*keep, text])])
