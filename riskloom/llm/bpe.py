@@ -37,7 +37,7 @@ class MergeReplay:
         try:
             return self.pairs[a, b]
         except KeyError:
-            if len(self.pairs) > 200_000:
+            if len(self.pairs) > 100_000:
                 self.pairs.clear()
             rank = self.pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
             return rank
@@ -110,7 +110,7 @@ def coder(path_key: str, ranks: dict[bytes, int], pattern: str) -> tuple[ChunkCo
     """One coder for each vocabulary and worker process."""
     if path_key not in _CODERS:
         replay = MergeReplay(ranks)
-        _CODERS[path_key] = ChunkCoder(pattern, lambda words: replay.encode([w.encode() for w in words]), most=300_000), replay
+        _CODERS[path_key] = ChunkCoder(pattern, lambda words: replay.encode([w.encode() for w in words]), most=200_000), replay
     return _CODERS[path_key]
 
 
@@ -139,6 +139,8 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str, pattern: str, text
         for batch in batches:
             ids = code.ids(texts(batch, text))
             yield [ids, [decode(x, replay.bytes_of) for x in ids]] if back else [ids]
+        code.forget()  # the worker may serve other stages next
+        replay.pairs.clear()
 
     return row_wise(docs, keep, text, {"ids": "binary", "decoded": "binary"} if back else {"ids": "binary"}, compute)
 

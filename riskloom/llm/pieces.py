@@ -37,6 +37,9 @@ class ChunkCoder:
         self.chunks: dict[str, bytes | bool] = {}
         self.known: dict[str, bytes] = {}
 
+    def forget(self) -> None:
+        self.chunks, self.known = {}, {}
+
     def _learn(self, pieces) -> None:
         new = list(dict.fromkeys(p for p in pieces if p not in self.known))
         self.known.update(zip(new, (np.array(x, self.kind).tobytes() for x in self.encode(new))))
