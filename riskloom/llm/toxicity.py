@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -87,27 +88,32 @@ def fit(samples: list[tuple[bytes, int]], share: float, epochs: int = 25, least:
     two halves of the sample.  The chain is then fitted to those tokens by its gradient (forward-backward
     expectations), and the document score to the labels by weighted logistic regression on the marginals.
     """
-    tokens = [[tuple(token_features(x)) for x in text.split()] for text, _ in samples]
     labels = np.array([y for _, y in samples])
-    counts: dict[str, np.ndarray] = {}
     sizes = np.zeros((2, 2))
-    for i, (words, y) in enumerate(zip(tokens, labels)):
-        sizes[i % 2, y] += 1
-        for f in {f for fs in words for f in fs}:
-            counts.setdefault(f, np.zeros((2, 2)))[i % 2, y] += 1
+    np.add.at(sizes, (np.arange(len(samples)) % 2, labels.astype(int)), 1)
     if not sizes.any() or labels.min(initial=1) == 1 or labels.max(initial=0) == 0:
         return Chain({}, -8.0, np.zeros((2, 2)), np.array([np.log(max(share, 1e-3) / max(1 - share, 1e-3)), 0, 0, 0, 0]))
+    met = [[Counter(), Counter()] for _ in range(2)]  # documents by half and label
+    for y in (1, 0):
+        for i, (text, label) in enumerate(samples):
+            if label == y:
+                found = {f for w in set(text.split()) for f in token_features(w)}
+                met[i % 2][y].update(found if y else found & wanted)
+        if y:
+            wanted = {f for f, n in met[0][1].items() if min(n, met[1][1][f]) >= least}
     lifted = {}
-    for f, c in counts.items():
-        if c[:, 1].min() < least:
-            continue
-        odds = np.log((c[:, 1] + .5) / (sizes[:, 1] + 1)) - np.log((c[:, 0] + .5) / (sizes[:, 0] + 1))
-        if odds.min() > 1.8:
-            lifted[f] = float(odds.mean())
+    for f in wanted:
+        odds = [np.log((met[k][1][f] + .5) / (sizes[k, 1] + 1)) - np.log((met[k][0][f] + .5) / (sizes[k, 0] + 1)) for k in range(2)]
+        if min(odds) > 1.8:
+            lifted[f] = float(np.mean(odds))
+    del met, wanted
     names = {f: i for i, f in enumerate(sorted(lifted))}
-    rows, gold = [], []
-    for words, y in zip(tokens, labels):
-        rows.append([[names[f] for f in fs if f in names] for fs in words])
+    rows, gold, of_word = [], [], {}
+    for text, y in samples:
+        words = text.split()
+        for w in set(words).difference(of_word):
+            of_word[w] = tuple(names[f] for f in token_features(w) if f in names)
+        rows.append([of_word[w] for w in words])
         gold.append(np.array([float(bool(y and r)) for r in rows[-1]]))
     # flat feature lists: position of each token's features
     weights = np.array([lifted[f] for f in sorted(lifted)]) if names else np.zeros(0)
