@@ -134,7 +134,9 @@ def _cluster_large(points: DataFrame, threshold: float, block: int) -> DataFrame
             .select("prompt_id", F.col("best").alias("gone"), F.col("cid").alias("into"))
         merges = materialize(merges, "merges")
         if merges.isEmpty():
-            return members
+            if near.isEmpty():
+                return members
+            raise RuntimeError("clusters within the threshold are left, but no pair is mutually nearest")
         moved = state.join(merges.withColumnRenamed("gone", "cid"), ["prompt_id", "cid"])
         gain = moved.select("prompt_id", F.col("into").alias("cid"), F.col("w").alias("w2"), F.col("usum").alias("u2"))
         kept = state.join(merges.select("prompt_id", F.col("gone").alias("cid")), ["prompt_id", "cid"], "left_anti")

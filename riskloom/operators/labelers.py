@@ -382,7 +382,8 @@ def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "m
     ``prompts`` holds prompt_id, domain, prompt, ground_truth and optionally
     documents, correct_index, existing_label, truth_vector; ``primary`` holds
     prompt_id, primary_response and optionally response_vector.  Prompts
-    without a response drop out through the inner join.
+    without a response drop out through the inner join, and domains without a
+    rule are left out here and counted by ``unruled_domains``.
     """
     joined = prompts.join(primary, "prompt_id")
 
@@ -405,3 +406,9 @@ def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "m
         F.col("_label.confidence").alias("label_confidence"),
         F.col("_label.method").alias("label_method"),
         *[F.col(f"_label.{f}").alias(renamed.get(f, f)) for f in extras])
+
+
+def unruled_domains(prompts: DataFrame, primary: DataFrame, rules: dict[str, Rule] | None = None) -> DataFrame:
+    """domain, n: answered prompts that ``label_responses`` leaves out because their domain has no rule."""
+    ruled = F.coalesce(F.col("domain").isin(*(rules or LABELERS)), F.lit(False))
+    return prompts.join(primary, "prompt_id").filter(~ruled).groupBy("domain").agg(F.count("*").alias("n"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,8 +69,10 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     try:
         return bool(spark.read.format("binaryFile").option("recursiveFileLookup", True)
                     .load(path).select("path").take(1))
-    except Exception:  # noqa: BLE001  the listing raises for an absent path
-        return False
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return False
+        raise
 
 
 def standardize(df: DataFrame, spec: DatasetSpec) -> DataFrame:

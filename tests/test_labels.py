@@ -128,3 +128,10 @@ def test_labels_are_binary_and_filter_stays_small(spark, sf):
     assert df.filter(~F.col("hallucination_label").isin(0, 1)).count() == 0
     plan = df.filter("label_method = 'exact_numerical_match'")._jdf.queryExecution().optimizedPlan().toString()
     assert len(plan) < 200_000
+
+
+def test_domains_without_a_rule_are_counted(spark):
+    prompts = spark.createDataFrame([(1, "nowhere", "p", "t"), (2, None, "p", "t"), (3, "Math", "p", "1"), (4, "nowhere", "p", "t")],
+                                    "prompt_id long, domain string, prompt string, ground_truth string")
+    primary = spark.createDataFrame([(1, "r"), (2, "r"), (3, "1"), (4, "r")], "prompt_id long, primary_response string")
+    assert {(r.domain, r.n) for r in L.unruled_domains(prompts, primary).collect()} == {("nowhere", 2), (None, 1)}
