@@ -27,44 +27,59 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 class MergeReplay:
-    def __init__(self, ranks: dict[bytes, int]) -> None:
-        self.ranks = ranks
+    """Ids of words by merges in rank order; ``together`` is the bytes of words replayed at once."""
+
+    def __init__(self, ranks: dict[bytes, int], together: int = 500_000) -> None:
+        self.ranks, self.together = ranks, together
         self.bytes_of = {v: k for k, v in ranks.items()}
-        self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def pair(self, a: int, b: int) -> int | None:
-        try:
-            return self.pairs[a, b]
-        except KeyError:
-            if len(self.pairs) > 100_000:
-                self.pairs.clear()
-            rank = self.pairs[a, b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b])
-            return rank
+        self.single = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        self.first = np.array([ranks.get(bytes([a, b]), -1) for a in range(256) for b in range(256)], np.int64)
+        known = np.flatnonzero(self.first >= 0)
+        self.bytewise = dict(zip((self.single[known >> 8] << 32 | self.single[known & 255]).tolist(), self.first[known].tolist()))
+        self.pairs: dict[int, int] = dict(self.bytewise)
+
+    def forget(self) -> None:
+        self.pairs = dict(self.bytewise)
+
+    def pair(self, a: int, b: int) -> int:
+        """Rank of two neighbouring tokens, -1 for none; kept under ``a << 32 | b``."""
+        rank = self.pairs[a << 32 | b] = self.ranks.get(self.bytes_of[a] + self.bytes_of[b], -1)
+        return rank
 
     def encode(self, words: list[bytes]) -> list[list[int]]:
         """Ids of each word: always the pair of least rank first, the leftmost of equal ones."""
-        out: list[list[int] | None] = [[self.ranks[w]] if w in self.ranks else None for w in words]
-        token: list[int] = []
-        after: list[int] = []  # next position of the word, -1 at its end
-        before: list[int] = []
-        begins: list[int] = []
-        index: dict[int, list[int]] = {}
-        pair, single = self.pair, self.single
-        for w, known in zip(words, out):
-            if known is not None or not w:
-                begins.append(-1)
-                continue
-            at, n = len(token), len(w)
-            begins.append(at)
-            token += [single[b] for b in w]
-            after += range(at + 1, at + n + 1)
-            after[-1] = -1
-            before += range(at - 1, at + n - 1)
-            before[at] = -1
-            for i in range(at, at + n - 1):
-                if (r := pair(token[i], token[i + 1])) is not None:
-                    index.setdefault(r, []).append(i)
+        out: list[list[int]] = [[self.ranks[w]] if w in self.ranks else [] for w in words]
+        some: list[int] = []
+        size = 0
+        for n, w in enumerate(words):
+            if w and not out[n]:
+                some.append(n)
+                size += len(w)
+                if size >= self.together:
+                    self._replay(words, some, out)
+                    some, size = [], 0
+        if some:
+            self._replay(words, some, out)
+        return out
+
+    def _replay(self, words: list[bytes], some: list[int], out: list[list[int]]) -> None:
+        """Fills ``out`` for the words numbered in ``some``."""
+        data = np.frombuffer(b"".join([words[n] for n in some]), np.uint8).astype(np.int64)
+        ends = np.cumsum([len(words[n]) for n in some])
+        begins = np.concatenate([[0], ends[:-1]])
+        places = np.arange(len(data))
+        following, preceding = places + 1, places - 1  # within the word, -1 beyond it
+        following[ends - 1] = preceding[begins] = -1
+        rank_at = self.first[data[:-1] << 8 | data[1:]]
+        rank_at[ends[:-1] - 1] = -1
+        order = np.argsort(rank_at, kind="stable")
+        order = order[np.searchsorted(rank_at[order], 0) :]
+        met, cuts = np.unique(rank_at[order], return_index=True)
+        index = dict(zip(met.tolist(), (x.tolist() for x in np.split(order, cuts[1:]))))
+        token, after, before = self.single[data].tolist(), following.tolist(), preceding.tolist()
+        if len(self.pairs) > 200_000:
+            self.forget()
+        pair, get = self.pair, self.pairs.get
         ranks = list(index)
         heapq.heapify(ranks)
         while ranks:
@@ -75,35 +90,44 @@ class MergeReplay:
             positions.sort()
             for k, i in enumerate(positions):
                 j = after[i]
-                if token[i] < 0 or j < 0 or pair(token[i], token[j]) != rank:
+                if j < 0 or get(token[i] << 32 | token[j]) != rank:  # a merged token is -1, which no key has
                     continue
                 token[i], token[j] = rank, -1
                 after[i] = j = after[j]
                 lower = False
                 if j >= 0:
                     before[j] = i
-                    if (r := pair(rank, token[j])) is not None:
-                        if r not in index:
+                    r = get(rank << 32 | token[j])
+                    if r is None:
+                        r = pair(rank, token[j])
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(i)
+                        else:
                             heapq.heappush(ranks, r)
-                        index.setdefault(r, []).append(i)
+                            index[r] = [i]
                         lower = r < rank
-                if (h := before[i]) >= 0 and (r := pair(token[h], rank)) is not None:
-                    if r not in index:
-                        heapq.heappush(ranks, r)
-                    index.setdefault(r, []).append(h)
-                    lower |= r < rank
+                h = before[i]
+                if h >= 0:
+                    r = get(token[h] << 32 | rank)
+                    if r is None:
+                        r = pair(token[h], rank)
+                    if r >= 0:
+                        if r in index:
+                            index[r].append(h)
+                        else:
+                            heapq.heappush(ranks, r)
+                            index[r] = [h]
+                        lower |= r < rank
                 if lower:  # a pair of less rank has come up and goes first
                     index.setdefault(rank, []).extend(positions[k + 1 :])
                     heapq.heappush(ranks, rank)
                     break
-        for n, i in enumerate(begins):
-            if out[n] is None:
-                ids = []
-                while i >= 0:
-                    ids.append(token[i])
-                    i = after[i]
-                out[n] = ids
-        return out
+        for n, i in zip(some, begins.tolist()):
+            ids = out[n]
+            while i >= 0:
+                ids.append(token[i])
+                i = after[i]
 
 
 def coder(path_key: str, ranks: dict[bytes, int], pattern: str) -> tuple[ChunkCoder, MergeReplay]:
@@ -140,7 +164,7 @@ def encode(docs: DataFrame, keep: list[str], vocabulary: str, pattern: str, text
             ids = code.ids(texts(batch, text))
             yield [ids, [decode(x, replay.bytes_of) for x in ids]] if back else [ids]
         code.forget()  # the worker may serve other stages next
-        replay.pairs.clear()
+        replay.forget()
 
     return row_wise(docs, keep, text, {"ids": "binary", "decoded": "binary"} if back else {"ids": "binary"}, compute)
 
