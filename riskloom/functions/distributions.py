@@ -10,8 +10,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Steps after which a continued fraction counts as not converging, and the change at which it has converged.
+MOST_STEPS, CONVERGED = 100_000, 4e-15
+#: Degrees of freedom from which Student's t is read off the normal tail; the two forms agree to ten digits there.
+NORMAL_DOF = 1e6
+
+
 def beta_inc(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta by its continued fraction (modified Lentz)."""
+    """Regularised incomplete beta by its continued fraction (modified Lentz); raises if that does not converge."""
     if x <= 0.0 or x >= 1.0:
         return 0.0 if x <= 0.0 else 1.0
     if x > (a + 1.0) / (a + b + 2.0):
@@ -20,7 +26,7 @@ def beta_inc(a: float, b: float, x: float) -> float:
                      + a * math.log(x) + b * math.log1p(-x)) / a
     tiny = 1e-300
     f, c, d = 1.0, 1.0, 0.0
-    for i in range(0, 10_000):
+    for i in range(MOST_STEPS):
         m = i // 2
         if i == 0:
             num = 1.0
@@ -32,9 +38,9 @@ def beta_inc(a: float, b: float, x: float) -> float:
         d = 1.0 / (d if abs(d) > tiny else tiny)
         c = 1.0 + num / (c if abs(c) > tiny else tiny)
         f *= c * d
-        if abs(1.0 - c * d) < 1e-15:
-            break
-    return front * (f - 1.0)
+        if abs(1.0 - c * d) < CONVERGED:
+            return front * (f - 1.0)
+    raise ArithmeticError(f"no convergence of the incomplete beta at a={a}, b={b}, x={x}")
 
 
 def gamma_q(a: float, x: float) -> float:
@@ -53,18 +59,26 @@ def gamma_q(a: float, x: float) -> float:
     b = x + 1 - a
     c, d = 1e300, 1.0 / b
     h = d
-    for i in range(1, 10_000):
+    for i in range(1, MOST_STEPS):
         an = -i * (i - a)
         b += 2
         d = 1.0 / (an * d + b)
         c = b + an / c
         h *= d * c
-        if abs(d * c - 1.0) < 1e-15:
-            break
-    return h * scale
+        if abs(d * c - 1.0) < CONVERGED:
+            return h * scale
+    raise ArithmeticError(f"no convergence of the incomplete gamma at a={a}, x={x}")
 
 
 def t_two_sided(t: float, dof: float) -> float:
+    """Two-sided p of Student's t.
+
+    From ``NORMAL_DOF`` on, t becomes a normal deviate (Wallace's form, with an error of the order of 1 / dof^2), since
+    the beta function's terms cancel there and leave fewer digits the more rows there are.
+    """
+    if dof >= NORMAL_DOF:
+        z = (8.0 * dof + 1.0) / (8.0 * dof + 3.0) * math.sqrt(dof * math.log1p(t * t / dof))
+        return math.erfc(z / math.sqrt(2.0))
     return beta_inc(dof / 2.0, 0.5, dof / (dof + t * t))
 
 

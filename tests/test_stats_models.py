@@ -17,6 +17,18 @@ def test_t_tail(t, dof, p):
     assert D.t_two_sided(t, dof) == pytest.approx(p, abs=1e-6)
 
 
+@pytest.mark.parametrize("t", [0.5, 1.96, 5.0, 12.0])
+@pytest.mark.parametrize("dof", [1e10, 1e12])
+def test_t_tail_of_very_many_rows_is_normal(t, dof):
+    assert D.t_two_sided(t, dof) == pytest.approx(math.erfc(t / math.sqrt(2)), rel=1e-6)
+
+
+@pytest.mark.parametrize("t", [0.3, 1.0, 1.96, 4.0, 9.0])
+def test_t_tail_forms_meet(t):
+    dof = D.NORMAL_DOF
+    assert D.t_two_sided(t, dof) == pytest.approx(D.beta_inc(dof / 2, 0.5, dof / (dof + t * t)), rel=1e-6, abs=1e-10)
+
+
 @pytest.mark.parametrize("x, dof, p", [(3.841459, 1, 0.05), (9.487729, 4, 0.05), (13.276704, 4, 0.01), (0.0, 3, 1.0)])
 def test_chi2_tail(x, dof, p):
     assert D.gamma_q(dof / 2, x / 2) == pytest.approx(p, abs=1e-6)
