@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from riskloom.config import EPISTEMIC_COLUMNS, LOG_FLOOR, MCQ_COLUMNS
 from riskloom.functions.choice import option_letter
+from riskloom.operators.ranking import positions
 
 LETTERS = ("A", "B", "C", "D")
 
@@ -110,13 +111,14 @@ def cluster_entropy(clusters: DataFrame, key: str = "prompt_id") -> DataFrame:
 def partner_counts(samples: DataFrame, key: str = "prompt_id") -> DataFrame:
     """How many samples each one is paired with, before and after it.
 
-    The pair list of a prompt is its ``sample_id`` grid (i < j); it grows with the
-    square of the group and is never written out.
+    The pair list of a prompt is the grid of its samples in ``sample_id`` order (i < j);
+    it grows with the square of the group and is never written out.  Ids may have gaps.
     """
     sizes = samples.groupBy(key).agg(F.count("*").alias("_n"))
-    return samples.join(sizes, key).select(
-        key, "sample_id", F.col("sample_id").alias("partners_before"),
-        (F.col("_n") - 1 - F.col("sample_id")).alias("partners_after"),
+    numbered = positions(samples, [key], F.floor(F.col("sample_id") / 4096), [F.col("sample_id")], "partners_before")
+    return numbered.join(sizes, key).select(
+        key, "sample_id", "partners_before",
+        (F.col("_n") - 1 - F.col("partners_before")).alias("partners_after"),
         (F.col("_n") * (F.col("_n") - 1) / 2).cast("bigint").alias("prompt_pairs"))
 
 

@@ -12,6 +12,12 @@ from riskloom.operators import clustering, context, matrix, selection
 from riskloom.operators import uncertainty as U
 
 
+def test_partner_counts_with_gaps(spark):
+    rows = [("a", i) for i in (0, 3, 4, 9_000)] + [("b", 7)]
+    got = U.partner_counts(spark.createDataFrame(rows, "prompt_id string, sample_id long")).collect()
+    assert sorted(tuple(r) for r in got) == [("a", 0, 0, 3, 6), ("a", 3, 1, 2, 6), ("a", 4, 2, 1, 6), ("a", 9_000, 3, 0, 6), ("b", 7, 0, 0, 0)]
+
+
 def test_token_stats(spark):
     rng = random.Random(1)
     data = {"a": [-0.1, -2.0, -0.5], "b": [-rng.expovariate(0.2) for _ in range(500)], "c": [-900.0, -901.0], "d": [-0.25]}
