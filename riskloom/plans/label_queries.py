@@ -367,7 +367,7 @@ def keyed_plan(v):
 
 def cache(v):
     """Answers already stored: the sample turns that exist, keyed like the plan."""
-    have = v.samples.filter("sample_id < 5").select("prompt_id", F.col("sample_id").cast("int"), "text")
+    have = v.samples.select("prompt_id", F.col("sample_id").cast("int"), "text")
     return keyed_plan(v).join(have, ["prompt_id", "sample_id"]).select("request_key", "text")
 
 
