@@ -23,6 +23,8 @@ from riskloom.operators.selection import class_weight
 from riskloom.session import materialize
 
 LABEL = "hallucination_label"
+#: gamma is a loss reduction summed over a node's rows, minInfoGain a mean per row: taken as that of a node of 1,000 rows.
+GAIN_PER_GAMMA = 1 / 1000
 
 
 @dataclass
@@ -68,8 +70,9 @@ def booster(spec: BoosterSpec, label: str, seed: int = SEED, validated: bool = T
     est = GBTClassifier(
         featuresCol="features", labelCol=label, weightCol="weight", maxDepth=spec.max_depth, stepSize=spec.step_size,
         maxIter=spec.n_trees, subsamplingRate=spec.subsample, featureSubsetStrategy=str(spec.column_sample),
-        minInstancesPerNode=spec.min_child, minInfoGain=spec.gamma / 1000.0, seed=seed)
-    return est.setValidationIndicatorCol("is_validation") if validated else est
+        minInstancesPerNode=spec.min_child, minInfoGain=spec.gamma * GAIN_PER_GAMMA, seed=seed)
+    # small steps gain less than the default tolerance from tree to tree; stop only where the held part gets worse
+    return est.setValidationIndicatorCol("is_validation")._set(validationTol=0.0) if validated else est
 
 
 def training_frame(df: DataFrame, columns: list[str], ids: list[str], label: str, spec: BoosterSpec) -> DataFrame:
@@ -116,7 +119,7 @@ def tune(df: DataFrame, columns: list[str], ids: list[str], label: str = LABEL,
     plain = booster(base, label, seed, validated=False)
     grid = [{plain.maxDepth: s.max_depth, plain.stepSize: s.step_size, plain.maxIter: s.n_trees,
              plain.subsamplingRate: s.subsample, plain.featureSubsetStrategy: str(s.column_sample),
-             plain.minInstancesPerNode: s.min_child, plain.minInfoGain: s.gamma / 1000.0} for s in specs]
+             plain.minInstancesPerNode: s.min_child, plain.minInfoGain: s.gamma * GAIN_PER_GAMMA} for s in specs]
     cv = CrossValidator(estimator=plain, estimatorParamMaps=grid, numFolds=n_folds, foldCol="fold",
                         evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=parallelism, seed=seed)
     scores = [float(x) for x in cv.fit(folded).avgMetrics]
