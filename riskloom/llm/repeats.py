@@ -5,6 +5,7 @@ the same one).  Every start of such a string (a window) is owned by one anchor:
 the short substrings inside the window.  Equal windows have equal anchors, so only anchors seen twice matter.
 Copies of an anchor whose owned bytes are equal fold to the first; what differs is brought together by anchor
 as text, its suffixes are sorted, and the longest-previous-factor array tells the windows with an earlier match.
+Of an anchor with very many different copies only digests of windows move, and the first place of each is a minimum.
 """
 
 from __future__ import annotations
@@ -134,62 +135,70 @@ def _anchor_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, own long, doc long, tie long, at long")
 
 
-def _owned_text(length: int, parts: int):
-    """Rows (key, part, doc, tie, at, bytes) of wanted anchors from (doc, tie, text, list of (key, at, wide)).
-
-    Of a key with very many different copies (wide), each window goes alone to a part told by its own bytes.
-    """
-    kind = pa.struct([("key", pa.int64()), ("part", pa.int32()), ("doc", pa.int64()), ("tie", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
+def _owned_text(length: int):
+    """Rows (key, doc, tie, at, bytes) of wanted anchors from (doc, tie, text, list of (key, at))."""
+    kind = pa.struct([("key", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
             for doc, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "text"), batch.column(3).to_pylist()):
                 out = []
                 for w in wanted:
                     first, n = w["at"] >> 16, w["at"] & 255
-                    if not w["wide"]:
-                        out.append({"key": w["key"], "part": 0, "doc": doc, "tie": tie, "at": w["at"], "bytes": text[first : first + n - 1 + length]})
-                        continue
-                    for i in range(first, first + n):
-                        one = text[i : i + length]
-                        out.append({"key": w["key"], "part": xxhash.xxh32_intdigest(one) % parts, "doc": doc, "tie": tie, "at": (i << 16) | 1, "bytes": one})
+                    out.append({"key": w["key"], "doc": doc, "tie": tie, "at": w["at"], "bytes": text[first : first + n - 1 + length]})
                 yield pa.RecordBatch.from_struct_array(pa.array(out, kind))
 
     return run
 
 
+def _window_digests(length: int):
+    """Rows (digest, doc, tie, at) of each window of the wanted anchors, from the same input; digests have 128 bits of BLAKE2b."""
+    names = ["digest", "doc", "tie", "at"]
+
+    def run(batches):
+        digest = hashlib.blake2b
+        for batch in batches:
+            for doc, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "text"), batch.column(3).to_pylist()):
+                at = [i for w in wanted for i in range(w["at"] >> 16, (w["at"] >> 16) + (w["at"] & 255))]
+                for a in range(0, len(at), 100_000):
+                    part = at[a : a + 100_000]
+                    found = [digest(text[i : i + length], digest_size=16).digest() for i in part]
+                    yield pa.RecordBatch.from_arrays([pa.array(found, pa.binary()), pa.array([doc] * len(part), pa.int64()), pa.array([tie] * len(part), pa.int64()),
+                                                      pa.array([i << 16 | 1 for i in part], pa.int64())], names=names)
+
+    return run
+
+
 def _matched(length: int, most_bytes: int = 4_000_000):
-    """(doc, tie, first, n) of windows with an earlier match, from owned text sorted by key, part, doc, tie and place.
+    """(doc, tie, first, n) of windows with an earlier match, from owned text sorted by key, doc, tie and place.
 
     Whole groups are gathered until they fill a buffer, and one suffix order serves them all.
     """
     def flush(rows):
-        sizes = np.array([len(r[5]) for r in rows])
+        sizes = np.array([len(r[4]) for r in rows])
         begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
         counts = sizes - length + 1
         starts = np.repeat(begins, counts) + np.concatenate([np.arange(c) for c in counts])
-        hit = previous_factors(np.frombuffer(b"".join(r[5] for r in rows), np.uint8), starts, length)
+        hit = previous_factors(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), starts, length)
         owner = np.repeat(np.arange(len(rows)), counts)
         offset = starts - begins[owner]
         edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])]))
         stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (owner[1:] == owner[:-1]), [False]]))
         who = owner[edge]
-        first = np.array([r[4] >> 16 for r in rows])[who] + offset[edge]
+        first = np.array([r[3] >> 16 for r in rows])[who] + offset[edge]
         pick = lambda i: pa.array([rows[k][i] for k in who.tolist()], pa.int64())
-        return pa.RecordBatch.from_arrays([pick(2), pick(3), pa.array(first), pa.array(stop - edge + 1)], names=["doc", "tie", "first", "n"])
+        return pa.RecordBatch.from_arrays([pick(1), pick(2), pa.array(first), pa.array(stop - edge + 1)], names=["doc", "tie", "first", "n"])
 
     def run(batches):
         held, size, mark = [], 0, None
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > most_bytes and row[:2] != mark:
+                if size > most_bytes and row[0] != mark:
                     yield flush(held)
                     held, size = [], 0
                 held.append(row)
-                size += len(row[5])
-                mark = row[:2]
+                size += len(row[4])
+                mark = row[0]
         if held:
             yield flush(held)
 
@@ -199,7 +208,7 @@ def _matched(length: int, most_bytes: int = 4_000_000):
 def cut_ranges(text: bytes, marks: list[tuple[int, int, int]], length: int) -> list[tuple[int, int]]:
     """Maximal removed runs of a text from marks (kind, first window, windows).
 
-    Windows of kind 0 have an earlier match, except those of kind 1 (a first copy), except those of kind 2 (matched by another).
+    Windows of kind 0 have an earlier match, except those of kind 1 (first copies), except those of kind 2 (matched by another).
     """
     n = len(text) - length + 1
     if n <= 0 or not marks:
@@ -218,12 +227,12 @@ def cut_ranges(text: bytes, marks: list[tuple[int, int, int]], length: int) -> l
     return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
 
 
-def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = 100, seed: int = 24, most_copies: int = 20_000,
-             parts: int = 1 << 16) -> tuple[DataFrame, DataFrame]:
+def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = 100, seed: int = 24, most_copies: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """(documents, marks): rows (doc, tie, text) and lists of marks for ``cut_ranges`` by (doc, tie).
 
     Null ids come first; rows of equal id are ordered by text hash, and identical rows count as one document, so each
-    of them keeps what the one keeps.
+    of them keeps what the one keeps.  An anchor with up to ``most_copies`` different copies is compared as text in one
+    task; of one with more, each window's digest keeps its least place, so no group of equal windows is gathered.
     """
     rows, ties = _ids_of(docs, doc, text)
     distinct = rows.dropDuplicates(["doc", "tie"]) if ties else rows
@@ -235,13 +244,23 @@ def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: i
     firsts = seen.groupBy("key", "own", "mixed").agg(F.min(place).alias("p")).select("key", "mixed", "p.doc", "p.tie", "p.at")
     firsts = materialize(firsts, "firsts")
     mixed = firsts.where("mixed")
-    wide = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_copies).select(F.col("key").alias("k"), F.lit(True).alias("w"))
-    mixed = mixed.join(wide, mixed["key"] == F.col("k"), "left").select("doc", "tie", F.struct("key", "at", F.coalesce("w", F.lit(False)).alias("wide")).alias("a"))
-    wanted = mixed.groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(F.collect_list("a").alias("wanted"))
-    owned = distinct.join(wanted, distinct["doc"].eqNullSafe(F.col("d")) & (distinct["tie"] == F.col("t"))).select("doc", "tie", "text", "wanted")
-    owned = owned.mapInArrow(_owned_text(length, parts), "key long, part int, doc long, tie long, at long, bytes binary")
-    sorted_ = owned.repartition("key", "part").sortWithinPartitions("key", "part", "doc", "tie", "at")
-    matched = sorted_.mapInArrow(_matched(length), "doc long, tie long, first long, n long")
+    wide = mixed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most_copies).select(F.col("key").alias("k"), F.lit(True).alias("wide"))
+    wide = materialize(wide, "wide")
+    some_wide = bool(wide.limit(1).count())
+    if some_wide:
+        firsts = materialize(firsts.join(wide, firsts["key"] == wide["k"], "left").drop("k"), "dealt")
+        mixed, wide = firsts.where("mixed and wide is null"), firsts.where("wide")
+
+    def with_text(anchors):
+        wanted = anchors.groupBy(F.col("doc").alias("d"), F.col("tie").alias("t")).agg(F.collect_list(F.struct("key", "at")).alias("wanted"))
+        return distinct.join(wanted, distinct["doc"].eqNullSafe(F.col("d")) & (distinct["tie"] == F.col("t"))).select("doc", "tie", "text", "wanted")
+
+    owned = with_text(mixed).mapInArrow(_owned_text(length), "key long, doc long, tie long, at long, bytes binary")
+    matched = owned.repartition("key").sortWithinPartitions("key", "doc", "tie", "at").mapInArrow(_matched(length), "doc long, tie long, first long, n long")
+    if some_wide:
+        windows = with_text(wide).mapInArrow(_window_digests(length), "digest binary, doc long, tie long, at long")
+        least = windows.groupBy("digest").agg(F.min(place).alias("p")).select("p.doc", "p.tie", "p.at")
+        firsts = firsts.where("wide is null").select("doc", "tie", "at").unionByName(least)
     spread = lambda df, kind: df.select("doc", "tie", F.struct(F.lit(kind).alias("kind"), F.shiftright("at", 16).alias("first"), F.col("at").bitwiseAND(255).alias("n")).alias("m"))
     marks = spread(seen, 0).unionByName(spread(firsts, 1)).unionByName(
         matched.select("doc", "tie", F.struct(F.lit(2).alias("kind"), "first", "n").alias("m")))

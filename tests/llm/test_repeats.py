@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -85,3 +86,34 @@ def test_slices_of_a_long_text(monkeypatch):
     key, own, at, first, n = repeats.Anchors(100, 24).of(text)
     assert sorted(i for f, c in zip(first.tolist(), n.tolist()) for i in range(f, f + c)) == list(range(2901))
     assert all(f <= a <= f + 76 for a, f in zip(at.tolist(), first.tolist()))
+
+
+def test_no_group_of_equal_windows_is_gathered(spark, monkeypatch):
+    """A passage that many rows share in different surroundings: a task sees at most ``most_copies`` texts of a group."""
+    real, most = repeats._matched, 30
+
+    def watched(length):
+        run = real(length)
+
+        def look(batches):
+            held = list(batches)
+            seen = Counter(k for b in held for k in zip(*(b.column(i).to_pylist() for i in range(b.num_columns) if b.schema.names[i] in ("key", "part"))))
+            assert max(seen.values(), default=0) <= most, seen.most_common(1)
+            yield from run(iter(held))
+
+        return look
+
+    monkeypatch.setattr(repeats, "_matched", watched)
+    rng = random.Random(3)
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage, other = some(230), some(150)
+    rows = [(i, some(rng.randrange(90, 140)) + (passage if i % 3 else other) + some(rng.randrange(90, 140))) for i in range(300)]
+    rows += [(None, some(50) + passage), (300, passage + passage), (301, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = {w[0]: w for w in plain(sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)))}
+    parts, marks = repeats.repeated(docs, most_copies=most)
+    found = {m.d: m.marks for m in marks.collect()}
+    for i, t in rows:
+        cut = repeats.cut_ranges(t.encode(), [tuple(m) for m in found.get(i, ())], 100)
+        assert (sum(b - a for a, b in cut), len(cut)) == want[i][2:4]
+    assert sum(w[2] > 100 for w in want.values()) > 250
