@@ -87,6 +87,22 @@ def test_secret_windows(spark, odd_docs, odd_rows, no_docs):
     assert secrets.scan(no_docs, ["doc_id"]).collect() == []
 
 
+def test_random_keys_are_found():
+    import random
+    import string
+
+    rng = random.Random(5)
+    for n, most in ((20, .08), (24, .05), (32, .02)):
+        keys = ["".join(rng.choice(string.ascii_letters + string.digits) for _ in range(n)) for _ in range(1000)]
+        assert sum(not secrets.all_spans(f"see {k} now")[1] for k in keys) <= most * len(keys), n
+    key = "Zq8vLw3nTy6RkP1sXd9BfHgJ"
+    for before in ("sample_client_id=", "example/", "a-dummy_", "id-123e4567-e89b-42d3-a456-426614174000/", "xxxx-"):
+        assert any(a <= len(before) and b == len(before) + len(key) for a, b, _ in secrets.all_spans(before + key)[1]), before
+        assert key[:20] not in secrets.redact_text(before + key)
+    for s in ("see id=123e4567-e89b-42d3-a456-426614174000", "key-example1q8vLw3nTy6RkP1sXd9BfHgJ", "blog/2024/05/12/some_long_title-of-version2_page"):
+        assert secrets.all_spans(s)[1] == [], s
+
+
 def plain_hits(text, items, width=10):
     cut = lambda t: re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").encode().translate(bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))))
     words, hit, met = cut(text), set(), set()
