@@ -59,6 +59,19 @@ def test_host_rules(spark):
     assert alpha == pytest.approx(m * s) and beta == pytest.approx((1 - m) * s)
 
 
+def test_method_rules(spark):
+    """Symbols, word lengths and duplicate lines reject documents and count for their hosts; the base verdict stays."""
+    good = "one two three four five six seven eight nine ten eleven"
+    bad = ["Ofthstrent### thoner$$$ to%%% one two three four five six seven eight", "a b c d e f g h i j k l m", " ".join(c * 12 for c in "abcdefghijk"),
+           "alpha\nbeta one two\nalpha\ngamma three four\nalpha\ndelta five six\nalpha"]
+    rows = [(i, good, "clean") for i in range(100)] + [(100 + i, b, "clean") for i, b in enumerate(bad)]
+    rows += [(200 + i, bad[0] if i % 10 else good, "farm") for i in range(60)]
+    out = {r.doc_id: r for r in quality.judge(quality.measure(spark.createDataFrame(rows, "doc_id long, text string, source string"), ["doc_id", "source"])).collect()}
+    assert not any(r.base_failed for r in out.values())
+    assert all(out[i].kept for i in range(100)) and not any(out[100 + i].kept for i in range(len(bad)))
+    assert all(r.host_rejected == (r.source == "farm") and not (r.source == "farm" and r.kept) for r in out.values())
+
+
 def test_secret_forms(spark, sf, sf_rows):
     def plain(t):
         found = [(m.start(), m.end(), 0, "assign") for m in re.finditer(
