@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, language_model, quality, repeats, secrets, shards, simhash, token_files, toxicity
+from riskloom.llm import bpe, decontaminate, language_model, minhash, quality, repeats, secrets, shards, simhash, token_files, toxicity
 from riskloom.llm.common import table
 from riskloom.session import materialize
 
@@ -75,6 +75,11 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), ["doc_id"])
 
 
+def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, ["doc_id"], width=2)
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_decontaminate, op4_language_model, op5_quality, op6_bpe, op7_repeats,
-                                  op8_toxicity, op9_token_files, op10_secrets)}
+                                  op8_toxicity, op9_token_files, op10_secrets, op11_minhash)}
 CHECKS: dict[str, str] = {}
