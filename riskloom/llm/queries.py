@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.llm import bpe, decontaminate, language_model, minhash, quality, repeats, secrets, shards, simhash, token_files, toxicity
+from riskloom.llm import align, bpe, decontaminate, language_model, lexical, minhash, quality, repeats, secrets, shards, simhash, token_files, toxicity
 from riskloom.llm.common import table
 from riskloom.session import materialize
 
-BPE_FILE, LIBRARY_FILE, END_ID = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", 2
+BPE_FILE, LIBRARY_FILE, PIECE_FILE, END_ID = "byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model", 2
 
 
 def _tokenizers():
@@ -80,6 +80,34 @@ def op11_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(docs, ["doc_id"], width=2)
 
 
+def op12_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _tokenizers()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return align.align(docs, ["doc_id"], p.path(LIBRARY_FILE), p.PATTERN, p.path(PIECE_FILE))
+
+
+def op13_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_shards, op3_decontaminate, op4_language_model, op5_quality, op6_bpe, op7_repeats,
-                                  op8_toxicity, op9_token_files, op10_secrets, op11_minhash)}
-CHECKS: dict[str, str] = {}
+                                  op8_toxicity, op9_token_files, op10_secrets, op11_minhash, op12_align, op13_search)}
+
+_TERMS = r"""regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"""
+
+CHECKS: dict[str, str] = {
+    "op13_search": f"""
+WITH docs AS (SELECT doc_id, ts, len(ts) AS n FROM (SELECT doc_id, {_TERMS} AS ts FROM documents) WHERE len(ts) > 0),
+totals AS (SELECT count(*) AS docs, sum(n) AS terms FROM docs),
+postings AS (SELECT doc_id, t, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS t FROM docs) GROUP BY ALL),
+asked AS (SELECT item_id, t, count(*) AS q FROM (SELECT item_id, unnest({_TERMS}) AS t FROM benchmark) GROUP BY ALL),
+weights AS (SELECT t, CAST(floor(1000 * ln((2 * CAST((SELECT docs FROM totals) AS DOUBLE) + 2) / (2 * CAST(count(*) AS DOUBLE) + 1))) AS BIGINT) AS w
+            FROM postings GROUP BY t),
+lengths AS (SELECT doc_id, 100 - 25 + ((25 * CAST(n AS HUGEINT) * (SELECT docs FROM totals)) // (SELECT terms FROM totals)) AS m FROM docs),
+sums AS (SELECT item_id, doc_id, CAST(sum(q * w * ((1000000000 * tf) // (1000 * tf + 12 * m))) AS BIGINT) AS score
+         FROM asked JOIN postings USING (t) JOIN weights USING (t) JOIN lengths USING (doc_id) GROUP BY ALL),
+ranked AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+           FROM sums WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 20""",
+}
