@@ -3,11 +3,12 @@
 Texts with the same shingle set fold to one node.  Band keys put nodes into buckets; a pair of similarity
 0.8 shares none of 36 keys of five rows with probability 6e-7.  Signatures of candidates are compared batch by
 batch and a pair goes as soon as the posterior probability of its being similar falls under ``miss``.
-What survives is verified on the full shingle sets, so every link is right.
+What survives is verified on the full sets of 64-bit shingle hashes, so every link is right.
 
-No bucket is gathered whole and no bucket gives all its pairs: each node first meets the least node of its
+No bucket is gathered whole and no bucket gives all its pairs: each node first meets the least nodes of its
 buckets, verified links fold nodes into components, and only buckets that still hold several
-components are compared further, in blocks of bounded size.
+components are compared further, in blocks of bounded size that give a forest of links.  A pair is compared in the
+first bucket it shares.
 """
 
 from __future__ import annotations
@@ -19,14 +20,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, row_wise, text_bytes
+from riskloom.llm.common import LOWER, SLICE, row_wise, slices, text_bytes
 from riskloom.llm.components import components
 from riskloom.session import drop_stage, materialize
 
 ROWS, BANDS, BATCH = 5, 36, 60
 HASHES = ROWS * BANDS
-#: Rows of a bucket that one group compares with one another or with as many others.
-BLOCK = 512
+#: Rows of a bucket that one group compares with one another or with as many others, and the shingles they have, about.
+BLOCK, BLOCK_SHINGLES = 512, 200_000
 
 _random = np.random.default_rng(20_11)
 _FACTORS = _random.integers(0, 1 << 32, HASHES, np.uint32) | np.uint32(1)
@@ -82,7 +83,8 @@ def signature(hashes: np.ndarray) -> np.ndarray:
 
 def band_keys(least: np.ndarray) -> np.ndarray:
     rows = least.reshape(BANDS, ROWS).astype(np.uint64)
-    return _mixed((rows * _STEPS).sum(axis=1, dtype=np.uint64) ^ _BAND_SEEDS)
+    keys = _mixed((rows * _STEPS).sum(axis=1, dtype=np.uint64) ^ _BAND_SEEDS)
+    return keys & ~np.uint64(63) | np.arange(BANDS, dtype=np.uint64)  # the last bits name the band
 
 
 def short_signature(least: np.ndarray) -> np.ndarray:
@@ -166,127 +168,149 @@ def _pruned_stars(percent: int, miss: float):
     return run
 
 
-def _pruned_blocks(percent: int, miss: float, every: bool):
-    """Pairs of different components within a group that stay.
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted sets, neither of them empty."""
+    if len(a) > len(b):
+        a, b = b, a
+    return int(np.count_nonzero(b[np.minimum(np.searchsorted(b, a), len(b) - 1)] == a))
 
-    A group with more of them than four a row gives, for each row, only the closest one, marked ``cut``.
+
+def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    both = shared(a, b)
+    return 100 * both >= percent * (len(a) + len(b) - both)
+
+
+def forest(band: int, left: np.ndarray, right: np.ndarray | None, root: np.ndarray, n: np.ndarray, signatures: np.ndarray,
+           sets: list, prune: Pruner) -> list[tuple[int, int]]:
+    """Links among rows ``left``, or from them to ``right``, that join all components which similar pairs would join.
+
+    Pairs of one component, those that an earlier band compares, and those already joined here are passed over.
     """
+    top = {r: r for r in np.unique(root).tolist()}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = x = top[top[x]]
+        return x
+
+    out = []
+    bands = signatures.reshape(-1, BANDS, ROWS)[:, :band]
+    for k, i in enumerate(left.tolist()):
+        others = left[k + 1 :] if right is None else right
+        others = others[root[others] != root[i]]
+        if band and len(others):
+            others = others[~(bands[others] == bands[i]).all(axis=2).any(axis=1)]
+        at, same = prune.agreeing(signatures[i : i + 1], signatures[others], n[i], n[others])
+        mine = None
+        for j in others[at[np.argsort(-same, kind="stable")]].tolist():
+            a, b = find(int(root[i])), find(int(root[j]))
+            if a == b:
+                continue
+            mine = np.frombuffer(sets[i], np.uint64) if mine is None else mine
+            if similar(mine, np.frombuffer(sets[j], np.uint64), prune.percent):
+                top[max(a, b)] = min(a, b)
+                out.append((i, j))
+    return out
+
+
+def _linked_blocks(percent: int, miss: float):
+    """Links of each group of rows (key, p, q): block p against block q of a bucket.  Rows come sorted by group."""
+    def links_of(batch: pa.RecordBatch, prune: Pruner, edges: list[int]) -> pa.RecordBatch:
+        key, p, q, block, node, root, n = (batch.column(i).to_numpy() for i in range(7))
+        signatures, sets = _matrix(batch.column(7)), batch.column(8).to_pylist()
+        out = []
+        for start, end in zip(edges, edges[1:]):
+            own = np.arange(start, end)
+            if p[start] == q[start]:
+                left, right = own, None
+            else:
+                left, right = own[block[own] == p[start]], own[block[own] == q[start]]
+            out += forest(int(key[start]) & 63, left, right, root, n, signatures, sets, prune)
+        x, y = np.array(out, np.int64).reshape(-1, 2).T
+        return pa.RecordBatch.from_arrays([pa.array(node[x]), pa.array(node[y])], names=["a", "b"])
+
     def run(batches):
-        prune = Pruner(percent, miss)
+        prune, rest = Pruner(percent, miss), None
         for batch in batches:
-            p, q, lists = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2)
-            ends = np.cumsum(lists.value_lengths().to_numpy())
-            flat = lists.flatten()
-            node, root, block, n = (flat.field(i).to_numpy() for i in range(4))
-            signatures = _matrix(flat.field(4))
-            out: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-            for g, (start, end) in enumerate(zip(np.concatenate([[0], ends]).tolist(), ends.tolist())):
-                own = np.arange(start, end)
-                left, right = own[block[own] == p[g]], own[block[own] == q[g]]
-                found, held = [], 0
-                for k, i in enumerate(left.tolist()):
-                    others = right[k + 1 :] if p[g] == q[g] else right
-                    others = others[root[others] != root[i]]
-                    at, same = prune.agreeing(signatures[i : i + 1], signatures[others], n[i], n[others])
-                    if len(at):
-                        found.append((np.full(len(at), i), others[at], same))
-                        held += len(at)
-                if not held:
-                    continue
-                x, y, same = (np.concatenate(c) for c in zip(*found))
-                cut = not every and held > 4 * len(own)
-                if cut:
-                    ends_of, pair = np.concatenate([x, y]), np.tile(np.arange(len(x)), 2)
-                    order = np.lexsort((-np.tile(same, 2), ends_of))
-                    _, first = np.unique(ends_of[order], return_index=True)
-                    at = np.unique(pair[order[first]])
-                    x, y, same = x[at], y[at], same[at]
-                out.append((node[x], node[y], same, np.full(len(x), cut)))
-            columns = [np.concatenate(c) for c in zip(*out)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0, bool)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "same", "cut"])
+            if not len(batch):
+                continue
+            if rest is not None:
+                batch = pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            new = np.zeros(len(batch) - 1, bool)
+            for i in range(3):
+                column = batch.column(i).to_numpy()
+                new |= column[1:] != column[:-1]
+            edges = [0, *(np.flatnonzero(new) + 1).tolist()]
+            rest = batch.slice(edges[-1])
+            if len(edges) > 1:
+                yield links_of(batch.slice(0, edges[-1]), prune, edges)
+        if rest is not None:
+            yield links_of(rest, prune, [0, len(rest)])
 
     return run
 
 
-def shingle_set(text: bytes, width: int) -> set:
-    words = text.translate(LOWER).split()
-    if len(words) <= width:
-        return {tuple(words)} if words else set()
-    return set(zip(*(words[j:] for j in range(width))))
+def _hash_sets(width: int):
+    def run(batches):
+        known = WordHashes()
+        for whole in batches:
+            for batch in slices(whole, "text", SLICE):
+                sets = [shingle_hashes(x.translate(LOWER).split(), known, width).tobytes() for x in text_bytes(batch, "text")]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "set"])
 
+    return run
 
-def _verified(percent: int, width: int):
+
+def _verified(percent: int):
     def run(batches):
-        last, held = None, set()
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            keep = []
-            for x, y, left, right in zip(a, b, text_bytes(batch, "left"), text_bytes(batch, "right")):
-                if y != last:
-                    last, held = y, shingle_set(right, width)
-                own = shingle_set(left, width)
-                both = len(own & held)
-                keep.append(100 * both >= percent * (len(own) + len(held) - both))
-            chosen = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([batch.column(0).filter(chosen), batch.column(1).filter(chosen)], names=["a", "b"])
+            pairs = zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            keep = pa.array([similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in pairs], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["a", "b"])
 
     return run
 
 
-def _links(pairs: DataFrame, texts: DataFrame, percent: int, width: int) -> DataFrame:
-    """Those of the pairs whose full shingle sets are similar."""
-    left = texts.select(F.col("node").alias("a"), F.col("text").alias("left"))
-    right = texts.select(F.col("node").alias("b"), F.col("text").alias("right"))
-    whole = pairs.join(left, "a").join(right, "b").select("a", "b", "left", "right")
-    return whole.mapInArrow(_verified(percent, width), "a long, b long")
-
-
-def _mixed_buckets(members: DataFrame, roots: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(p, q, rows): blocks, to be compared with one another, of the buckets that hold several components."""
-    seen = members.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    several = seen.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
-    rows = seen.join(several, "key").select("key", "node", "root", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
-    rows = rows.join(nodes.select("node", "n", "sig"), "node")
+def _mixed_buckets(members: DataFrame, roots: DataFrame, nodes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Rows of the buckets that hold several components, once for each block (p, q) to be compared, sorted by it."""
+    seen = members.join(roots, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    several = seen.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("all")).where("lo < hi")
+    blocks = F.greatest(F.ceil(F.col("size") / BLOCK), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("long")
+    rows = seen.join(several, "key").select("key", "node", "root", "n", blocks.alias("blocks"), F.pmod(F.xxhash64("node"), blocks).alias("block"))
+    rows = rows.join(nodes.select("node", "sig"), "node").join(sets, "node")
     dealt = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.struct("node", "root", "block", "n", "sig").alias("row"))
-    return dealt.groupBy("key", "p", "q").agg(F.collect_list("row").alias("rows")).select("p", "q", "rows")
+    dealt = dealt.select("key", F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "node", "root", "n", "sig", "set")
+    return dealt.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
 
 def link_forest(nodes: DataFrame, docs: DataFrame, doc: str, text: str, percent: int, width: int, miss: float) -> DataFrame:
     """(node, root) of every node that is linked with another."""
     band = nodes.select("node", "keys").mapInArrow(_memberships, "key long, node long")
-    shared = band.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1").drop("size")
-    members = materialize(band.join(shared, "key").select("key", "node", "hub"), "members")
+    common = band.groupBy("key").agg(F.count(F.lit(1)).alias("size"), F.min("node").alias("hub")).where("size > 1").drop("size")
+    members = materialize(band.join(common, "key").join(nodes.select("node", "n"), "node").select("key", "node", "hub", "n"), "members")
     wanted = members.select("node").distinct().join(nodes, "node").select("node", F.col("at.__doc").alias("doc"), F.col("at.__th").alias("th"))
     whole = docs.select(F.col(f"`{doc}`").alias("id"), F.xxhash64(F.col(f"`{text}`")).alias("hash"), F.col(f"`{text}`").alias("text"))
     found = wanted.join(whole, wanted["doc"].eqNullSafe(whole["id"]) & (wanted["th"] == whole["hash"]))
-    texts = materialize(found.groupBy("node").agg(F.first("text").alias("text")), "texts")
+    sets = materialize(found.groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_hash_sets(width), "node long, set binary"), "sets")
+
+    def two(table: DataFrame, *columns: str) -> list[DataFrame]:
+        return [table.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns]) for x in ("a", "b")]
 
-    left = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sig").alias("sig_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sig").alias("sig_b"))
+    left, right = two(nodes, "n", "sig")
     stars = members.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     stars = stars.join(left, "a").join(right, "b").select("a", "b", "n_a", "n_b", "sig_a", "sig_b")
     near = stars.mapInArrow(_pruned_stars(percent, miss), "a long, b long, same long")
     closest = near.groupBy("a").agg(F.max(F.struct("same", (-F.col("b")).alias("b"))).alias("best")).select("a", (-F.col("best.b")).alias("b"))
-    links = materialize(_links(closest, texts, percent, width), "links")
-
-    every = False
-    while True:
-        roots = materialize(components(links).groupBy("node").agg(F.min("root").alias("root")), "roots")
-        near = _mixed_buckets(members, roots, nodes).mapInArrow(_pruned_blocks(percent, miss, every), "a long, b long, same long, cut boolean")
-        pairs = materialize(near.groupBy("a", "b").agg(F.bool_or("cut").alias("cut")), "pairs")
-        new = materialize(_links(pairs.select("a", "b"), texts, percent, width), "links")
-        n_new, some_cut = new.count(), bool(pairs.agg(F.bool_or("cut")).first()[0])
-        drop_stage(pairs)
-        if n_new:
-            links = materialize(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(new), "links")
-        if not some_cut:
-            break
-        every = not n_new
-    if n_new:
-        roots = materialize(components(links).groupBy("node").agg(F.min("root").alias("root")), "roots")
-    for stage in (members, texts):
+    left, right = two(sets, "set")
+    links = closest.join(left, "a").join(right, "b").select("a", "b", "set_a", "set_b").mapInArrow(_verified(percent), "a long, b long")
+
+    roots = materialize(components(materialize(links, "links")), "roots")
+    blocks = _mixed_buckets(members, roots, nodes, sets)
+    new = materialize(blocks.mapInArrow(_linked_blocks(percent, miss), "a long, b long"), "links")
+    if not new.isEmpty():
+        known = roots.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = materialize(components(known.unionByName(new)), "roots")
+    for stage in (members, sets, new):
         drop_stage(stage)
     return roots
 

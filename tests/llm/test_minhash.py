@@ -7,11 +7,19 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from riskloom.llm import minhash
+from riskloom.llm.common import LOWER
+
+
+def shingle_set(text, width):
+    words = text.translate(LOWER).split()
+    if len(words) <= width:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[j:] for j in range(width))))
 
 
 def brute(rows, width, percent=80):
     """(id, shingles, component, kept) of (id, text) rows by plain sets and an inverted index."""
-    sets = [minhash.shingle_set((x or "").encode(), width) for _, x in rows]
+    sets = [shingle_set((x or "").encode(), width) for _, x in rows]
     parent = list(range(len(rows)))
 
     def root(x):
