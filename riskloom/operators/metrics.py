@@ -11,16 +11,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import ARC_MAX_REJECTION, ARC_POINTS, ECE_BINS, SWEEP
-from riskloom.operators.ranking import bucket_offsets, running_totals, unit_bucket
+from riskloom.operators.ranking import cut_order, next_in_order, running_totals, with_next_heads
+from riskloom.session import materialize
 
 KEYS = ["model", "domain"]
 
 
 def score_cells(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
-    """keys, p, pos, neg and an order-keeping bucket of p."""
-    cells = scored.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"),
-                                           F.count_if(F.col("y") == 0).alias("neg"))
-    return cells.withColumn("bucket", unit_bucket(F.col("p")))
+    """keys, p, pos, neg."""
+    return scored.groupBy(*keys, "p").agg(F.count_if(F.col("y") == 1).alias("pos"),
+                                          F.count_if(F.col("y") == 0).alias("neg"))
+
+
+def stored_cells(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
+    """Score cells written once, for several metrics over them."""
+    return materialize(score_cells(scored, keys), "cells")
 
 
 def _pos() -> Column:
@@ -70,7 +75,7 @@ def class_metrics(confusion: DataFrame) -> DataFrame:
 
 def auroc(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Area under ROC, ties count half; NULL when one class is absent."""
-    ranked = running_totals(cells, keys, "bucket", [F.col("p")], {"pos": _pos(), "neg": _neg()})
+    ranked = running_totals(cells, keys, [F.col("p")], {"pos": _pos(), "neg": _neg()})
     below = (F.col("cum_neg") - F.col("neg")).cast("double")
     wins = F.sum(F.col("pos").cast("double") * (below + F.col("neg") / 2))
     pairs = F.max("total_pos").cast("double") * F.max("total_neg")
@@ -83,17 +88,13 @@ def roc_curve(cells: DataFrame, keys: list[str] = KEYS, drop_collinear: bool = T
     A point is dropped when its own step and the next one are the same, i.e. it
     lies on the line through its neighbours; the first and last points stay.
     """
-    ranked = running_totals(cells, keys, "bucket", [F.col("p").desc()],
-                            {"pos": _pos(), "neg": _neg()}, descending=True)
+    order = [F.col("p").desc()]
+    cells, cut = cut_order(cells, keys, order)
+    ranked = running_totals(cells, keys, order, {"pos": _pos(), "neg": _neg()}, cut)
+    # the step after a run's last cell is the first step of the next run
     step = F.struct("pos", "neg")
-    # the step after a bucket's last cell is the first step of the next bucket
-    heads = cells.groupBy(*keys, "bucket").agg(F.max_by(step, "p").alias("head"))
-    parts = [F.col(k) for k in keys] or [F.lit(0)]
-    heads = heads.select(*keys, "bucket", F.lead("head").over(
-        Window.partitionBy(*parts).orderBy(F.col("bucket").desc())).alias("next_head"))
-    inside = Window.partitionBy(*keys, "bucket").orderBy(F.col("p").desc())
-    nxt = F.coalesce(F.lead(step).over(inside), F.col("next_head"))
-    points = ranked.join(heads, [*keys, "bucket"]).withColumn("next_step", nxt)
+    points = with_next_heads(ranked, keys, F.col("p"), True, step, cut)
+    points = points.withColumn("next_step", next_in_order(points, keys, order, step, cut))
     first = (F.col("cum_pos") == F.col("pos")) & (F.col("cum_neg") == F.col("neg"))
     if drop_collinear:
         points = points.filter(first | F.col("next_step").isNull() | (F.col("next_step") != step))
@@ -101,10 +102,9 @@ def roc_curve(cells: DataFrame, keys: list[str] = KEYS, drop_collinear: bool = T
     def share(cum: str, total: str) -> Column:
         return F.when(F.col(total) > 0, F.col(cum) / F.col(total))
 
-    body = points.select(*keys, "bucket", share("cum_neg", "total_neg").alias("fpr"),
+    body = points.select(*keys, "_run", share("cum_neg", "total_neg").alias("fpr"),
                          share("cum_pos", "total_pos").alias("tpr"), F.col("p").alias("threshold"))
-    numbered = running_totals(body, keys, "bucket", [F.col("threshold").desc()],
-                              {"k": F.lit(1)}, descending=True)
+    numbered = running_totals(body, keys, [F.col("threshold").desc()], {"k": F.lit(1)}, cut)
     start = F.array(F.struct(F.lit(0).cast("bigint").alias("k"), F.lit(0.0).alias("fpr"),
                              F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold")))
     row = F.struct(F.col("cum_k").cast("bigint").alias("k"), "fpr", "tpr", "threshold")
@@ -121,11 +121,9 @@ def arc_curve(cells: DataFrame, keys: list[str] = KEYS, points: int = ARC_POINTS
     """
     step = max_rejection / (points - 1)
     conf = F.abs(F.col("p") - 0.5)
-    by_conf = cells.select(*keys, "p", "pos", "neg", conf.alias("conf"),
-                           unit_bucket(conf * 2).alias("cbucket"))
+    by_conf = cells.select(*keys, "p", "pos", "neg", conf.alias("conf"))
     right = F.when(F.col("p") >= 0.5, F.col("pos")).otherwise(F.col("neg"))
-    ranked = running_totals(by_conf, keys, "cbucket", [F.col("conf").desc(), F.col("p")],
-                            {"n": F.col("pos") + F.col("neg"), "right": right}, descending=True)
+    ranked = running_totals(by_conf, keys, [F.col("conf").desc(), F.col("p")], {"n": F.col("pos") + F.col("neg"), "right": right})
     size = F.col("pos") + F.col("neg")
     start = F.col("cum_n") - size
 
@@ -225,7 +223,10 @@ def brier(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
 
 def metrics_bundle(scored: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     """Every scalar metric per key in one row."""
-    cells = score_cells(scored, keys)
+    return bundle_of_cells(stored_cells(scored, keys), keys)
+
+
+def bundle_of_cells(cells: DataFrame, keys: list[str] = KEYS) -> DataFrame:
     base = class_metrics(simple_scores(cells, keys))
     area = arc_area(arc_curve(cells, keys), keys)
     return base.join(auroc(cells, keys), keys).join(area, keys)

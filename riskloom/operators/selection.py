@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.config import K_BEST
 from riskloom.operators.matrix import long_features
-from riskloom.operators.ranking import running_totals, with_value_bucket
+from riskloom.operators.ranking import running_totals
 
 MI_BINS = 10
 
@@ -57,12 +57,11 @@ def chi2_scores(df: DataFrame, columns: list[str], label: str) -> DataFrame:
 
 
 def label_cells(df: DataFrame, columns: list[str], label: str, keys: list[str] | None = None) -> DataFrame:
-    """Per feature and distinct value: counts of both classes and an order-keeping bucket."""
+    """Per feature and distinct value: counts of both classes."""
     keys = keys or []
     long = long_features(df, columns, [*keys, label])
-    cells = long.groupBy(*keys, "feature", "x").agg(
+    return long.groupBy(*keys, "feature", "x").agg(
         F.count("*").alias("n"), F.count_if(F.col(label) == 1).alias("pos"))
-    return with_value_bucket(cells, [*keys, "feature"], "x", few_keys=not keys)
 
 
 def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int = MI_BINS) -> DataFrame:
@@ -71,7 +70,7 @@ def mutual_information(df: DataFrame, columns: list[str], label: str, bins: int
     Equal values share the bin of their first rank.
     """
     cells = label_cells(df, columns, label)
-    ranked = running_totals(cells, ["feature"], "_bucket", [F.col("x")], {"n": F.col("n"), "pos": F.col("pos")})
+    ranked = running_totals(cells, ["feature"], [F.col("x")], {"n": F.col("n"), "pos": F.col("pos")})
     spot = F.floor(F.lit(bins) * (F.col("cum_n") - F.col("n")) / F.col("total_n"))
     table = ranked.groupBy("feature", spot.alias("bin")).agg(
         F.sum("n").alias("n"), F.sum("pos").alias("pos"),

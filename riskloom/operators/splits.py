@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.config import SEED, TRAIN_RATIO
-from riskloom.operators.ranking import hash_bucket, hash_cut, hash_text, positions
+from riskloom.operators.ranking import hash_cut, hash_text, positions
+from riskloom.session import is_stored, materialize
 
 
 def _below_cut(df: DataFrame, keys: list[str], ids: list[str], quota: Column, seed: int) -> DataFrame:
@@ -81,11 +82,24 @@ def fold_count(n: Column, most: int = 5) -> Column:
 
 def stratified_folds(df: DataFrame, ids: list[str], label: str = "hallucination_label",
                      most: int = 5, seed: int = SEED) -> DataFrame:
-    """Add ``fold``: rows of each class dealt out in hash order over ``fold_count`` folds."""
-    hashed = df.withColumn("_h", hash_text(seed, *[F.col(i) for i in ids]))
-    dealt = positions(hashed, [label], hash_bucket(F.col("_h")), [F.col("_h")], "_pos")
-    k = fold_count(df.agg(F.count("*")).scalar(), most)
-    return dealt.withColumn("fold", (F.col("_pos") % k).cast("int")).drop("_h", "_pos")
+    """Add ``fold``: rows of each class dealt out in hash order over ``fold_count`` folds.
+
+    The rows are written once, so that what they come from is computed once; ids and classes alone
+    are put in order, and the folds are joined back.
+    """
+    stored = df if is_stored(df) else materialize(df, "folds")
+    hashed = stored.select(*ids, label, hash_text(seed, *[F.col(i) for i in ids]).alias("_h"))
+    dealt = positions(hashed, [label], [F.col("_h")], "_pos")
+    k = fold_count(stored.agg(F.count("*")).scalar(), most)
+    folds = dealt.select(*ids, label, (F.col("_pos") % k).cast("int").alias("fold"))
+    if set(df.columns) == {*ids, label}:
+        return folds.select(*df.columns, "fold")
+    names = [*dict.fromkeys([*ids, label])]
+    other = folds.select(*[F.col(c).alias(f"_f_{c}") for c in names], "fold")
+    same = F.lit(True)
+    for c in names:
+        same = same & stored[c].eqNullSafe(other[f"_f_{c}"])
+    return stored.join(other, same).select(*[stored[c] for c in df.columns], "fold")
 
 
 def split_rates(df: DataFrame, label: str = "hallucination_label", by: list[str] | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def spearman(df: DataFrame, columns: list[str], label: str) -> DataFrame:
     running counts of distinct values and are centred before squaring.
     """
     cells = label_cells(df, columns, label)
-    ranked = running_totals(cells, ["feature"], "_bucket", [F.col("x")], {"n": F.col("n"), "pos": F.col("pos")})
+    ranked = running_totals(cells, ["feature"], [F.col("x")], {"n": F.col("n"), "pos": F.col("pos")})
     total, hits = F.col("total_n").cast("double"), F.col("total_pos").cast("double")
     dev = (F.col("cum_n") - (F.col("n") - 1) / 2.0) - (total + 1) / 2.0
     cov = F.sum(dev * (F.col("pos") - F.col("n") * hits / total))

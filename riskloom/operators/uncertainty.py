@@ -115,7 +115,7 @@ def partner_counts(samples: DataFrame, key: str = "prompt_id") -> DataFrame:
     it grows with the square of the group and is never written out.  Ids may have gaps.
     """
     sizes = samples.groupBy(key).agg(F.count("*").alias("_n"))
-    numbered = positions(samples, [key], F.floor(F.col("sample_id") / 4096), [F.col("sample_id")], "partners_before")
+    numbered = positions(samples.select(key, "sample_id"), [key], [F.col("sample_id")], "partners_before")
     return numbered.join(sizes, key).select(
         key, "sample_id", "partners_before",
         (F.col("_n") - 1 - F.col("partners_before")).alias("partners_after"),

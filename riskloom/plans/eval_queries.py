@@ -196,9 +196,8 @@ def threshold_sweep(v):
       roc_monotone, roc_bounded, b.auroc IS NULL OR b.auroc BETWEEN 0 AND 1 AS auroc_in_range, arc_valid
     FROM bundle b JOIN shape USING (model, domain) JOIN arc_ok USING (model, domain)""", ("v_all_scored",))
 def metrics_integrity(v):
-    scored = all_scored(v)
-    cells = M.score_cells(scored)
-    return M.integrity(M.metrics_bundle(scored), M.roc_curve(cells), M.arc_curve(cells))
+    cells = M.stored_cells(all_scored(v))
+    return M.integrity(M.bundle_of_cells(cells), M.roc_curve(cells), M.arc_curve(cells))
 
 
 @query("domain_metrics_table", f"""WITH {_BUNDLE}

@@ -139,9 +139,8 @@ def sink_tables(v):
 @query("sink_metrics_json", f"""WITH {_BUNDLE} SELECT model, domain, tp, round(auroc, 4) AS auroc, 20 AS arc_points,
     10 AS bins FROM bundle""", ("v_all_scored",))
 def sink_metrics_json(v):
-    scored = all_scored(v)
-    cells = M.score_cells(scored)
-    docs = W.metrics_documents(M.metrics_bundle(scored), M.arc_curve(cells), M.calibration_bins(cells), M.KEYS)
+    cells = M.stored_cells(all_scored(v))
+    docs = W.metrics_documents(M.bundle_of_cells(cells), M.arc_curve(cells), M.calibration_bins(cells), M.KEYS)
     path = fresh_path(v.spark, "metrics")
     W.write_json(docs, path)
     back = v.spark.read.schema("model string, domain string, document string").json(path)
@@ -159,9 +158,8 @@ def sink_metrics_json(v):
       FROM bundle, (SELECT unnest(range(4)) AS i)
     UNION ALL SELECT 'domain_bar', model, domain, 0.0, auroc FROM bundle""", ("v_all_scored",))
 def plot_tables(v):
-    scored = all_scored(v)
-    cells = M.score_cells(scored)
-    bundle = M.metrics_bundle(scored)
+    cells = M.stored_cells(all_scored(v))
+    bundle = M.bundle_of_cells(cells)
     bins = M.calibration_bins(cells)
 
     def figure(name, df, x, y):
@@ -225,7 +223,7 @@ def documents_alias(v):
       SELECT *, {_KEY_SQL} || '_' || (row_number() OVER (PARTITION BY domain ORDER BY conv_id) - 1) AS pid FROM v_options)
     SELECT pid AS prompt_id, conv_id FROM numbered WHERE documents IS NOT NULL""", ("v_options",))
 def prompt_id_assign(v):
-    numbered = positions(v.options, ["domain"], F.floor(F.col("conv_id") / 4096), [F.col("conv_id")], "place")
+    numbered = positions(v.options, ["domain"], [F.col("conv_id")], "place")
     named = R.prompt_ids(numbered.drop("prompt_id"), _key(F.col("domain")), "place")
     return named.filter(F.col("documents").isNotNull()).select("prompt_id", "conv_id")
 

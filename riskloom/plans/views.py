@@ -43,14 +43,14 @@ class Views:
     def samples(self) -> DataFrame:
         """prompt_id, conv_id, sample_id, text: assistant turns in order."""
         turns = self.table("conversations").filter(F.col("role") == "assistant")
-        ranked = positions(turns, ["conv_id"], F.floor(F.col("turn") / 512), [F.col("turn")], "sample_id")
+        ranked = positions(turns, ["conv_id"], [F.col("turn")], "sample_id")
         return ranked.select(F.concat(F.lit("conv_"), F.col("conv_id")).alias("prompt_id"),
                              "conv_id", "sample_id", "text")
 
     @cached_property
     def logprobs(self) -> DataFrame:
         """prompt_id, pos, logprob: one row per token."""
-        ranked = positions(self.table("events"), ["user_id"], F.date_trunc("minute", F.col("ts")),
+        ranked = positions(self.table("events").select("user_id", "ts", "event_id", "value"), ["user_id"],
                            [F.col("ts"), F.col("event_id")], "pos")
         return ranked.select(F.concat(F.lit("conv_"), F.col("user_id")).alias("prompt_id"),
                              "pos", (-F.col("value") / 100).alias("logprob"))
@@ -221,7 +221,7 @@ class Views:
         however busy, becomes one row.
         """
         o = self.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority")
-        ranked = positions(o, ["o_custkey"], F.floor(F.col("o_orderkey") / 4096), [F.col("o_orderkey")], "place")
+        ranked = positions(o, ["o_custkey"], [F.col("o_orderkey")], "place")
         return ranked.withColumn("doc", F.concat(
             F.lit("c"), F.col("o_custkey"), F.lit("_"), F.floor(F.col("place") / self.CHUNK)))
 

@@ -79,7 +79,14 @@ def materialize(df, stem: str = "stage"):
     """
     path = fresh_path(df.sparkSession, stem)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._riskloom_stored = True
+    return stored
+
+
+def is_stored(df) -> bool:
+    """Whether ``df`` is just what ``materialize`` returned, so that reading it again computes nothing again."""
+    return getattr(df, "_riskloom_stored", False)
 
 
 def drop_stage(df) -> None:
