@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -62,6 +63,40 @@ def edit_ratio(a: Column, b: Column) -> Column:
     return F.when(longer > 0, 1.0 - F.levenshtein(a, b) / longer).otherwise(F.lit(1.0))
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
+# Bands of the bounded comparison; the second is tried only where the first was not enough.
+BANDS = (64,)
+
+
+def edit_at_least(a: Column, b: Column, least: Column) -> Column:
+    """``edit_ratio`` where it reaches ``least``; NULL where it does not.
+
+    ``least`` allows so many edits.  Pairs whose lengths differ by more, and a ``least`` over 1, cost no
+    comparison; the others are compared in a narrow band around the diagonal first, then in one as wide
+    as the edits allowed.  The engine still walks along both texts for every row of the table, so for texts of a million
+    characters use ``operators.similarity``, which is linear.
+    """
+    longer = F.greatest(F.length(a), F.length(b))
+    # a hair more than the bound, so that rounding never loses a pair that is just alike enough
+    allowed = F.floor((1.0 - least) * longer + 1e-6).cast("int")
+    allowed = F.least(allowed, longer)
+
+    def within(most: Column, rest: Column) -> Column:
+        return _let(F.call_function("levenshtein", a, b, F.least(most, allowed)),
+                    lambda d: F.when(d >= 0, d).when(allowed <= most, F.lit(None)).otherwise(rest))
+
+    distance = within(allowed, F.lit(None).cast("int"))
+    for band in reversed(BANDS):
+        distance = within(F.lit(band), distance)
+    distance = F.when((allowed >= 0) & (F.abs(F.length(a) - F.length(b)) <= allowed), distance)
+    ratio = F.when(longer > 0, 1.0 - distance / longer).when(least <= 1, F.lit(1.0))
+    return F.when(ratio >= least, ratio)
+
+
 @F.pandas_udf(T.DoubleType())
 def _matcher_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([

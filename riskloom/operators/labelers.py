@@ -19,6 +19,7 @@ from riskloom.functions import text as tx
 from riskloom.functions.choice import option_index, option_letter
 from riskloom.functions.numbers import last_number, multiplier, phrase_unit, unit_in
 from riskloom.functions.vectors import cosine
+from riskloom.operators.similarity import with_similarity
 
 LABEL_FIELDS = {
     "hallucination_label": "int", "confidence": "double", "method": "string", "note": "string",
@@ -44,7 +45,10 @@ class LabelInputs:
     existing_label: Column | None = None
     response_vector: Column | None = None
     truth_vector: Column | None = None
-    similarity: str = "matcher"
+    # "grams" reads ``like``, which the caller has computed from joined gram counts; "edit" and "matcher" compare
+    # whole texts in the row; "banded" gives what "edit" gives wherever that decides the label
+    similarity: str = "edit"
+    like: Column | None = None
     # None compares whole texts; 1000 gives the published shortcut for grounded answers
     compare_chars: int | None = None
 
@@ -71,6 +75,19 @@ class Rule:
 
     stages: tuple[Stage, ...]
     branches: Callable[["LabelInputs", Facts], list[Branch]]
+    # the two texts whose similarity the rule reads, where it reads any
+    compared: Callable[["LabelInputs"], tuple[Column, Column]] | None = None
+
+
+def _like(c: LabelInputs, a: Column, b: Column, least: Column) -> Column:
+    """Similarity of two texts; under "banded" NULL below ``least``, the one at which the label turns."""
+    if c.similarity == "grams":
+        if c.like is None:
+            raise ValueError("similarity 'grams' needs the column like; see with_grams")
+        return F.when(a.isNotNull() & b.isNotNull(), c.like)
+    if c.similarity == "banded":
+        return tx.edit_at_least(a, b, least - 1e-9)
+    return tx.similarity(c.similarity, a, b)
 
 
 def label(**given: Column) -> dict[str, Column]:
@@ -159,7 +176,7 @@ def _values(c: LabelInputs, f: Facts) -> dict[str, Column]:
         "truth_unit": F.when(inferred, F.concat(f.asked, F.lit(" (inferred)"))).otherwise(f.stated),
         "ta": tx.without(tx.terms(a), cfg.FINANCE_STOPWORDS),
         "tb": tx.without(tx.terms(b), cfg.FINANCE_STOPWORDS),
-        "like": tx.similarity(c.similarity, a, b),
+        "a": a, "b": b,
     }
 
 
@@ -167,6 +184,14 @@ def _finance_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
     return {"shared": tx.overlap(f.ta, f.tb)}
 
 
+def _finance_like(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    return {"like": _like(c, f.a, f.b, (cfg.FINANCE_TEXT_THRESHOLD - f.shared * 0.4) / 0.6)}
+
+
+def _lowered(c: LabelInputs) -> tuple[Column, Column]:
+    return F.lower(c.response), F.when(~_missing(c.truth), F.lower(c.truth))
+
+
 def _finance_label(c: LabelInputs, f: Facts, tolerance: float = cfg.FINANCE_TOLERANCE) -> list[Branch]:
     allowed = F.when(f.want_value == 0, F.lit(1e-6)).otherwise(F.abs(f.want_value * tolerance))
     gap = F.abs(f.got_value - f.want_value)
@@ -182,11 +207,11 @@ def _finance_label(c: LabelInputs, f: Facts, tolerance: float = cfg.FINANCE_TOLE
     return [(_missing(c.truth), null_truth()), (f.numeric, numeric), (None, worded)]
 
 
-FINANCE = Rule((_finance_texts, _units, _values, _finance_scores), _finance_label)
+FINANCE = Rule((_finance_texts, _units, _values, _finance_scores, _finance_like), _finance_label, _lowered)
 
 
 def finance_rule(tolerance: float) -> Rule:
-    return Rule(FINANCE.stages, lambda c, f: _finance_label(c, f, tolerance))
+    return Rule(FINANCE.stages, lambda c, f: _finance_label(c, f, tolerance), FINANCE.compared)
 
 
 # --- medicine -----------------------------------------------------------------
@@ -205,10 +230,17 @@ def _medical_words(c: LabelInputs, f: Facts) -> dict[str, Column]:
 
 def _medical_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
     found = f.inside & (F.size(f.wb) <= cfg.MEDICAL_MAX_CONTAINED_WORDS)
-    worded = ~_missing(c.truth) & ~f.choice & ~found
-    return {"found": found,
-            "like": tx.similarity(c.similarity, F.when(worded, F.lower(c.response)), F.when(worded, F.lower(c.truth))),
-            "shared": tx.overlap(f.wa, F.array_distinct(f.wb))}
+    return {"found": found, "shared": tx.overlap(f.wa, F.array_distinct(f.wb))}
+
+
+def _medical_like(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    worded = ~_missing(c.truth) & ~f.choice & ~f.found
+    return {"like": _like(c, F.when(worded, F.lower(c.response)), F.when(worded, F.lower(c.truth)), 2 * cfg.MEDICAL_TEXT_THRESHOLD - f.shared)}
+
+
+def _medical_compared(c: LabelInputs) -> tuple[Column, Column]:
+    response, truth = _lowered(c)
+    return response, truth if c.correct_index is None else F.when(c.correct_index.isNull(), truth)
 
 
 def _medical_label(c: LabelInputs, f: Facts) -> list[Branch]:
@@ -233,7 +265,7 @@ def _medical_label(c: LabelInputs, f: Facts) -> list[Branch]:
     return [*out, (f.found, found), (None, scored)]
 
 
-MEDICAL = Rule((_medical_texts, _medical_words, _medical_scores), _medical_label)
+MEDICAL = Rule((_medical_texts, _medical_words, _medical_scores, _medical_like), _medical_label, _medical_compared)
 
 
 # --- psychology ---------------------------------------------------------------
@@ -277,23 +309,28 @@ def clean_documents(documents: Column) -> Column:
     return F.when(listed, bare).otherwise(documents)
 
 
-def _grounded_texts(c: LabelInputs, f: Facts) -> dict[str, Column]:
+def _reference(c: LabelInputs) -> tuple[Column, Column]:
     docs = c.documents if c.documents is not None else F.lit(None).cast("string")
-    reference = F.when(~_missing(docs), docs).otherwise(c.truth)
+    return docs, F.when(~_missing(docs), docs).otherwise(c.truth)
+
+
+def _grounded_compared(c: LabelInputs) -> tuple[Column, Column]:
+    reference = _reference(c)[1]
+    return tx.strip(F.lower(c.response)), F.when(~_missing(reference), tx.strip(F.lower(clean_documents(reference))))
+
+
+def _grounded_texts(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    docs, reference = _reference(c)
     return {"used": docs.isNotNull(), "lost": _missing(reference),
             "a": tx.strip(F.lower(c.response)), "b": tx.strip(F.lower(clean_documents(reference)))}
 
 
 def _grounded_terms(c: LabelInputs, f: Facts) -> dict[str, Column]:
-    ka, kb = f.a, f.b
-    if c.compare_chars is not None:
-        ka, kb = F.substring(f.a, 1, c.compare_chars), F.substring(f.b, 1, c.compare_chars)
     semantic = F.lit(None).cast("double")
     if c.response_vector is not None and c.truth_vector is not None:
         semantic = cosine(c.response_vector, c.truth_vector)
     return {"ta": tx.meaningful_terms(f.a, cfg.GROUNDED_STOPWORDS),
             "tb": tx.meaningful_terms(f.b, cfg.GROUNDED_STOPWORDS),
-            "like": tx.similarity(c.similarity, F.when(~f.lost, ka), F.when(~f.lost, kb)),
             "semantic": semantic}
 
 
@@ -301,6 +338,15 @@ def _grounded_scores(c: LabelInputs, f: Facts) -> dict[str, Column]:
     return {"shared": tx.overlap(f.ta, f.tb)}
 
 
+def _grounded_like(c: LabelInputs, f: Facts) -> dict[str, Column]:
+    a, b = f.a, f.b
+    if c.compare_chars is not None:
+        a, b = F.substring(f.a, 1, c.compare_chars), F.substring(f.b, 1, c.compare_chars)
+    least = F.when(f.semantic.isNotNull(), (cfg.GROUNDED_THRESHOLD - f.semantic * 0.5 - f.shared * 0.3) / 0.2) \
+        .otherwise((cfg.GROUNDED_THRESHOLD - f.shared * 0.6) / 0.4)
+    return {"like": _like(c, F.when(~f.lost, a), F.when(~f.lost, b), least)}
+
+
 def _grounded_label(c: LabelInputs, f: Facts) -> list[Branch]:
     """Weighted score, with a term for the vectors where both exist."""
     score = F.when(f.semantic.isNotNull(), f.semantic * 0.5 + f.shared * 0.3 + f.like * 0.2) \
@@ -312,7 +358,7 @@ def _grounded_label(c: LabelInputs, f: Facts) -> list[Branch]:
     return [(f.lost, null_truth("null_reference")), (None, scored)]
 
 
-GROUNDED = Rule((_grounded_texts, _grounded_terms, _grounded_scores), _grounded_label)
+GROUNDED = Rule((_grounded_texts, _grounded_terms, _grounded_scores, _grounded_like), _grounded_label, _grounded_compared)
 
 
 # --- labels that come with the data -------------------------------------------
@@ -375,7 +421,21 @@ def label_with(df: DataFrame, c: LabelInputs, rule: Rule, name: str = "label") -
     return apply_rules(df, c, {"": rule}, None, name)
 
 
-def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "matcher",
+def with_grams(df: DataFrame, ids: list[str], c: LabelInputs, rules: dict[str, Rule], domain: Column | None = None) -> tuple[DataFrame, LabelInputs]:
+    """``df`` with the gram similarity that the rules compare by, and inputs that read it.
+
+    The texts a rule doesn't compare stay out of the join.  ``ids`` must be unique and without NULL.
+    """
+    a = b = F.lit(None).cast("string")
+    for name, rule in rules.items():
+        if rule.compared is not None:
+            left, right = rule.compared(c)
+            mine = F.lit(True) if domain is None else domain == name
+            a, b = F.when(mine, left).otherwise(a), F.when(mine, right).otherwise(b)
+    return with_similarity(df, ids, a, b, "_like"), replace(c, similarity="grams", like=F.col("_like"))
+
+
+def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "grams",
                     rules: dict[str, Rule] | None = None) -> DataFrame:
     """Label the primary response of every prompt that has one.
 
@@ -383,7 +443,7 @@ def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "m
     documents, correct_index, existing_label, truth_vector; ``primary`` holds
     prompt_id, primary_response and optionally response_vector.  Prompts
     without a response drop out through the inner join, and domains without a
-    rule are left out here and counted by ``unruled_domains``.
+    rule are left out here and counted by ``unruled_domains``.  ``prompt_id`` must be unique.
     """
     joined = prompts.join(primary, "prompt_id")
 
@@ -397,6 +457,8 @@ def label_responses(prompts: DataFrame, primary: DataFrame, similarity: str = "m
         truth_vector=maybe("truth_vector"), similarity=similarity)
     rules = rules or LABELERS
     known = joined.filter(F.col("domain").isin(*rules))
+    if similarity == "grams":
+        known, inputs = with_grams(known, ["prompt_id"], inputs, rules, F.col("domain"))
     out = apply_rules(known, inputs, rules, F.col("domain"), "_label")
     extras = [f for f in LABEL_FIELDS if f not in ("hallucination_label", "confidence", "method")]
     renamed = {"correct_index": "label_correct_index"}

@@ -11,6 +11,7 @@ from riskloom.functions.choice import option_letter
 from riskloom.operators import labelers as L
 from riskloom.operators import responses, splits
 from riskloom.operators.labelers import LabelInputs
+from riskloom.operators.similarity import gram_similarity
 from riskloom.plans.eval_queries import r6
 from riskloom.plans.registry import query
 from riskloom.plans.source_queries import _sample_rows
@@ -162,10 +163,41 @@ def label_finance_text(v):
                   "hallucination_label", "similarity_score", "term_overlap", "combined_score")
 
 
-@query("label_finance_text_matcher")
-def label_finance_text_matcher(v):
-    return fields(pairs(v), ["prompt_id"], inputs(prompt=F.col("prompt")), L.FINANCE,
-                  "hallucination_label", "method", "similarity_score", "term_overlap", "combined_score")
+@query("label_finance_text_banded", f"""WITH {_ft}
+    SELECT prompt_id, CAST(sim * 0.6::DOUBLE + ov * 0.4::DOUBLE < 0.35 AS INTEGER) AS hallucination_label,
+      CASE WHEN sim * 0.6::DOUBLE + ov * 0.4::DOUBLE >= 0.35 THEN round(sim, 6) END AS similarity_score, round(ov, 6) AS term_overlap FROM s""", ("v_pairs",))
+def label_finance_text_banded(v):
+    kept = pairs(v).filter(F.col("truth").isNotNull() & (F.col("truth") != ""))
+    return fields(kept, ["prompt_id"], inputs(similarity="banded"), L.FINANCE, "hallucination_label", "similarity_score", "term_overlap")
+
+
+def _dice(table, a, b):
+    """CTE ``dice`` (prompt_id, like, cosine) of two text expressions of a table with unique prompt_id."""
+    return f"""grams AS (SELECT prompt_id, 1 AS side, unnest({_words(a)}) AS g FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL
+      UNION ALL SELECT prompt_id, 0, unnest({_words(b)}) FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL),
+    tally AS (SELECT prompt_id, g, CAST(count(*) FILTER (WHERE side = 1) AS DOUBLE) AS x, CAST(count(*) FILTER (WHERE side = 0) AS DOUBLE) AS y FROM grams GROUP BY ALL),
+    held AS (SELECT prompt_id, 2 * sum(least(x, y)) / sum(x + y) AS dice,
+      CASE WHEN sum(x * x) > 0 AND sum(y * y) > 0 THEN sum(x * y) / (sqrt(sum(x * x)) * sqrt(sum(y * y))) ELSE 0.0 END AS cosine FROM tally GROUP BY prompt_id),
+    dice AS (SELECT prompt_id, coalesce(dice, 1.0) AS sim, coalesce(cosine, 1.0) AS cosine
+      FROM {table} LEFT JOIN held USING (prompt_id) WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+
+
+def gram_fields(df, key, inp, rule, *names):
+    df, inp = L.with_grams(df, key, inp, {"": rule})
+    return fields(df, key, inp, rule, *names)
+
+
+_ft_grams = f"""p AS (SELECT * FROM v_pairs WHERE truth IS NOT NULL AND truth <> ''), {_dice("p", "lower(response)", "lower(truth)")},
+    t AS (SELECT *, {_minus(_terms('response'), cfg.FINANCE_STOPWORDS)} AS ra, {_minus(_terms('truth'), cfg.FINANCE_STOPWORDS)} AS rb FROM p JOIN dice USING (prompt_id)),
+    s AS (SELECT *, {_overlap('ra', 'rb')} AS ov FROM t)"""
+
+
+@query("label_finance_text_grams", f"""WITH {_ft_grams}
+    SELECT prompt_id, CAST(sim * 0.6::DOUBLE + ov * 0.4::DOUBLE < 0.35 AS INTEGER) AS hallucination_label, round(sim, 6) AS similarity_score,
+      round(ov, 6) AS term_overlap, round(sim * 0.6::DOUBLE + ov * 0.4::DOUBLE, 6) AS combined_score FROM s""", ("v_pairs",))
+def label_finance_text_grams(v):
+    kept = pairs(v).filter(F.col("truth").isNotNull() & (F.col("truth") != ""))
+    return gram_fields(kept, ["prompt_id"], inputs(), L.FINANCE, "hallucination_label", "similarity_score", "term_overlap", "combined_score")
 
 
 @query("extract_mcq_option", "SELECT prompt_id, event_id, letter FROM v_mcq_letters", ("v_mcq_letters",))
@@ -201,6 +233,35 @@ def label_medical_text(v):
                   "truth_word_count", "term_overlap", "combined_score", "method")
 
 
+@query("label_medical_text_banded", f"""WITH p AS (SELECT *, {_CLEAN.format('response')} AS ca, {_CLEAN.format('truth')} AS cb
+      FROM v_pairs WHERE truth IS NOT NULL AND truth <> ''),
+    t AS (SELECT *, list_distinct({_words('ca')}) AS ta, list_distinct({_words('cb')}) AS tb, len({_words('cb')}) AS nw,
+      contains(ca, {_strip('cb')}) AS inside, {_edit('lower(response)', 'lower(truth)')} AS sim FROM p),
+    s AS (SELECT *, {_overlap('ta', 'tb')} AS ov, inside AND nw <= 5 AS found FROM t)
+    SELECT prompt_id, CAST(CASE WHEN found THEN 0 WHEN (sim + ov) / 2 >= 0.3 THEN 0 ELSE 1 END AS INTEGER) AS hallucination_label,
+      CAST(CASE WHEN found THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN found THEN CAST(nw AS INTEGER) END AS truth_word_count,
+      CASE WHEN NOT found THEN round(ov, 6) END AS term_overlap,
+      CASE WHEN found THEN 'medical_containment_fallback' ELSE 'medical_similarity_fallback' END AS method FROM s""", ("v_pairs",))
+def label_medical_text_banded(v):
+    kept = pairs(v).filter(F.col("truth").isNotNull() & (F.col("truth") != ""))
+    return fields(kept, ["prompt_id"], inputs(similarity="banded"), L.MEDICAL, "hallucination_label", "confidence", "truth_word_count", "term_overlap", "method")
+
+
+@query("label_medical_text_grams", f"""WITH p AS (SELECT *, {_CLEAN.format('response')} AS ca, {_CLEAN.format('truth')} AS cb
+      FROM v_pairs WHERE truth IS NOT NULL AND truth <> ''), {_dice("p", "lower(response)", "lower(truth)")},
+    t AS (SELECT *, list_distinct({_words('ca')}) AS ta, list_distinct({_words('cb')}) AS tb, len({_words('cb')}) AS nw,
+      contains(ca, {_strip('cb')}) AS inside FROM p JOIN dice USING (prompt_id)),
+    s AS (SELECT *, {_overlap('ta', 'tb')} AS ov, inside AND nw <= 5 AS found FROM t)
+    SELECT prompt_id, CAST(CASE WHEN found THEN 0 WHEN (sim + ov) / 2 >= 0.3 THEN 0 ELSE 1 END AS INTEGER) AS hallucination_label,
+      CAST(CASE WHEN found THEN 0.9 ELSE 0.7 END AS DOUBLE) AS confidence, CASE WHEN found THEN CAST(nw AS INTEGER) END AS truth_word_count,
+      CASE WHEN NOT found THEN round(ov, 6) END AS term_overlap, CASE WHEN NOT found THEN round((sim + ov) / 2, 6) END AS combined_score,
+      CASE WHEN found THEN 'medical_containment_fallback' ELSE 'medical_similarity_fallback' END AS method FROM s""", ("v_pairs",))
+def label_medical_text_grams(v):
+    kept = pairs(v).filter(F.col("truth").isNotNull() & (F.col("truth") != ""))
+    return gram_fields(kept, ["prompt_id"], inputs(), L.MEDICAL, "hallucination_label", "confidence",
+                       "truth_word_count", "term_overlap", "combined_score", "method")
+
+
 _FLAGS = ["1", "0", "True", "False", "true", "false", "yes"]
 
 
@@ -271,6 +332,30 @@ def label_grounded(v):
                   "hallucination_label", "term_overlap", "text_similarity", "combined_score", "used_documents", "method")
 
 
+@query("label_grounded_grams", f"""WITH p AS (SELECT *, CASE WHEN conv_id % 2 = 0 AND prompt <> '' THEN prompt ELSE truth END AS ref FROM v_pairs),
+    t AS (SELECT *, {_strip('lower(response)')} AS a, {_strip('lower(ref)')} AS b FROM p WHERE ref IS NOT NULL AND ref <> ''), {_dice("t", "a", "b")},
+    m AS (SELECT *, {_meaningful('a')} AS ta, {_meaningful('b')} AS tb FROM t JOIN dice USING (prompt_id)),
+    s AS (SELECT *, {_overlap('ta', 'tb')} AS ov FROM m)
+    SELECT prompt_id, CAST(ov * 0.6::DOUBLE + sim * 0.4::DOUBLE < 0.45 AS INTEGER) AS hallucination_label, round(sim, 6) AS text_similarity,
+      round(ov * 0.6::DOUBLE + sim * 0.4::DOUBLE, 6) AS combined_score, 'document_grounded_consistency' AS method FROM s
+    UNION ALL SELECT prompt_id, 1, NULL, NULL, 'null_reference' FROM p WHERE ref IS NULL OR ref = ''""", ("v_pairs",))
+def label_grounded_grams(v):
+    df = pairs(v).withColumn("documents", F.when(F.col("conv_id") % 2 == 0, F.col("prompt")))
+    return gram_fields(df, ["prompt_id"], inputs(documents=F.col("documents")), L.GROUNDED,
+                       "hallucination_label", "text_similarity", "combined_score", "method")
+
+
+@query("label_grounded_banded", f"""WITH p AS (SELECT *, CASE WHEN conv_id % 2 = 0 AND prompt <> '' THEN prompt ELSE truth END AS ref FROM v_pairs),
+    t AS (SELECT *, {_strip('lower(response)')} AS a, {_strip('lower(ref)')} AS b FROM p WHERE ref IS NOT NULL AND ref <> ''),
+    m AS (SELECT *, {_meaningful('a')} AS ta, {_meaningful('b')} AS tb, {_edit('a', 'b')} AS sim FROM t),
+    s AS (SELECT *, {_overlap('ta', 'tb')} AS ov FROM m)
+    SELECT prompt_id, CAST(ov * 0.6::DOUBLE + sim * 0.4::DOUBLE < 0.45 AS INTEGER) AS hallucination_label FROM s
+    UNION ALL SELECT prompt_id, 1 FROM p WHERE ref IS NULL OR ref = ''""", ("v_pairs",))
+def label_grounded_banded(v):
+    df = pairs(v).withColumn("documents", F.when(F.col("conv_id") % 2 == 0, F.col("prompt")))
+    return fields(df, ["prompt_id"], inputs(documents=F.col("documents"), similarity="banded"), L.GROUNDED, "hallucination_label")
+
+
 @query("label_existing", """SELECT d.doc_id, CAST(coalesce(l.toxic, 0) AS INTEGER) AS hallucination_label, CAST(CASE WHEN l.doc_id IS NULL THEN 0.5 ELSE 1.0 END AS DOUBLE) AS confidence,
       CASE WHEN l.doc_id IS NULL THEN 'existing_label_missing' ELSE 'existing_label' END AS method
     FROM documents d LEFT JOIN labels l USING (doc_id)""")
@@ -303,27 +388,56 @@ _DISPATCH = f"""p AS (SELECT v.*, o.documents, o.correct_index FROM v_pairs v JO
         ELSE 'text_similarity_with_term_overlap' END AS label_method FROM p)"""
 
 
-def labelled(v, similarity="edit"):
+_LABELS = f"""{_DISPATCH},
+    base AS (SELECT p.*, m.label_method, CASE WHEN documents IS NOT NULL AND documents <> '' THEN documents ELSE truth END AS ref FROM p JOIN m USING (prompt_id)),
+    texts AS (SELECT prompt_id, CASE WHEN domain = 'IS' THEN {_strip('lower(response)')} ELSE lower(response) END AS ca,
+      CASE WHEN domain = 'IS' THEN {_strip('lower(ref)')} ELSE lower(truth) END AS cb FROM base
+      WHERE label_method IN ('text_similarity_with_term_overlap', 'document_grounded_consistency')), {_dice("texts", "ca", "cb")},
+    facts AS (SELECT b.*, t.ca, t.cb, d.sim, {_num('response')} AS got, {_num('truth')} AS want, {_UNIT.format('response')} AS ru, {_UNIT.format('truth')} AS tu,
+      {_PUNIT.format('prompt')} AS pu, upper(regexp_extract(upper({_strip('response')}), '^[ABCD]')) AS lead,
+      upper(regexp_extract(response, '(?i)(?:^|[^\\p{{L}}\\p{{N}}_])([ABCD])(?:$|[^\\p{{L}}\\p{{N}}_])', 1)) AS inner_letter,
+      {_minus(_terms('response'), cfg.FINANCE_STOPWORDS)} AS fa, {_minus(_terms('truth'), cfg.FINANCE_STOPWORDS)} AS fb,
+      {_terms('response')} AS wa, {_terms('truth')} AS wb, {_meaningful('ca')} AS ga, {_meaningful('cb')} AS gb
+      FROM base b LEFT JOIN texts t USING (prompt_id) LEFT JOIN dice d ON d.prompt_id = b.prompt_id),
+    scored AS (SELECT *, got * {_MULT.format('ru')} AS gv, want * {_MULT.format('coalesce(tu, pu)')} AS wv, CASE WHEN lead <> '' THEN lead ELSE inner_letter END AS letter,
+      CASE label_method WHEN 'text_similarity_with_term_overlap' THEN sim * 0.6::DOUBLE + {_overlap('fa', 'fb')} * 0.4::DOUBLE
+        WHEN 'document_grounded_consistency' THEN {_overlap('ga', 'gb')} * 0.6::DOUBLE + sim * 0.4::DOUBLE END AS score,
+      {_overlap('wa', 'wb')} AS word_score FROM facts),
+    rows_ AS (SELECT prompt_id, domain, label_method, CAST(CASE label_method
+        WHEN 'exact_numerical_match' THEN abs(got - want) >= 1e-6
+        WHEN 'numerical_tolerance_unit_aware' THEN abs(gv - wv) > CASE WHEN wv = 0 THEN 1e-6 ELSE abs(wv * 0.05::DOUBLE) END
+        WHEN 'text_similarity_with_term_overlap' THEN score < 0.35
+        WHEN 'document_grounded_consistency' THEN score < 0.45
+        WHEN 'mcq_exact_match' THEN ascii(letter) - 65 <> correct_index
+        WHEN 'fallback_word_overlap' THEN word_score < 0.5
+        ELSE true END AS INTEGER) AS hallucination_label,
+      CAST(CASE WHEN label_method IN ('null_ground_truth', 'null_reference') THEN 0.0 WHEN label_method IN ('numerical_extraction', 'mcq_parse_failure') THEN 0.5
+        WHEN label_method IN ('exact_numerical_match', 'numerical_tolerance_unit_aware', 'mcq_exact_match') THEN 1.0
+        WHEN label_method = 'fallback_word_overlap' THEN 0.6 ELSE 0.7 END AS DOUBLE) AS label_confidence,
+      round(score, 6) AS combined_score, CASE WHEN label_method = 'fallback_word_overlap' THEN round(word_score, 6) END AS word_overlap FROM scored)"""
+
+
+def labelled(v, similarity="grams"):
     extra = v.options.select("prompt_id", "documents", "correct_index")
     p = pairs(v)
     prompts = p.select("prompt_id", "domain", "prompt", F.col("truth").alias("ground_truth")).join(extra, "prompt_id")
     return L.label_responses(prompts, p.select("prompt_id", F.col("response").alias("primary_response")), similarity)
 
 
-@query("label_dispatch", f"WITH {_DISPATCH} SELECT prompt_id, domain, label_method FROM m", ("v_pairs", "v_options"))
+@query("label_dispatch", f"""WITH {_LABELS} SELECT prompt_id, domain, label_method, hallucination_label, label_confidence FROM rows_""", ("v_pairs", "v_options"))
 def label_dispatch(v):
-    return labelled(v).select("prompt_id", "domain", "label_method")
+    return labelled(v).select("prompt_id", "domain", "label_method", "hallucination_label", "label_confidence")
 
 
-@query("label_all_responses", f"""WITH {_DISPATCH} SELECT domain, label_method, count(*) AS n FROM m GROUP BY ALL""", ("v_pairs", "v_options"))
+@query("label_all_responses", f"""WITH {_LABELS} SELECT prompt_id, domain, label_method, hallucination_label, label_confidence, combined_score, word_overlap
+    FROM rows_""", ("v_pairs", "v_options"))
 def label_all_responses(v):
-    return labelled(v).groupBy("domain", "label_method").agg(F.count("hallucination_label").alias("n"))
+    return labelled(v).select("prompt_id", "domain", "label_method", "hallucination_label", "label_confidence", *r6("combined_score", "word_overlap"))
 
 
-@query("label_all_responses_matcher")
-def label_all_responses_matcher(v):
-    return labelled(v, "matcher").select("prompt_id", "domain", "hallucination_label", "label_method",
-                                         *r6("combined_score"))
+@query("label_counts", f"""WITH {_DISPATCH} SELECT domain, label_method, count(*) AS n FROM m GROUP BY ALL""", ("v_pairs", "v_options"))
+def label_counts(v):
+    return labelled(v).groupBy("domain", "label_method").agg(F.count("hallucination_label").alias("n"))
 
 
 @query("text_similarity", f"SELECT prompt_id, round({_edit('lower(response)', 'lower(truth)')}, 6) AS similarity FROM v_pairs WHERE truth IS NOT NULL", ("v_pairs",))
@@ -332,10 +446,18 @@ def text_similarity(v):
         "edit", F.lower("response"), F.lower("truth")), 6).alias("similarity"))
 
 
-@query("text_similarity_matcher")
-def text_similarity_matcher(v):
-    return pairs(v).filter(F.col("truth").isNotNull()).select("prompt_id", F.round(tx.similarity(
-        "matcher", F.lower("response"), F.lower("truth")), 6).alias("similarity"))
+@query("text_similarity_grams", f"""WITH p AS (SELECT prompt_id, lower(response) AS a, lower(truth) AS b FROM v_pairs), {_dice("p", "a", "b")}
+    SELECT prompt_id, round(sim, 6) AS dice, round(cosine, 6) AS cosine FROM dice""", ("v_pairs",))
+def text_similarity_grams(v):
+    both = pairs(v).select("prompt_id", F.lower("response").alias("a"), F.lower("truth").alias("b"))
+    return gram_similarity(both, ["prompt_id"], "a", "b").select("prompt_id", *r6("dice", "cosine"))
+
+
+@query("text_similarity_banded", f"""WITH t AS (SELECT prompt_id, {_edit('lower(response)', 'lower(truth)')} AS sim FROM v_pairs WHERE truth IS NOT NULL)
+    SELECT prompt_id, CASE WHEN sim >= 0.35 THEN round(sim, 6) END AS similarity FROM t""", ("v_pairs",))
+def text_similarity_banded(v):
+    return pairs(v).filter(F.col("truth").isNotNull()).select("prompt_id", F.round(tx.edit_at_least(
+        F.lower("response"), F.lower("truth"), F.lit(0.35)), 6).alias("similarity"))
 
 
 @query("term_overlap", f"""WITH t AS (SELECT prompt_id, {_terms('response')} AS a, {_terms('truth')} AS b FROM v_pairs WHERE truth IS NOT NULL)

@@ -37,9 +37,10 @@ def prepare(df: DataFrame, limit: int | None = None, style: str = "simple") -> D
 
 @dataclass
 class RunResult:
-    """Lazy tables and the fitted model of one run."""
+    """Lazy tables and the fitted model of one run; ``unruled`` counts answered prompts of domains without a rule."""
 
     labelled: DataFrame
+    unruled: DataFrame
     features: DataFrame
     model: modeling.RiskModel
     scored: DataFrame
@@ -47,7 +48,7 @@ class RunResult:
 
 
 def run(prompts: DataFrame, samples: DataFrame, tokens: DataFrame, vectors: DataFrame, gazetteer: DataFrame,
-        similarity: str = "matcher", mcq: bool = False, tune_trials: int = 0, fit_on: str = "train",
+        similarity: str = "grams", mcq: bool = False, tune_trials: int = 0, fit_on: str = "train",
         spec: BoosterSpec = BoosterSpec()) -> RunResult:
     """Prompts and stored answers to labels, features, a model and its metrics.
 
@@ -55,7 +56,8 @@ def run(prompts: DataFrame, samples: DataFrame, tokens: DataFrame, vectors: Data
     sample.  ``fit_on='all'`` sets fill values and feature choice on all rows, as
     the published pipeline did; the default keeps the test rows out.
     """
-    labelled = labelers.label_responses(prompts, responses.primary_responses(samples), similarity)
+    primary = responses.primary_responses(samples)
+    labelled = labelers.label_responses(prompts, primary, similarity)
     labelled = materialize(splits.stratified_split(labelled, ["prompt_id"], check=True), "labelled")
     entropy = U.cluster_entropy(clustering.cluster_weights(vectors))
     letters = U.letter_features(samples) if mcq else None
@@ -78,7 +80,7 @@ def run(prompts: DataFrame, samples: DataFrame, tokens: DataFrame, vectors: Data
         spec, _ = modeling.tune(train, chosen, ["prompt_id"], n_trials=tune_trials, base=spec)
     model = modeling.train(train, chosen, ["prompt_id"], spec=spec)
     scored = modeling.scored_set(model, test, "test").unionByName(modeling.scored_set(model, train, "train"))
-    return RunResult(labelled, filled, model, scored, metrics.metrics_bundle(scored))
+    return RunResult(labelled, labelers.unruled_domains(prompts, primary), filled, model, scored, metrics.metrics_bundle(scored))
 
 
 def sample_terms(samples: DataFrame) -> DataFrame:
