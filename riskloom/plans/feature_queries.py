@@ -317,17 +317,17 @@ def full_matrix(v):
 
 
 def _matrix_sql():
-    from riskloom.plans.label_queries import _DISPATCH
+    from riskloom.plans.label_queries import _LABELS
 
-    return f"""WITH {_EPI}, {_DISPATCH}
-    SELECT m.prompt_id, m.domain, epi.* EXCLUDE (prompt_id), v_ctx.* EXCLUDE (prompt_id),
+    return f"""WITH {_EPI}, {_LABELS}
+    SELECT m.prompt_id, m.domain, m.hallucination_label, epi.* EXCLUDE (prompt_id), v_ctx.* EXCLUDE (prompt_id),
       {', '.join(f"CAST(m.domain = '{d}' AS INTEGER) AS domain_{d}" for d in cfg.DOMAINS)}
-    FROM m JOIN epi USING (prompt_id) JOIN v_ctx USING (prompt_id)"""
+    FROM rows_ m JOIN epi USING (prompt_id) JOIN v_ctx USING (prompt_id)"""
 
 
 @query("feature_matrix", _matrix_sql(), ("v_prompts", "v_sample_vectors", "v_tok", "v_ctx", "v_pairs", "v_options"))
 def feature_matrix(v):
-    return _rounded(full_matrix(v), _EPI_DOUBLES + _CTX_DOUBLES).drop("ground_truth", "primary_response", "hallucination_label")
+    return _rounded(full_matrix(v), _EPI_DOUBLES + _CTX_DOUBLES).drop("ground_truth", "primary_response")
 
 
 COLS = ["f_chars", "f_unique", "f_gap", "f_none"]
