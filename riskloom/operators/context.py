@@ -8,31 +8,45 @@ from pyspark.sql import functions as F
 from riskloom.config import CONTEXT_COLUMNS, ENTITY_TYPES, RARE_FREQUENCY
 from riskloom.functions import features as X
 from riskloom.functions.text import strip_punct, words
+from riskloom.operators.joins import join_apart
 
 
-def ngrams(tokens: Column, most: Column) -> Column:
-    """Every run of 1..most tokens, joined by one blank."""
+# Names that are broadcast; a larger gazetteer is joined by shuffles.
+MOST_NAMES = 2_000_000
+
+
+def windows(tokens: Column, most: int) -> Column:
+    """At each token: the token, up to ``most`` tokens from it on joined by one blank, and how many those are."""
     n = F.size(tokens)
     starts = F.when(n > 0, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), F.least(most, n - i + 1)),
-        lambda k: F.array_join(F.slice(tokens, i, k), " "))))
+    return F.transform(starts, lambda i: F.struct(
+        F.element_at(tokens, i).alias("head"), F.array_join(F.slice(tokens, i, most), " ").alias("window"),
+        F.least(F.lit(most), n - i + 1).alias("left")))
 
 
 def extract_entities(prompts: DataFrame, gazetteer: DataFrame, key: str = "prompt_id",
                      text: str = "prompt") -> DataFrame:
     """key, text_normalized, label, n: names of the gazetteer found in a text and how often.
 
-    Equal runs of a text fold before the join.  The gazetteer is broadcast only
-    if the optimizer finds it small; otherwise adaptive execution splits the runs
-    that every text shares.  The longest run is the gazetteer's longest name.
+    A token that begins no name is dropped at once; at the others only runs as long as a name
+    with that beginning are formed, and equal runs of a text fold before they meet the names.  A gazetteer of up to
+    ``MOST_NAMES`` names (counted first) is broadcast, so nothing but names that were found is shuffled; beyond it beginnings
+    and runs are joined, those that very many texts share apart from the rest.
     """
-    most = gazetteer.agg(F.max(F.size(F.split("text_normalized", " ")))).scalar()
+    size = F.size(F.split("text_normalized", " "))
+    n_names, most = gazetteer.agg(F.count("*"), F.max(size)).first()
+    heads = gazetteer.groupBy(F.substring_index("text_normalized", " ", 1).alias("head")).agg(F.collect_set(size).alias("sizes"))
+    small = n_names <= MOST_NAMES
     toks = F.transform(words(F.lower(F.col(text))), strip_punct)
-    toked = prompts.select(key, toks.alias("_t")).withColumn("_most", most)
-    runs = toked.select(key, F.explode(ngrams(F.col("_t"), F.col("_most"))).alias("text_normalized")) \
-        .groupBy(key, "text_normalized").agg(F.count("*").alias("n"))
-    return runs.join(gazetteer, "text_normalized").select(key, "text_normalized", "label", "n")
+    at = prompts.select(key, F.explode(windows(toks, most or 1)).alias("_w")).select(key, "_w.*")
+    begun = at.join(F.broadcast(heads), "head") if small else join_apart(at, heads, "head")
+    long = begun.select(key, "window", F.explode(F.filter("sizes", lambda n: n <= F.col("left"))).alias("_size"))
+    runs = long.select(key, F.call_function("substring_index", F.col("window"), F.lit(" "), F.col("_size")).alias("text_normalized"))
+    runs = runs.groupBy(key, "text_normalized").agg(F.count("*").alias("n")) if not small else runs
+    found = runs.join(F.broadcast(gazetteer), "text_normalized") if small else join_apart(runs, gazetteer, "text_normalized")
+    if not small:
+        return found.select(key, "text_normalized", "label", "n")
+    return found.groupBy(key, "text_normalized", "label").agg(F.count("*").alias("n"))
 
 
 def entity_rarity(entities: DataFrame, key: str = "prompt_id", aggregation: str = "mean",

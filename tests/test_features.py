@@ -194,3 +194,41 @@ def test_selection(spark):
     mi = {r.feature: r.score for r in selection.mutual_information(df, ["strong"], "y").collect()}
     p = np.mean([r[1] for r in rows])
     assert 0.5 < mi["strong"] / -(p * np.log(p) + (1 - p) * np.log(1 - p)) <= 1.0 + 1e-9
+
+
+def _plain_names(rows, names):
+    """(key, name, label): how often, by comparing token lists at every place."""
+    from collections import Counter
+
+    out = Counter()
+    punct = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+    for key, text in rows:
+        toks = [w.strip(punct) for w in (text or "").lower().split()]
+        for name, label in names:
+            want = name.split(" ")
+            for i in range(len(toks) - len(want) + 1):
+                if toks[i : i + len(want)] == want:
+                    out[key, name, label] += 1
+    return out
+
+
+@pytest.mark.parametrize("most_names, heavy", [(2_000_000, None), (0, 1_000_000), (0, 5)], ids=["broadcast", "joined", "heavy apart"])
+def test_names_of_many_words_and_a_run_in_every_prompt(spark, monkeypatch, most_names, heavy):
+    """Names that begin alike, contain one another, have a dozen words, or two labels; one run is in all prompts, twice in some."""
+    from riskloom.operators import joins
+
+    monkeypatch.setattr(context, "MOST_NAMES", most_names)
+    if heavy:
+        monkeypatch.setattr(joins, "HEAVY", heavy)
+    long = "the bank for the settlement of all the accounts of the world"
+    names = [("the", "ORG"), ("the bank", "ORG"), (long, "ORG"), ("paris", "GPE"), ("paris", "PERSON"), ("bank for", "ORG"), ("world paris", "LOC"), ("absent name", "LOC")]
+    rows = [(i, f"The report {i}, by The Bank" + (f" -- {long.title()}! Paris" if i % 4 == 0 else "") + (" paris paris." if i % 5 == 0 else ""))
+            for i in range(40)] + [(90, None), (91, ""), (92, "the"), (93, " ! ? "), (94, "world  Paris,")]
+    df = spark.createDataFrame(rows, "prompt_id int, prompt string").repartition(3)
+    got = context.extract_entities(df, spark.createDataFrame(names, "text_normalized string, label string")).collect()
+    assert {(r.prompt_id, r.text_normalized, r.label): r.n for r in got} == dict(_plain_names(rows, names)) and len(got) > 100
+
+
+def test_no_names(spark):
+    df = spark.createDataFrame([(1, "a b")], "prompt_id int, prompt string")
+    assert not context.extract_entities(df, spark.createDataFrame([], "text_normalized string, label string")).count()
