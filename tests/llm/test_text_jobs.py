@@ -197,7 +197,6 @@ def test_merge_replay_is_greedy():
 def test_token_files(spark, sf, sf_rows, odd_docs, odd_rows, no_docs, tmp_path):
     Tokenizer, p = pytest.importorskip("tokenizers").Tokenizer, pytest.importorskip("public_tokenizers")
     t = Tokenizer.from_file(p.path(Q.LIBRARY_FILE))
-    t.encode_special_tokens = True
 
     def want(rows):
         out, start = [], 0
@@ -211,4 +210,9 @@ def test_token_files(spark, sf, sf_rows, odd_docs, odd_rows, no_docs, tmp_path):
     assert got(Q.op9_token_files(spark, sf), *columns) == want(sf_rows)
     files = token_files.write(clashing(odd_docs), str(tmp_path / "odd"), p.path(Q.LIBRARY_FILE), p.PATTERN, 2)
     assert got(token_files.read(spark, files), *columns) == want([r[:2] for r in odd_rows])
+    marked = [(0, "a <|endoftext|> b"), (1, "<|endoftext|>"), (2, "<|endoftext|> start"), (3, "end<|endoftext|>"), (4, "twice <|endoftext|><|endoftext|>\n x"),
+              (5, "<|endoftext| > not"), (6, "plain text after"), (7, None)]
+    files = token_files.write(spark.createDataFrame(marked, "doc_id long, text string"), str(tmp_path / "marked"), p.path(Q.LIBRARY_FILE), p.PATTERN, 2)
+    assert got(token_files.read(spark, files), *columns) == want(marked)
+    assert 50256 in t.encode("a <|endoftext|> b", add_special_tokens=False).ids
     assert token_files.read(spark, token_files.write(no_docs, str(tmp_path / "none"), p.path(Q.LIBRARY_FILE), p.PATTERN, 2)).collect() == []
