@@ -191,8 +191,16 @@ def importance_variation(importance: DataFrame) -> DataFrame:
         .orderBy(F.col("coefficient_variation").desc(), "feature")
 
 
-def importance_by_domain(importance: DataFrame, domains: list[str], top: int | None = None) -> DataFrame:
-    """feature by domain grid with the row mean; the ``top`` features by that mean."""
+def importance_by_domain(importance: DataFrame, domains: list[str] | None = None, top: int | None = None) -> DataFrame:
+    """feature by domain grid with the row mean; the ``top`` features by that mean.
+
+    Without ``domains`` every domain of the table is a column (one name a domain reaches the driver); a list that
+    leaves one of them out raises, since its importances would be lost.
+    """
+    present = sorted(r.domain for r in importance.select("domain").distinct().collect() if r.domain is not None)
+    if domains is not None and (missing := set(present) - set(domains)):
+        raise ValueError(f"domains {sorted(missing)} are not in the list")
+    domains = domains or present
     wide = importance.groupBy("feature").pivot("domain", domains).agg(F.first("importance"))
     cols = [F.col(f"`{d}`") for d in domains]
     seen = [F.when(c.isNotNull(), 1).otherwise(0) for c in cols]

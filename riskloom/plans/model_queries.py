@@ -83,23 +83,34 @@ def model_persist(v):
     return model.predict(test).join(again, "doc_id").select("doc_id", (F.col("p") == F.col("p_loaded")).alias("same"))
 
 
-@query("tune_classifier")
+@query("tune_classifier", "SELECT unnest(range(3))::INTEGER AS trial, true AS in_ranges, true AS ranks_well, true AS one_best")
 def tune_classifier(v):
-    """Three trials of small trees: every trial is fitted once a fold, and without early stopping."""
+    """Three trials of small trees: every trial is fitted once a fold, and without early stopping.
+
+    SQL knows the number of trials, the ranges of the draws, and that exactly one is best, by the largest AUROC.
+    """
     train, _ = splits.route_split(split_features(v), IDS)
     base = BoosterSpec(ranges={**BoosterSpec().ranges, "n_trees": (5, 10), "max_depth": (2, 4)})
     best, scores = modeling.tune(train, COLS, IDS, n_trials=3, base=base)
-    rows = [(i, s.max_depth, s.step_size, s.n_trees, score, s == best)
-            for i, (s, score) in enumerate(zip(modeling.trial_specs(3, base), scores))]
-    return v.spark.createDataFrame(rows, "trial int, max_depth int, step_size double, n_trees int, auroc double, best boolean")
+    specs = modeling.trial_specs(3, base)
+    inside = [all(lo <= getattr(s, name) <= hi for name, (lo, hi) in base.ranges.items()) for s in specs]
+    one = [s == best for s in specs].count(True) == 1 and best == specs[scores.index(max(scores))]
+    rows = [(i, inside[i], 0.7 < score <= 1.0, one) for i, score in enumerate(scores)]
+    return v.spark.createDataFrame(rows, "trial int, in_ranges boolean, ranks_well boolean, one_best boolean")
+
+
+_ABLATED = dict(zip(COLS, ["naive_max_prob", "semantic_entropy", "lexical_diversity", "token_count", "semantic_energy"]))
+_GROUP_ROWS = ", ".join(f"('{title}', {len(names)})" for title, names in feature_groups(list(_ABLATED.values())).items() if names)
 
 
-@query("ablation")
+@query("ablation", f"""SELECT g.model, g.n_features::INTEGER AS n_features, t.n, t.n_pos, true AS adds_up
+    FROM (VALUES {_GROUP_ROWS}) AS g(model, n_features), (SELECT count(*) AS n, count(*) FILTER (WHERE y = 1) AS n_pos FROM v_model_split WHERE split = 'test') t""",
+       ("v_model_split",))
 def ablation(v):
-    """The published groups, over features renamed to fall into them."""
-    names = dict(zip(COLS, ["naive_max_prob", "semantic_entropy", "lexical_diversity", "token_count", "semantic_energy"]))
-    df = split_features(v).withColumnsRenamed(names)
-    return modeling.ablation(df, feature_groups(list(names.values())), IDS)
+    """The published groups, over features renamed to fall into them; each model is judged on the same test rows."""
+    out = modeling.ablation(split_features(v).withColumnsRenamed(_ABLATED), feature_groups(list(_ABLATED.values())), IDS)
+    n_pos = (F.col("tp") + F.col("fn")).cast("bigint")
+    return out.select("model", "n_features", "n", n_pos.alias("n_pos"), (F.col("tn") + F.col("fp") + n_pos == F.col("n")).alias("adds_up"))
 
 
 def _domain_models(v):

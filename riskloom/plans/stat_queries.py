@@ -187,7 +187,7 @@ _LANGS = ["de", "en", "es", "fr"]
 @query("importance_by_domain", f"""WITH {_IMP} SELECT feature, {', '.join(f"round(max(importance) FILTER (WHERE domain = '{d}'), 6) AS {d}" for d in _LANGS)},
       round(avg(importance), 6) AS row_mean FROM imp GROUP BY 1 ORDER BY row_mean DESC LIMIT 4""", ("v_long",))
 def importance_by_domain(v):
-    return stats.importance_by_domain(importance(v), _LANGS, top=4).select("feature", *r6(*_LANGS, "row_mean"))
+    return stats.importance_by_domain(importance(v), top=4).select("feature", *r6(*_LANGS, "row_mean"))
 
 
 @query("semantic_vs_naive", f"""WITH {_AUC}, s AS (SELECT domain, max(auroc) FILTER (WHERE model = 'discount') AS n, max(auroc) FILTER (WHERE model = 'discount_tax') AS s FROM auc GROUP BY 1)
@@ -199,10 +199,32 @@ def semantic_vs_naive(v):
     return got.select("domain", *r6("naive_auroc", "semantic_auroc", "improvement"), F.round("improvement_pct", 4).alias("improvement_pct"), "supported")
 
 
-@query("results_summary")
+@query("results_summary", f"""WITH {_AUC}, {_CHI[5:]}, {_PEARSON}, a AS (SELECT count(*) AS n, corr(rarity, y) AS r FROM v_rare)
+    SELECT 'ablation_study' AS part, model || '/' || domain AS name, round(auroc, 5) AS value FROM auc
+    UNION ALL SELECT 'domain_stats', domain, round(avg(y), 5) FROM v_tilted GROUP BY domain
+    UNION ALL SELECT 'domain_comparison', 'chi_square', round(chi_square, 4) FROM chi
+    UNION ALL SELECT 'top_correlated_features', feature, round(r, 5) FROM pt
+    UNION ALL SELECT 'knowledge_overshadowing', 'r', round(r, 5) FROM a""", ("v_all_scored", "v_tilted", "v_long", "v_rare"))
 def results_summary(v):
     from riskloom.plans.pipeline import summary_document
 
     tests = stats.correlation_test(v.features, COLS, "y")
-    return summary_document(metrics.metrics_bundle(all_scored(v)), stats.domain_rates(tilted(v), "y"),
-                            stats.chi_square(tilted(v), "y"), tests, stats.rarity_trend(rare(v), "y"))
+    document = summary_document(metrics.metrics_bundle(all_scored(v)), stats.domain_rates(tilted(v), "y"),
+                                stats.chi_square(tilted(v), "y"), tests, stats.rarity_trend(rare(v), "y"))
+    read = document.select(
+        F.from_json(F.get_json_object("document", "$.ablation_study"), "array<struct<model:string,domain:string,auroc:double>>").alias("a"),
+        F.from_json(F.get_json_object("document", "$.domain_stats"), "array<struct<domain:string,rate:double>>").alias("d"),
+        F.from_json(F.get_json_object("document", "$.domain_comparison"), "array<struct<chi_square:double>>").alias("c"),
+        F.from_json(F.get_json_object("document", "$.top_correlated_features"), "array<struct<feature:string,pearson_r:double>>").alias("t"),
+        F.from_json(F.get_json_object("document", "$.knowledge_overshadowing"), "array<struct<r:double>>").alias("k"))
+
+    def part(title, field, name, value, digits=5):
+        return F.transform(F.col(field), lambda x: F.struct(F.lit(title).alias("part"), name(x).alias("name"), F.round(value(x), digits).alias("value")))
+
+    rows = F.concat(
+        part("ablation_study", "a", lambda x: F.concat_ws("/", x["model"], x["domain"]), lambda x: x["auroc"]),
+        part("domain_stats", "d", lambda x: x["domain"], lambda x: x["rate"]),
+        part("domain_comparison", "c", lambda x: F.lit("chi_square"), lambda x: x["chi_square"], 4),
+        part("top_correlated_features", "t", lambda x: x["feature"], lambda x: x["pearson_r"]),
+        part("knowledge_overshadowing", "k", lambda x: F.lit("r"), lambda x: x["r"]))
+    return read.select(F.explode(rows).alias("_r")).select("_r.*")
