@@ -6,6 +6,7 @@ cluster is its size and its sum.  Equal vectors fold first and are kept as a
 weight.  Prompts with few distinct vectors are clustered inside one Arrow batch
 many at a time; the rest go through rounds that merge mutual nearest clusters,
 which for average linkage gives the same tree without one task seeing the group.
+Blocks around pivots bound the similarity of their members, so most pairs of blocks are never compared.
 """
 
 from __future__ import annotations
@@ -22,6 +23,13 @@ from riskloom.session import materialize
 
 LOCAL_LIMIT = 256
 BLOCK = 1024
+# One rule for groups of any size: similarities are rounded, the threshold has a tolerance of that size, and of
+# equally similar pairs the one with the smaller ids comes first.
+DIGITS, TOLERANCE = 10, 1e-10
+
+
+def close_enough(sim, threshold: float):
+    return (1.0 - sim) <= (1.0 - threshold) + TOLERANCE
 
 
 def link(units: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray:
@@ -30,18 +38,18 @@ def link(units: np.ndarray, weights: np.ndarray, threshold: float) -> np.ndarray
     head = np.arange(n)
     sums = units * weights[:, None]
     size = weights.astype(float).copy()
-    sim = (sums @ sums.T) / np.outer(size, size)
+    sim = np.round((sums @ sums.T) / np.outer(size, size), DIGITS)
     np.fill_diagonal(sim, -np.inf)
     for _ in range(n - 1):
         i, j = divmod(int(np.argmax(sim)), n)
-        if not (1.0 - sim[i, j]) <= (1.0 - threshold) + 1e-12:
+        if not close_enough(sim[i, j], threshold):
             break
         i, j = min(i, j), max(i, j)
         sums[i] += sums[j]
         size[i] += size[j]
         head[head == j] = i
         sim[j, :] = sim[:, j] = -np.inf
-        row = (sums @ sums[i]) / (size * size[i])
+        row = np.round((sums @ sums[i]) / (size * size[i]), DIGITS)
         gone = np.isneginf(sim[i])
         gone[i] = True
         row[gone] = -np.inf
@@ -85,29 +93,85 @@ def _cluster_small(points: DataFrame, threshold: float) -> DataFrame:
         .select("prompt_id", "_z.rep", "_z.cluster_id")
 
 
-def _nearest(state: DataFrame, block: int) -> DataFrame:
-    """Most similar other cluster of each cluster: prompt_id, cid, best, sim.
+def _pivoted(state: DataFrame, block: int) -> DataFrame:
+    """``state`` with ``blk``: clusters of a block lie near one pivot, and a block has about ``block`` of them.
+
+    Pivots are drawn by a hash, about one for each block.  Every task takes one salt of a prompt's clusters and
+    all its pivots, so the clusters move once and a group is bounded by the draw.
+    """
+    sizes = state.groupBy("prompt_id").agg(F.count("*").alias("_n"))
+    counted = state.join(sizes, "prompt_id").withColumn("_nb", F.ceil(F.col("_n") / block).cast("int"))
+    salted = counted.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("_nb")).cast("int"))
+    drawn = counted.filter((F.pmod(F.xxhash64("cid", F.lit(1)), F.col("_n")) < F.col("_nb")) & (F.col("_nb") > 1))
+    pivots = drawn.select(*[F.col(c).alias(c) for c in ("prompt_id", "cid", "w", "usum")], F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)).alias("salt"))
+    kind = state.schema["prompt_id"].dataType.simpleString()
+
+    def assign(rows: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        out = rows[["prompt_id", "cid", "w", "usum"]].copy()
+        out["pivot"] = -1
+        if len(near) and len(rows):
+            near = near.sort_values("cid")
+            means = np.stack(near["usum"]) / near["w"].to_numpy()[:, None]
+            means /= np.maximum(np.linalg.norm(means, axis=1), 1e-300)[:, None]
+            out["pivot"] = near["cid"].to_numpy()[(np.stack(rows["usum"]) @ means.T).argmax(axis=1)]
+        return out
+
+    found = salted.groupBy("prompt_id", "salt").cogroup(pivots.groupBy("prompt_id", "salt")).applyInPandas(
+        assign, f"prompt_id {kind}, cid bigint, w double, usum array<double>, pivot bigint")
+    found = materialize(found, "pivoted")
+    parts = found.groupBy("prompt_id", "pivot").agg(F.ceil(F.count("*") / block).alias("_parts"))
+    return found.join(parts, ["prompt_id", "pivot"]).select(
+        "prompt_id", "cid", "w", "usum", F.xxhash64("pivot", F.pmod(F.xxhash64("cid"), F.col("_parts"))).alias("blk"))
+
+
+def _block_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (i, j) of a prompt's blocks that can hold a pair of clusters within the threshold.
+
+    With c the middle of a block's means and r their largest distance from it, two means have at most the
+    dot product c c' + |c| r' + |c'| r + r r', so blocks below the threshold by that bound are never compared.
+    """
+    kind = dealt.schema["prompt_id"].dataType.simpleString()
+
+    def ball(pdf: pd.DataFrame) -> pd.DataFrame:
+        means = np.stack(pdf["usum"]) / pdf["w"].to_numpy()[:, None]
+        centre = means.mean(axis=0)
+        return pd.DataFrame({"prompt_id": pdf["prompt_id"].iloc[:1], "blk": pdf["blk"].iloc[:1], "c": [centre],
+                             "r": [float(np.linalg.norm(means - centre, axis=1).max())], "size": [float(np.linalg.norm(centre))]})
+
+    balls = materialize(dealt.groupBy("prompt_id", "blk").applyInPandas(
+        ball, f"prompt_id {kind}, blk bigint, c array<double>, r double, size double"), "balls")
+    one = balls.select("prompt_id", F.col("blk").alias("i"), F.col("c").alias("ci"), F.col("r").alias("ri"), F.col("size").alias("si"))
+    two = balls.select("prompt_id", F.col("blk").alias("j"), F.col("c").alias("cj"), F.col("r").alias("rj"), F.col("size").alias("sj"))
+    dot = F.aggregate(F.zip_with("ci", "cj", lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+    bound = dot + F.col("si") * F.col("rj") + F.col("sj") * F.col("ri") + F.col("ri") * F.col("rj")
+    return one.join(two, "prompt_id").filter((F.col("i") == F.col("j")) | (bound >= threshold - 2 * TOLERANCE)).select("prompt_id", "i", "j")
+
+
+def _nearest(state: DataFrame, block: int, threshold: float) -> DataFrame:
+    """Most similar other cluster of each cluster that has one within the threshold: prompt_id, cid, best, sim.
 
-    Clusters are dealt into blocks; a task compares two blocks and keeps one
-    candidate per cluster, so no list of pairs is ever produced.
+    Clusters are dealt into blocks around pivots; a task compares two blocks that may hold a close pair
+    and keeps one candidate per cluster, so no list of pairs is ever produced.
     """
-    sizes = state.groupBy("prompt_id").agg(F.ceil(F.count("*") / block).cast("int").alias("_nb"))
-    dealt = state.join(sizes, "prompt_id").withColumn("_blk", F.pmod(F.xxhash64("cid"), F.col("_nb")).cast("int"))
-    spread = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
-    left = spread.select("prompt_id", F.col("_blk").alias("i"), F.col("_other").alias("j"), F.lit(True).alias("mine"), "cid", "w", "usum")
-    right = spread.select("prompt_id", F.col("_other").alias("i"), F.col("_blk").alias("j"), F.lit(False).alias("mine"), "cid", "w", "usum")
+    dealt = materialize(_pivoted(state, block), "dealt")
+    pairs = materialize(_block_pairs(dealt, threshold), "block-pairs")
+    mine = dealt.withColumnRenamed("blk", "i").join(pairs, ["prompt_id", "i"])
+    others = dealt.withColumnRenamed("blk", "j").join(pairs, ["prompt_id", "j"])
+    names = ["prompt_id", "i", "j", "cid", "w", "usum"]
+    left = mine.select(*names, F.lit(True).alias("mine"))
+    right = others.select(*names, F.lit(False).alias("mine"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         a, b = pdf[pdf["mine"]], pdf[~pdf["mine"]].sort_values("cid")
         if a.empty or b.empty:
             return pd.DataFrame({"prompt_id": [], "cid": [], "best": [], "sim": []})
         sim = np.stack(a["usum"]) @ np.stack(b["usum"]).T
-        sim = np.round(sim / np.outer(a["w"], b["w"]), 10)
+        sim = np.round(sim / np.outer(a["w"], b["w"]), DIGITS)
         sim[a["cid"].to_numpy()[:, None] == b["cid"].to_numpy()[None, :]] = -np.inf
         at = sim.argmax(axis=1)
         out = pd.DataFrame({"prompt_id": a["prompt_id"].to_numpy(), "cid": a["cid"].to_numpy(),
                             "best": b["cid"].to_numpy()[at], "sim": sim[np.arange(len(at)), at]})
-        return out[np.isfinite(out["sim"])]
+        return out[close_enough(out["sim"], threshold)]
 
     kind = state.schema["prompt_id"].dataType.simpleString()
     found = left.unionByName(right).groupBy("prompt_id", "i", "j").applyInPandas(
@@ -127,8 +191,7 @@ def _cluster_large(points: DataFrame, threshold: float, block: int) -> DataFrame
                                       F.transform(u, lambda x: x * F.col("weight")).alias("usum")), "clusters")
     members = materialize(points.select("prompt_id", "rep", F.col("rep").alias("cluster_id")), "members")
     while True:
-        near = _nearest(state, block)
-        near = materialize(near.filter((1.0 - F.col("sim")) <= (1.0 - threshold) + 1e-10), "nearest")
+        near = materialize(_nearest(state, block, threshold), "nearest")
         back = near.select("prompt_id", F.col("cid").alias("best"), F.col("best").alias("cid"))
         merges = near.join(back, ["prompt_id", "cid", "best"]).filter(F.col("cid") < F.col("best")) \
             .select("prompt_id", F.col("best").alias("gone"), F.col("cid").alias("into"))

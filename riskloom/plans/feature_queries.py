@@ -79,6 +79,44 @@ def cluster_samples(v):
     return clustering.cluster_samples(v.vectors)
 
 
+VIEW_SQL["v_merging"] = ((), """
+    SELECT a.vec_id AS prompt_id, CAST(a.embedding AS DOUBLE[]) AS e, CAST(b.embedding AS DOUBLE[]) AS f
+    FROM embeddings a JOIN embeddings b ON b.vec_id = (a.vec_id + 1) % (SELECT count(*) FROM embeddings)""")
+_MERGED_SQL = """WITH mixed AS (SELECT prompt_id, e, f, list_transform(range(1, len(e) + 1), lambda i: e[i] + 0.1::DOUBLE * f[i]) AS em,
+      list_transform(range(1, len(e) + 1), lambda i: f[i] + 0.1::DOUBLE * e[i]) AS fm FROM v_merging),
+    across AS (SELECT prompt_id, (list_cosine_similarity(e, f) * 4 + list_cosine_similarity(e, fm) * 2 + list_cosine_similarity(em, f) * 2
+      + list_cosine_similarity(em, fm)) / 9 AS sim FROM mixed)
+    SELECT prompt_id, s::BIGINT AS sample_id, CASE WHEN s < 3 OR sim >= 0.7 THEN 0 ELSE 3 END::BIGINT AS cluster_id
+    FROM across, (SELECT unnest(range(6)) AS s)"""
+
+
+def merging_vectors(v):
+    """Six samples a vector: it, its double and it with a tenth of its successor; then the same of the successor."""
+    n = v.table("embeddings").agg(F.count("*")).scalar()
+    e = v.table("embeddings").select(F.col("vec_id").alias("prompt_id"), F.col("embedding").cast("array<double>").alias("e"))
+    nxt = e.select(F.col("prompt_id").alias("next_id"), F.col("e").alias("f"))
+    both = e.withColumn("next_id", (F.col("prompt_id") + 1) % n).join(nxt, "next_id")
+
+    def three(a, b, first):
+        mixed = F.zip_with(a, b, lambda x, y: x + y * 0.1)
+        return [F.struct(F.lit(first + i).cast("bigint").alias("sample_id"), x.alias("vector"))
+                for i, x in enumerate([F.col(a), F.transform(a, lambda x: x * 2), mixed])]
+
+    rows = F.explode(F.array(*three("e", "f", 0), *three("f", "e", 3)))
+    return both.select("prompt_id", rows.alias("_s")).select("prompt_id", "_s.*")
+
+
+@query("cluster_samples_merged", _MERGED_SQL, ("v_merging",))
+def cluster_samples_merged(v):
+    return clustering.cluster_samples(merging_vectors(v))
+
+
+@query("cluster_samples_merged_rounds", _MERGED_SQL, ("v_merging",))
+def cluster_samples_merged_rounds(v):
+    """Every prompt through the distributed rounds."""
+    return clustering.cluster_samples(merging_vectors(v), local_limit=0)
+
+
 @query("cluster_entropy", f"""WITH {_entropy_sql('(SELECT label AS prompt_id, vec_id % 7 AS cluster_id FROM embeddings)')}
     SELECT prompt_id, round(bits, 6) AS semantic_entropy, num_samples, k AS num_semantic_clusters FROM ent""")
 def cluster_entropy(v):
