@@ -79,16 +79,16 @@ PROMPT_UNITS = (
 QUALITATIVE_MARKS = ("yes", "no", "because", "due to", "primarily", "evident from")
 QUALITATIVE_LENGTH = 50
 
-FINANCE_STOPWORDS = (
-    "the a an is was are were be been to of and in for on with"
-).split()
-GROUNDED_STOPWORDS = (
-    "the a an is was are were be been being to of and in for on with at by from "
-    "that this it its as or but not no so if has had have do does did will would "
-    "could should may might can shall there their they them he she him her his we "
-    "us our you your i me my which who whom what when where how than then also "
-    "just about"
-).split()
+FINANCE_STOPWORDS = [
+    "the", "a", "an", "is", "was", "are", "were", "be", "been", "to", "of", "and", "in", "for", "on", "with",
+]
+GROUNDED_STOPWORDS = [
+    "the", "a", "an", "is", "was", "are", "were", "be", "been", "being", "to", "of", "and", "in", "for", "on", "with",
+    "at", "by", "from", "that", "this", "it", "its", "as", "or", "but", "not", "no", "so", "if", "has", "had", "have",
+    "do", "does", "did", "will", "would", "could", "should", "may", "might", "can", "shall", "there", "their", "they",
+    "them", "he", "she", "him", "her", "his", "we", "us", "our", "you", "your", "i", "me", "my", "which", "who",
+    "whom", "what", "when", "where", "how", "than", "then", "also", "just", "about",
+]
 
 # --- fixed values: features ------------------------------------------------
 ENTITY_TYPES = ["PERSON", "ORG", "GPE", "LOC", "PRODUCT", "EVENT"]

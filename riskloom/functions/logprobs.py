@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def best_of(top: Column) -> Column:
+    """The best value of each position's top list."""
+    return F.transform(top, lambda m: F.array_max(F.map_values(m)))
+
+
 def token_logprobs(tokens: Column, top: Column | None = None) -> Column:
     """One ``array<double>``: the token values, else the best value of each position.
 
@@ -13,7 +18,7 @@ def token_logprobs(tokens: Column, top: Column | None = None) -> Column:
     """
     picked = tokens
     if top is not None:
-        picked = F.coalesce(tokens, F.transform(top, lambda m: F.array_max(F.map_values(m))))
+        picked = F.coalesce(tokens, best_of(top))
     return F.filter(picked, lambda v: v.isNotNull() & ~F.isnan(v))
 
 

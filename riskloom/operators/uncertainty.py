@@ -47,8 +47,15 @@ def semantic_energy(method: str = "logsumexp") -> Column:
         raise ValueError(f"unknown energy method {method!r}") from None
 
 
-def token_features(tokens: DataFrame, method: str = "logsumexp", key: str = "prompt_id") -> DataFrame:
-    """Energy, log-probability summaries and the naive confidence baselines."""
+def token_features(tokens: DataFrame, method: str = "logsumexp", key: str = "prompt_id", entropies: DataFrame | None = None) -> DataFrame:
+    """Energy, log-probability summaries and the naive confidence baselines.
+
+    ``entropies`` (key, top_k_entropy) comes from stored top lists; without it the entropy is the published
+    placeholder, 0 for any prompt with tokens.
+    """
+    if entropies is not None:
+        real = token_features(tokens, method, key).drop("naive_top_k_entropy")
+        return real.join(entropies.select(key, F.col("top_k_entropy").alias("naive_top_k_entropy")), key, "left")
     return token_stats(tokens, key).select(
         key, semantic_energy(method).alias("semantic_energy"), "mean_logprob", "min_logprob", "std_logprob",
         F.exp("max_logprob").alias("naive_max_prob"), F.exp(-F.col("mean_logprob")).alias("naive_perplexity"),

@@ -9,11 +9,14 @@ from riskloom.functions import features as X
 from riskloom.functions import logprobs as LP
 from riskloom.functions import text as tx
 from riskloom.operators import clustering, context, matrix, selection
+from riskloom.operators import tokens as TK
 from riskloom.operators import uncertainty as U
 from riskloom.plans.eval_queries import r6
 from riskloom.plans.label_queries import labelled
 from riskloom.plans.registry import query
 from riskloom.plans.views import VIEW_SQL
+from riskloom.session import fresh_path
+from riskloom.sources import readers as R
 
 _SUFFIX = "+ 1e-10::DOUBLE"
 
@@ -152,6 +155,32 @@ def logprob_normalize(v):
                       F.round(F.element_at("a", 2), 6).alias("second"), F.round(LP.energy(F.col("a")), 6).alias("energy"))
 
 
+@query("sample_tokens", """WITH t AS (SELECT event_id, CASE WHEN event_id % 3 <> 0 THEN [-value / 100, NULL, -value / 100 * 2]
+      ELSE [greatest(-value / 100, -value / 100 - 1), greatest(-value / 100 * 3, -value / 100 / 2)] END AS a FROM events),
+    u AS (SELECT event_id, unnest(a) AS logprob, generate_subscripts(a, 1) - 1 AS pos FROM t)
+    SELECT event_id, CAST(pos AS INTEGER) AS pos, round(logprob, 6) AS logprob FROM u WHERE logprob IS NOT NULL""")
+def sample_tokens(v):
+    """Stored samples, written and read with the samples' schema, to one row a token."""
+    stored = token_arrays(v).select(F.col("event_id").cast("string").alias("prompt_id"), F.col("tokens").alias("logprobs"), F.col("top").alias("top_logprobs"))
+    path = fresh_path(v.spark, "samples")
+    stored.write.parquet(path)
+    tokens = TK.token_table(R.scan_samples(v.spark, path), ["prompt_id"])
+    return tokens.select(F.col("prompt_id").cast("bigint").alias("event_id"), "pos", *r6("logprob"))
+
+
+def _entropy_of(p, q):
+    m = f"({p} + {q})"
+    return f"""CASE WHEN {m} > 1 THEN -({p} / {m} * ln({p} / {m}) + {q} / {m} * ln({q} / {m}))
+      WHEN {m} < 1 THEN -({p} * ln({p}) + {q} * ln({q}) + (1 - {m}) * ln(1 - {m})) ELSE -({p} * ln({p}) + {q} * ln({q})) END"""
+
+
+@query("top_k_entropy_lists", f"""WITH t AS (SELECT event_id, exp(-value / 100) AS a, exp(-value / 100 - 1) AS b, exp(-value / 100 * 3) AS c, exp(-value / 100 / 2) AS d FROM events)
+    SELECT event_id, round(({_entropy_of('a', 'b')} + {_entropy_of('c', 'd')}) / 2, 6) AS top_k_entropy FROM t""")
+def top_k_entropy_lists(v):
+    top = TK.top_table(token_arrays(v), ["event_id"], top="top")
+    return TK.top_k_entropy(top, "event_id").select("event_id", *r6("top_k_entropy"))
+
+
 @query("semantic_energy", """SELECT prompt_id, round(-mass, 6) AS by_logsumexp, round(-mean, 6) AS by_mean, round(-lo, 6) AS by_min FROM v_tok""", ("v_tok",))
 def semantic_energy(v):
     return U.token_stats(v.logprobs).select("prompt_id", *[

@@ -107,8 +107,8 @@ def scan_samples(v):
     return v.prompts.select("prompt_id", "domain").join(stored.select("prompt_id", "sample_id", "text"), "prompt_id")
 
 
-_TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages "
-           "benchmark labels conversations").split()
+_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages",
+           "benchmark", "labels", "conversations"]
 
 
 @query("dataset_presence", " UNION ALL ".join(

@@ -47,6 +47,7 @@ SAMPLES_SCHEMA = T.StructType([
         T.StructField("prompt_tokens", T.LongType()), T.StructField("completion_tokens", T.LongType()),
         T.StructField("total_tokens", T.LongType())])),
     T.StructField("logprobs", T.ArrayType(T.DoubleType())), T.StructField("error", _S),
+    T.StructField("top_logprobs", T.ArrayType(T.MapType(_S, T.DoubleType()))),
 ])
 
 

@@ -232,3 +232,27 @@ def test_names_of_many_words_and_a_run_in_every_prompt(spark, monkeypatch, most_
 def test_no_names(spark):
     df = spark.createDataFrame([(1, "a b")], "prompt_id int, prompt string")
     assert not context.extract_entities(df, spark.createDataFrame([], "text_normalized string, label string")).count()
+
+
+def test_token_table_and_top_entropy(spark):
+    from riskloom.operators import tokens
+
+    nan = float("nan")
+    rows = [("a", 0, [-0.1, nan, None, -2.0], None), ("a", 1, None, [{"x": -0.2, "y": -3.0, "z": -2.0}, {"x": -0.1}]),
+            ("b", 0, None, [{"x": -0.5, "y": -0.6, "z": nan}]), ("c", 0, [], []), ("d", 0, None, None)]
+    df = spark.createDataFrame(rows, "prompt_id string, sample_id long, logprobs array<double>, top_logprobs array<map<string,double>>")
+    got = {(r.prompt_id, r.sample_id, r.pos): r.logprob for r in tokens.token_table(df, ["prompt_id", "sample_id"]).collect()}
+    assert got == {("a", 0, 0): -0.1, ("a", 0, 3): -2.0, ("a", 1, 0): -0.2, ("a", 1, 1): -0.1, ("b", 0, 0): -0.5}
+
+    def entropy(values):
+        p = [math.exp(v) for v in values]
+        p = [x / sum(p) for x in p] if sum(p) > 1 else [*p, 1 - sum(p)]
+        return -sum(x * math.log(x) for x in p if x > 0)
+
+    for k, first in ((10, [-0.2, -3.0, -2.0]), (2, [-0.2, -2.0])):
+        top = tokens.top_table(df, ["prompt_id", "sample_id"], k)
+        out = {r.prompt_id: r.top_k_entropy for r in tokens.top_k_entropy(top, group=["sample_id"]).collect()}
+        assert out == {"a": pytest.approx((entropy(first) + entropy([-0.1])) / 2), "b": pytest.approx(entropy([-0.5, -0.6]))}
+    table = tokens.token_table(df, ["prompt_id"])
+    real = {r.prompt_id: r.naive_top_k_entropy for r in U.token_features(table, entropies=tokens.top_k_entropy(top, group=["sample_id"])).collect()}
+    assert real["b"] > 0.5 and {r.naive_top_k_entropy for r in U.token_features(table).collect()} == {0.0}
