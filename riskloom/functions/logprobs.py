@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def best_of(top: Column) -> Column:
-    """The best value of each position's top list."""
-    return F.transform(top, lambda m: F.array_max(F.map_values(m)))
+    """The best value of each position's top list, NaN aside."""
+    return F.transform(top, lambda m: F.array_max(F.filter(F.map_values(m), lambda v: ~F.isnan(v))))
 
 
 def token_logprobs(tokens: Column, top: Column | None = None) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,9 +13,9 @@ from riskloom.config import DATASETS, DatasetSpec
 from riskloom.functions.numbers import final_answer
 from riskloom.functions.prompts import context_text
 from riskloom.functions.text import strip
+from riskloom.sources.records import csv_records, json_array_records
 
-# A text may hold newlines, so a CSV file is read whole by one task; keep large
-# tables as many files.
+# For Spark's own reader, which reads a file of such records whole in one task.
 CSV_OPTIONS = {"header": True, "multiLine": True, "escape": '"', "quote": '"'}
 
 _S = T.StringType()
@@ -59,10 +59,21 @@ def spec_of(key: str) -> DatasetSpec:
 
 
 def scan_csv(spark: SparkSession, key: str, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """One domain's CSV with ``domain`` and ``domain_key`` stamped on."""
-    spec = spec_of(key)
-    raw = spark.read.schema(schema or RAW_SCHEMAS[key]).options(**CSV_OPTIONS).csv(path)
-    return raw.withColumn("domain", F.lit(spec.domain)).withColumn("domain_key", F.lit(key))
+    """One domain's CSV with ``domain`` and ``domain_key`` stamped on; a file is read by many tasks, newlines in texts or not."""
+    spec_of(key)
+    return _stamped(csv_records(spark, path, schema or RAW_SCHEMAS[key]).drop("file", "record"), key)
+
+
+def _stamped(raw: DataFrame, key: str) -> DataFrame:
+    return raw.withColumn("domain", F.lit(spec_of(key).domain)).withColumn("domain_key", F.lit(key))
+
+
+def record_position(records: DataFrame, name: str = "position") -> DataFrame:
+    """Place of each record over all files in the order of their names; the window sees one row a file."""
+    counts = records.groupBy(F.col("file").alias("_file")).agg(F.count("*").alias("_n"))
+    ahead = Window.partitionBy(F.lit(0)).orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_file", F.coalesce(F.sum("_n").over(ahead), F.lit(0)).alias("_off"))
+    return records.join(offsets, records["file"] == offsets["_file"]).withColumn(name, F.col("_off") + F.col("record")).drop("_file", "_off", "file", "record")
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
@@ -117,8 +128,6 @@ def with_row_position(df: DataFrame, name: str = "position") -> DataFrame:
     The count table has one row per scan partition.  Only sound on a scan, whose
     partitions are the same each time it runs; prefer a natural key.
     """
-    from pyspark.sql import Window
-
     tagged = df.withColumn("_mono", F.monotonically_increasing_id())
     part = F.shiftright(F.col("_mono"), 33)
     tagged = tagged.withColumn("_part", part).withColumn("_in", F.col("_mono") - F.shiftleft(part, 33))
@@ -134,8 +143,12 @@ def prompt_ids(df: DataFrame, domain_key: Column, position: str) -> DataFrame:
 
 
 def load_domain(spark: SparkSession, key: str, path: str) -> DataFrame:
-    """Scan, number, standardise and preprocess one domain."""
-    raw = with_row_position(scan_csv(spark, key, path))
+    """Scan, number, standardise and preprocess one domain.
+
+    Numbers follow the records of the files, whatever the splits they are read in.
+    """
+    spec_of(key)
+    raw = _stamped(record_position(csv_records(spark, path, RAW_SCHEMAS[key])), key)
     return preprocess(standardize(prompt_ids(raw, F.lit(key), "position"), spec_of(key)), key)
 
 
@@ -160,6 +173,20 @@ def scan_nested(spark: SparkSession, path: str, multi_line: bool = False) -> Dat
             .withColumn("file_name", F.col("_metadata.file_name")))
 
 
+def scan_nested_arrays(spark: SparkSession, path: str, name: str = "doc_id") -> DataFrame:
+    """Files of one JSON array each, read by many tasks; ``{file stem}_doc{i}`` by place in the array.
+
+    Files of equal names in several folders would give equal ids, so that raises.
+    """
+    records = json_array_records(spark, path, NESTED_SCHEMA)
+    names = spark.read.format("binaryFile").load(path).select(F.element_at(F.split("path", "/"), -1).alias("n"))
+    twice = names.groupBy("n").count().filter("count > 1").select("n").take(1)
+    if twice:
+        raise ValueError(f"several files are named {twice[0].n!r}")
+    stem = F.regexp_replace("file_name", r"\.[^.]*$", "")
+    return records.withColumn(name, F.concat(stem, F.lit("_doc"), F.col("record"))).drop("record")
+
+
 def number_documents(docs: DataFrame, name: str = "doc_id") -> DataFrame:
     """``{file stem}_doc{i}`` by place in the file.
 

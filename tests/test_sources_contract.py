@@ -61,6 +61,8 @@ def test_nested_json_array_files(spark, tmp_path):
     assert got["dev_doc0_q1"].context == "zero\n\nfirst\n\nsecond\n\nTABLE:\na | 1\nb | None"
     assert got["dev_doc1_q0"].context == "only" and got["dev_doc1_q0"].table_uid == ""
     assert got["dev_doc0_q1"].answer_type == ""
+    split = {r.id: r for r in R.explode_questions(R.scan_nested_arrays(spark, str(tmp_path)), F.col("doc_id")).collect()}
+    assert split == got
 
 
 def test_feature_sinks(spark, tmp_path):
