@@ -9,6 +9,7 @@ from riskloom.config import CONTEXT_COLUMNS, ENTITY_TYPES, RARE_FREQUENCY
 from riskloom.functions import features as X
 from riskloom.functions.text import strip_punct, words
 from riskloom.operators.joins import join_apart
+from riskloom.session import is_stored, materialize
 
 
 # Names that are broadcast; a larger gazetteer is joined by shuffles.
@@ -28,17 +29,18 @@ def extract_entities(prompts: DataFrame, gazetteer: DataFrame, key: str = "promp
                      text: str = "prompt") -> DataFrame:
     """key, text_normalized, label, n: names of the gazetteer found in a text and how often.
 
-    A token that begins no name is dropped at once; at the others only runs as long as a name
+    The gazetteer is written once, as it is counted, cut and looked up.  A token that begins no name is dropped at once; at the others only runs as long as a name
     with that beginning are formed, and equal runs of a text fold before they meet the names.  A gazetteer of up to
     ``MOST_NAMES`` names (counted first) is broadcast, so nothing but names that were found is shuffled; beyond it beginnings
     and runs are joined, those that very many texts share apart from the rest.
     """
+    gazetteer = gazetteer if is_stored(gazetteer) else materialize(gazetteer.select("text_normalized", "label"), "names")
     size = F.size(F.split("text_normalized", " "))
     n_names, most = gazetteer.agg(F.count("*"), F.max(size)).first()
     heads = gazetteer.groupBy(F.substring_index("text_normalized", " ", 1).alias("head")).agg(F.collect_set(size).alias("sizes"))
     small = n_names <= MOST_NAMES
     toks = F.transform(words(F.lower(F.col(text))), strip_punct)
-    at = prompts.select(key, F.explode(windows(toks, most or 1)).alias("_w")).select(key, "_w.*")
+    at = prompts.select(key, toks.alias("_t")).select(key, F.explode(windows(F.col("_t"), most or 1)).alias("_w")).select(key, "_w.*")
     begun = at.join(F.broadcast(heads), "head") if small else join_apart(at, heads, "head")
     long = begun.select(key, "window", F.explode(F.filter("sizes", lambda n: n <= F.col("left"))).alias("_size"))
     runs = long.select(key, F.call_function("substring_index", F.col("window"), F.lit(" "), F.col("_size")).alias("text_normalized"))
