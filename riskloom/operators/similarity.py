@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 from riskloom.functions.text import words
 
 
-def grams(text: Column, n: int = 1) -> Column:
-    """Word n-grams, repeats kept; a text of fewer words, but not none, is one gram."""
-    each = words(text)
+def grams(each: Column, n: int = 1) -> Column:
+    """n-grams of a column of words, repeats kept; fewer words, but not none, are one gram."""
     if n == 1:
         return each
     return F.when(F.size(each) <= n, F.when(F.size(each) > 0, F.array(F.array_join(each, " "))).otherwise(F.array().cast("array<string>"))) \
@@ -29,8 +28,8 @@ def gram_similarity(pairs: DataFrame, ids: list[str], a: str, b: str, n: int = 1
     alike (1), one of them against words is not (0).  A pair with a NULL text has no row.  ``ids`` must be unique
     and without NULL.
     """
-    both = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull())
-    sides = F.array(F.struct(F.lit(1).alias("a"), grams(F.col(a), n).alias("g")), F.struct(F.lit(0).alias("a"), grams(F.col(b), n).alias("g")))
+    both = pairs.filter(F.col(a).isNotNull() & F.col(b).isNotNull()).select(*ids, words(F.col(a)).alias("_wa"), words(F.col(b)).alias("_wb"))
+    sides = F.array(F.struct(F.lit(1).alias("a"), grams(F.col("_wa"), n).alias("g")), F.struct(F.lit(0).alias("a"), grams(F.col("_wb"), n).alias("g")))
     each = both.select(*ids, F.explode(sides).alias("_s")).select(*ids, F.col("_s.a").alias("_a"), F.explode_outer("_s.g").alias("_g"))
     real = F.col("_g").isNotNull()
     counts = each.groupBy(*ids, "_g").agg(F.sum(F.when(real, F.col("_a"))).alias("_x"), F.sum(F.when(real, 1 - F.col("_a"))).alias("_y"))
