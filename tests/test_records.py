@@ -4,7 +4,6 @@ import json
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from riskloom.operators import ranking
 from riskloom.sources import readers as R
