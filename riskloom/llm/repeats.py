@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -71,32 +72,103 @@ class Anchors:
         return h[at].view(np.int64), own.view(np.int64), at, first, count
 
 
+def _words(text: np.ndarray, length: int):
+    """Function of (starts, j): the j-th eight of the ``length`` bytes from each start, as numbers in byte order."""
+    count = -(-length // 8)
+    padded = np.concatenate([text, np.zeros(8 * count + 8, np.uint8)])
+    at = np.ndarray((len(padded) - 7,), ">u8", padded, 0, (1,))
+    spare = _U(8 * (8 * count - length))
+
+    def word(starts: np.ndarray, j: int) -> np.ndarray:
+        w = at[starts + 8 * j].astype(_U)
+        return w >> spare << spare if j == count - 1 else w
+
+    return word, count
+
+
+def _recurring(text: np.ndarray, starts: np.ndarray, length: int):
+    """(index of the first start of each string of ``length`` bytes that starts twice or more, those of its other starts)."""
+    word, count = _words(text, length)
+    h = np.zeros(len(starts), _U)
+    for j in range(count):
+        h = _mix((h + _U(1)) * _U(_R) ^ word(starts, j))
+    order = np.argsort(h)
+    new = np.concatenate([[True], np.diff(h[order]) != 0, [True]])
+    order = order[~(new[:-1] & new[1:])]
+    if not len(order):
+        return order, order
+    fresh = np.flatnonzero(np.concatenate([[True], np.diff(h[order]) != 0]))
+    least = np.minimum.reduceat(order, fresh)
+    of = np.repeat(least, np.diff(np.append(fresh, len(order))))
+    if all(np.array_equal(word(starts[order], j), word(starts[of], j)) for j in range(count)):
+        return least, order[order != of]
+    return order, order[:0]  # two strings of one hash: the suffix order tells them
+
+
+def suffix_order(text: np.ndarray, starts: np.ndarray, length: int):
+    """(order, shared): ``starts`` by the ``length`` bytes from each, ties by place, and bytes shared with the one before (0 for the first)."""
+    word, count = _words(text, length)
+    order = np.argsort(word(starts, 0), kind="stable")
+    first = word(starts[order], 0)
+    tied = np.concatenate([[False], first[1:] == first[:-1]])
+    shared = np.zeros(len(starts), np.int64)
+    shared[1:] = _agree(first)
+    for j in range(1, count):
+        if not tied.any():
+            break
+        live = np.flatnonzero(tied | np.append(tied[1:], False))
+        group = np.cumsum(~tied[live])
+        w = word(starts[order[live]], j)
+        by = np.lexsort((w, group))
+        order[live] = order[live][by]
+        w = w[by]
+        still = tied[live[1:]]
+        at = live[1:][still]
+        same = _agree(w)[still]
+        shared[at] = np.minimum(8 * j + same, length)
+        tied[at] = same == 8
+    return order, shared
+
+
+def _agree(w: np.ndarray) -> np.ndarray:
+    """Leading bytes that each number shares with the one before it."""
+    differ = w[1:] ^ w[:-1]
+    return sum((differ < _U(1 << 8 * k)).astype(np.int64) for k in range(8))  # the last is that of equal numbers
+
+
+def longest_previous_factors(order: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Bytes that each suffix shares with the earlier suffix most like it, from the suffix order.
+
+    That one is the previous or the next of smaller place in suffix order; one pass with a stack finds both.
+    """
+    out = np.zeros(len(order), np.int64)
+    places, alike = [], []
+    for place, low in zip([*order.tolist(), -1], [*shared.tolist(), 0]):
+        while places and places[-1] > place:
+            top = alike.pop()
+            out[places.pop()] = top if top > low else low
+            if top < low:
+                low = top
+        places.append(place)
+        alike.append(low)
+    return out
+
+
 def previous_factors(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """For each suffix start, whether its longest previous factor has ``length`` bytes.
+    """Longest-previous-factor array over the suffixes from ``starts``, at most ``length``.
 
     ``starts`` ascend in the order in which the suffixes count as earlier, and each has ``length`` bytes before
-    its end.  Suffixes are ranked by doubling up to ``length`` bytes; ties keep their positions' order, so in
-    suffix order the previous smaller position is the neighbour above if both agree on
-    ``length`` bytes, and a next smaller position never agrees on as many.
+    its end.  Suffixes whose ``length`` bytes start nowhere else can't reach that value; they stand at 0 and the others are
+    compared among each other.  Of suffixes that agree on all of these bytes, each has the one before it as its previous smaller
+    position; the first of each are put in suffix order.
     """
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
-    rank = np.zeros(len(text), _U)
-    for i in range(8):
-        rank = (rank << _U(8)) | padded[i : i + len(text)]
-    have = 8
-    while have < length:
-        step = min(have, length - have)
-        if have == 8:
-            rank = np.unique(rank, return_inverse=True)[1].astype(_U)
-        after = np.concatenate([rank[step:], np.zeros(step, _U)])
-        pair = (rank << _U(32)) | after
-        have += step
-        rank = np.unique(pair, return_inverse=True)[1].astype(_U)
-    of = rank[starts]
-    order = np.argsort(of, kind="stable")
-    same = np.zeros(len(starts), bool)
-    same[order[1:]] = of[order[1:]] == of[order[:-1]]
-    return same
+    out = np.zeros(len(starts), np.int64)
+    first, later = _recurring(text, starts, length)
+    if len(first):
+        out[later] = length
+        first = np.sort(first)
+        out[first] = longest_previous_factors(*suffix_order(text, starts[first], length))
+    return out
 
 
 def _ids_of(docs: DataFrame, doc: str, text: str) -> tuple[DataFrame, bool]:
@@ -135,18 +207,20 @@ def _anchor_rows(rows: DataFrame, length: int, seed: int) -> DataFrame:
     return rows.mapInArrow(run, "key long, own long, doc long, tie long, at long")
 
 
-def _owned_text(length: int):
+def _owned_text(length: int, most: int = 50_000):
     """Rows (key, doc, tie, at, bytes) of wanted anchors from (doc, tie, text, list of (key, at))."""
-    kind = pa.struct([("key", pa.int64()), ("doc", pa.int64()), ("tie", pa.int64()), ("at", pa.int64()), ("bytes", pa.binary())])
-
     def run(batches):
         for batch in batches:
-            for doc, tie, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), text_bytes(batch, "text"), batch.column(3).to_pylist()):
-                out = []
-                for w in wanted:
-                    first, n = w["at"] >> 16, w["at"] & 255
-                    out.append({"key": w["key"], "doc": doc, "tie": tie, "at": w["at"], "bytes": text[first : first + n - 1 + length]})
-                yield pa.RecordBatch.from_struct_array(pa.array(out, kind))
+            wanted = batch.column(3).flatten()
+            key, at = wanted.field(0).to_numpy(), wanted.field(1).to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), pc.list_value_length(batch.column(3)).to_numpy())
+            first, stop = at >> 16, (at >> 16) + (at & 255) - 1 + length
+            data = text_bytes(batch, "text")
+            for a in range(0, len(row), most):
+                part = slice(a, a + most)
+                found = [data[r][f:s] for r, f, s in zip(row[part].tolist(), first[part].tolist(), stop[part].tolist())]
+                yield pa.RecordBatch.from_arrays([pa.array(key[part]), batch.column(0).take(pa.array(row[part])), batch.column(1).take(pa.array(row[part])),
+                                                  pa.array(at[part]), pa.array(found, pa.binary())], names=["key", "doc", "tie", "at", "bytes"])
 
     return run
 
@@ -174,57 +248,81 @@ def _matched(length: int, most_bytes: int = 4_000_000):
 
     Whole groups are gathered until they fill a buffer, and one suffix order serves them all.
     """
-    def flush(rows):
-        sizes = np.array([len(r[4]) for r in rows])
-        begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-        counts = sizes - length + 1
-        starts = np.repeat(begins, counts) + np.concatenate([np.arange(c) for c in counts])
-        hit = previous_factors(np.frombuffer(b"".join(r[4] for r in rows), np.uint8), starts, length)
-        owner = np.repeat(np.arange(len(rows)), counts)
-        offset = starts - begins[owner]
+    def flush(held):
+        doc, tie, at, owned = (pa.concat_arrays([b.column(i) for b in held]) for i in (1, 2, 3, 4))
+        offsets = np.frombuffer(owned.buffers()[1], np.int32)[owned.offset : owned.offset + len(owned) + 1].astype(np.int64)
+        text = np.frombuffer(owned.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        begins = offsets[:-1] - offsets[0]
+        counts = np.diff(offsets) - length + 1
+        owner = np.repeat(np.arange(len(counts)), counts)
+        offset = np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
+        hit = previous_factors(text, begins[owner] + offset, length) == length
         edge = np.flatnonzero(hit & ~np.concatenate([[False], hit[:-1] & (owner[1:] == owner[:-1])]))
         stop = np.flatnonzero(hit & ~np.concatenate([hit[1:] & (owner[1:] == owner[:-1]), [False]]))
         who = owner[edge]
-        first = np.array([r[3] >> 16 for r in rows])[who] + offset[edge]
-        pick = lambda i: pa.array([rows[k][i] for k in who.tolist()], pa.int64())
-        return pa.RecordBatch.from_arrays([pick(1), pick(2), pa.array(first), pa.array(stop - edge + 1)], names=["doc", "tie", "first", "n"])
+        first = (at.to_numpy() >> 16)[who] + offset[edge]
+        return pa.RecordBatch.from_arrays([doc.take(pa.array(who)), tie.take(pa.array(who)), pa.array(first), pa.array(stop - edge + 1)], names=["doc", "tie", "first", "n"])
 
     def run(batches):
         held, size, mark = [], 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > most_bytes and row[0] != mark:
-                    yield flush(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[4])
-                mark = row[0]
+            if not batch.num_rows:
+                continue
+            key = batch.column(0).to_numpy()
+            before = np.concatenate([[0], np.cumsum(pc.binary_length(batch.column(4)).to_numpy().astype(np.int64))])
+            fresh = np.flatnonzero(np.concatenate([[key[0] != mark], key[1:] != key[:-1]]))
+            begin = 0
+            while True:
+                cut = fresh[(fresh >= begin) & (size + before[fresh] - before[begin] > most_bytes)][:1]
+                end = int(cut[0]) if len(cut) else batch.num_rows
+                held.append(batch.slice(begin, end - begin))
+                size += int(before[end] - before[begin])
+                if not len(cut):
+                    break
+                yield flush(held)
+                held, size, begin = [], 0, end
+            mark = key[-1]
         if held:
             yield flush(held)
 
     return run
 
 
-def cut_ranges(text: bytes, marks: list[tuple[int, int, int]], length: int) -> list[tuple[int, int]]:
+def cut_ranges(text: bytes, marks, length: int) -> list[tuple[int, int]]:
     """Maximal removed runs of a text from marks (kind, first window, windows).
 
     Windows of kind 0 have an earlier match, except those of kind 1 (first copies), except those of kind 2 (matched by another).
     """
     n = len(text) - length + 1
-    if n <= 0 or not marks:
+    if n <= 0 or not len(marks):
         return []
-    on = np.zeros(n, bool)
-    for kind in (0, 1, 2):
-        for k, first, count in marks:
-            if k == kind:
-                on[first : first + count] = kind != 1
-    cover = np.zeros(len(text) + 1, np.int64)
-    at = np.flatnonzero(on)
-    np.add.at(cover, at, 1)
-    np.add.at(cover, at + length, -1)
-    gone = np.concatenate([[False], np.cumsum(cover)[:-1] > 0, [False]])
-    edge = np.flatnonzero(gone[1:] != gone[:-1])
-    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+    marks = np.asarray(marks, np.int64)
+
+    def within(kind):
+        _, first, count = marks[marks[:, 0] == kind].T
+        return np.cumsum(np.bincount(first, minlength=n + 1) - np.bincount(first + count, minlength=n + 1))[:n] > 0
+
+    at = np.flatnonzero(within(0) & ~within(1) | within(2))
+    if not len(at):
+        return []
+    apart = np.flatnonzero(np.diff(at) > length)  # the windows on both sides leave a byte between them
+    return list(zip(at[np.append(0, apart + 1)].tolist(), (at[np.append(apart, len(at) - 1)] + length).tolist()))
+
+
+def _of_keys(anchors: DataFrame, keys: DataFrame, least: int = 2_000, most_keys: int = 100_000) -> DataFrame:
+    """Anchors of ``keys`` (k, n, mixed), with ``mixed``; those of a key with very many are dealt to several tasks.
+
+    A key is heavy that has more than ``least`` anchors and more than one of ``most_keys`` parts of all, so there are at most ``most_keys``
+    heavy keys, which are broadcast with their numbers of parts.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(least, total // most_keys)
+    parts = F.when(F.col("n") > bound, F.ceil(F.col("n") / F.lit(bound)).cast("int")).otherwise(1)
+    heavy = F.broadcast(keys.where(F.col("n") > bound).select(F.col("k").alias("h"), parts.alias("parts")))
+    dealt = anchors.join(heavy, anchors["key"] == heavy["h"], "left").withColumn(
+        "part", F.when(F.col("h").isNull(), 0).otherwise(F.pmod(F.xxhash64("doc", "at"), F.col("parts")).cast("int")))
+    spread = keys.select("k", "mixed", F.explode(F.sequence(F.lit(0), parts - 1)).alias("p")).hint("shuffle_hash")
+    return dealt.join(spread, (dealt["key"] == spread["k"]) & (dealt["part"] == spread["p"])).select("key", "own", "doc", "tie", "at", "mixed")
 
 
 def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int = 100, seed: int = 24, most_copies: int = 20_000) -> tuple[DataFrame, DataFrame]:
@@ -234,12 +332,14 @@ def repeated(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: i
     of them keeps what the one keeps.  An anchor with up to ``most_copies`` different copies is compared as text in one
     task; of one with more, each window's digest keeps its least place, so no group of equal windows is gathered.
     """
+    if not seed <= length <= seed + 254:
+        raise ValueError("length must lie between seed and seed + 254: an anchor's windows are counted in 8 bits")
     rows, ties = _ids_of(docs, doc, text)
     distinct = rows.dropDuplicates(["doc", "tie"]) if ties else rows
     anchors = _anchor_rows(distinct, length, seed)
     keys = anchors.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("own").alias("low"), F.max("own").alias("high")).where("n > 1")
-    keys = keys.select(F.col("key").alias("k"), (F.col("low") != F.col("high")).alias("mixed"))
-    seen = materialize(anchors.join(keys.hint("shuffle_hash"), anchors["key"] == keys["k"]).select("key", "own", "doc", "tie", "at", "mixed"), "anchors")
+    keys = materialize(keys.select(F.col("key").alias("k"), F.col("n"), (F.col("low") != F.col("high")).alias("mixed")), "keys")
+    seen = materialize(_of_keys(anchors, keys), "anchors")
     place = F.struct("doc", "tie", "at")
     firsts = seen.groupBy("key", "own", "mixed").agg(F.min(place).alias("p")).select("key", "mixed", "p.doc", "p.tie", "p.at")
     firsts = materialize(firsts, "firsts")
@@ -284,8 +384,11 @@ def kept(docs: DataFrame, doc: str = "doc_id", text: str = "text", length: int =
     def compute(batches):
         for batch in batches:
             out = []
-            for x, marks in zip(text_bytes(batch, "text"), batch.column(batch.schema.get_field_index("marks")).to_pylist()):
-                runs = cut_ranges(x, [(m["kind"], m["first"], m["n"]) for m in marks or ()], length)
+            lists = batch.column(batch.schema.get_field_index("marks"))
+            flat = np.stack([x.to_numpy().astype(np.int64) for x in lists.flatten().flatten()], axis=1)
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
+            for x, marks in zip(text_bytes(batch, "text"), np.split(flat, ends[:-1])):
+                runs = cut_ranges(x, marks, length)
                 rest, at = [], 0
                 for a, b in runs:
                     rest.append(x[at:a])

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from riskloom.llm import queries as Q
@@ -117,3 +118,42 @@ def test_no_group_of_equal_windows_is_gathered(spark, monkeypatch):
         cut = repeats.cut_ranges(t.encode(), [tuple(m) for m in found.get(i, ())], 100)
         assert (sum(b - a for a, b in cut), len(cut)) == want[i][2:4]
     assert sum(w[2] > 100 for w in want.values()) > 250
+
+
+@pytest.mark.parametrize("hashes", [2**64 - 1, 3])
+def test_longest_previous_factors(monkeypatch, hashes):
+    """Against every earlier start, with texts that repeat, nest and run out of different letters, and with hashes that collide."""
+    mix = repeats._mix
+    monkeypatch.setattr(repeats, "_mix", lambda h: mix(h) & np.uint64(hashes))
+    rng = random.Random(4)
+    for n, letters, length in ((1, b"a", 8), (60, b"a", 20), (200, b"ab", 9), (300, b"ab", 100), (400, b"abcdefgh", 16), (250, bytes(range(256)), 12)):
+        some = bytes(rng.choice(letters) for _ in range(n))
+        text = some + some[n // 3 :] + b"\x00" * length + some
+        starts = np.arange(len(text) - length + 1)
+        chosen = starts[[rng.random() < .8 for _ in starts]]
+        found = repeats.previous_factors(np.frombuffer(text, np.uint8), chosen, length)
+
+        def alike(i, j):
+            k = 0
+            while k < length and text[i + k] == text[j + k]:
+                k += 1
+            return k
+
+        strings = Counter(text[i : i + length] for i in chosen.tolist())
+        assert hashes == 3 or (found[[strings[text[i : i + length]] == 1 for i in chosen.tolist()]] == 0).all()
+        again = np.array([strings[text[i : i + length]] > 1 for i in chosen.tolist()])
+        if hashes == 3:
+            assert ((found == length) == [text[i : i + length] in {text[j : j + length] for j in chosen[:x].tolist()} for x, i in enumerate(chosen.tolist())]).all()
+            continue
+        found, chosen = found[again], chosen[again]
+        places = chosen.tolist()
+        assert found.tolist() == [max((alike(i, j) for j in places[:x]), default=0) for x, i in enumerate(places)]
+
+
+def test_heavy_keys_are_dealt(spark):
+    rows = [(i % 3 if i % 2 else 7, i, i, 0, i << 16 | 256 * (i % 5)) for i in range(400)] + [(99, 1, 1, 0, 5)]
+    anchors = spark.createDataFrame(rows, "key long, own long, doc long, tie long, at long")
+    keys = spark.createDataFrame([(7, 200, True), (0, 67, True), (1, 67, False), (2, 66, True)], "k long, n long, mixed boolean")
+    want = sorted((*r, r[0] != 1) for r in rows if r[0] != 99)
+    for least, most in ((1000, 10), (20, 100), (1, 1_000_000)):
+        assert sorted(map(tuple, repeats._of_keys(anchors, keys, least, most).collect())) == want
