@@ -5,15 +5,17 @@ from __future__ import annotations
 import json
 import math
 import random
+from collections.abc import Callable
 from dataclasses import asdict, dataclass, replace
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import IsotonicRegression
-from pyspark.ml.tuning import CrossValidator
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from riskloom.config import MIN_ROWS_PER_DOMAIN_MODEL, SEED, BoosterSpec
@@ -92,6 +94,45 @@ def train(df: DataFrame, columns: list[str], ids: list[str], label: str = LABEL,
                      list(columns), label, spec)
 
 
+def training_matrix(df: DataFrame, columns: list[str], ids: list[str], label: str, spec: BoosterSpec,
+                    by: str | None = None) -> DataFrame:
+    """Columns, label, class weight and validation flag of the training rows, written once for many fits.
+
+    ``by`` names groups that are fitted alone: class weights and validation rows are those of the group.
+    """
+    keys = [by] if by else []
+    flagged = splits.validation_split(df.select(*dict.fromkeys([*ids, *keys, label, *columns])), ids, label, by=by)
+    weights = class_weight(df, label, spec.weight_multiplier, keys).select(*keys, F.col("weight").alias("_w"))
+    weighted = flagged.join(weights, by, "left") if by else flagged.withColumn("_w", weights.scalar())
+    weight = F.when(F.col(label) == 1, F.col("_w")).otherwise(1.0)
+    return materialize(weighted.withColumns({"weight": weight, label: F.col(label).cast("double")}).drop("_w"), "matrix")
+
+
+def _side_by_side(spark: SparkSession, jobs: list[Callable], parallelism: int) -> list:
+    """Results of the jobs in their order; at most ``parallelism`` of them run at a time."""
+    if not jobs:
+        return []
+    with ThreadPool(min(parallelism, len(jobs))) as pool:
+        return pool.map(lambda job: job(), [inheritable_thread_target(spark)(job) for job in jobs], chunksize=1)
+
+
+def fit_many(stored: DataFrame, jobs: dict[str, tuple[Column | None, list[str]]], label: str,
+             spec: BoosterSpec = BoosterSpec(), parallelism: int = 4, seed: int = SEED) -> dict[str, RiskModel]:
+    """A model for each job, which is a condition on the rows (or None) and the columns to read.
+
+    ``stored`` is a ``training_matrix``: each fit reads it once, its own rows and columns only.
+    """
+    def job(rows: Column | None, columns: list[str]) -> Callable:
+        def fit() -> RiskModel:
+            own = stored if rows is None else stored.filter(rows)
+            ready = assemble(own, columns).select(label, "features", "is_validation", "weight")
+            return RiskModel(booster(spec, label, seed).fit(ready), list(columns), label, spec)
+
+        return fit
+
+    return dict(zip(jobs, _side_by_side(stored.sparkSession, [job(*j) for j in jobs.values()], parallelism)))
+
+
 def trial_specs(n_trials: int, base: BoosterSpec = BoosterSpec(), seed: int = SEED) -> list[BoosterSpec]:
     """Seeded random draws from the tuning ranges; the learning rate is drawn on a log scale."""
     rng = random.Random(seed)
@@ -111,18 +152,30 @@ def trial_specs(n_trials: int, base: BoosterSpec = BoosterSpec(), seed: int = SE
 
 def tune(df: DataFrame, columns: list[str], ids: list[str], label: str = LABEL, n_trials: int = 20,
          base: BoosterSpec = BoosterSpec(), parallelism: int = 4, seed: int = SEED) -> tuple[BoosterSpec, list[float]]:
-    """Best spec by mean AUROC over stratified folds, and the score of every trial."""
-    frame = training_frame(df, columns, ids, label, base)
-    folded = materialize(splits.stratified_folds(frame, ids, label, seed=seed), "folds")
-    n_folds = folded.agg(F.max("fold")).first()[0] + 1
+    """Best spec by mean AUROC over stratified folds, and the score of every trial.
+
+    Vectors and folds are written once.  Class weights are those of the rows that a model is fitted on.
+    """
+    vectors = assemble(df.select(*ids, F.col(label).cast("double").alias(label), *columns), columns).select(*ids, label, "features")
+    folded = materialize(splits.stratified_folds(vectors, ids, label, seed=seed), "folds")
+    sizes = class_weight(folded, label, by=["fold"]).collect()  # one row a fold, five at most
+    neg, pos = sum(r["negatives"] for r in sizes), sum(r["positives"] for r in sizes)
     specs = trial_specs(n_trials, base, seed)
-    plain = booster(base, label, seed, validated=False)
-    grid = [{plain.maxDepth: s.max_depth, plain.stepSize: s.step_size, plain.maxIter: s.n_trees,
-             plain.subsamplingRate: s.subsample, plain.featureSubsetStrategy: str(s.column_sample),
-             plain.minInstancesPerNode: s.min_child, plain.minInfoGain: s.gamma * GAIN_PER_GAMMA} for s in specs]
-    cv = CrossValidator(estimator=plain, estimatorParamMaps=grid, numFolds=n_folds, foldCol="fold",
-                        evaluator=BinaryClassificationEvaluator(labelCol=label), parallelism=parallelism, seed=seed)
-    scores = [float(x) for x in cv.fit(folded).avgMetrics]
+    judge = BinaryClassificationEvaluator(labelCol=label)
+
+    def job(spec: BoosterSpec, held) -> Callable:
+        rest = pos - held["positives"]
+        weight = spec.weight_multiplier * ((neg - held["negatives"]) / rest if rest else 1.0)
+
+        def score() -> float:
+            part = folded.filter(F.col("fold") != held["fold"]).withColumn("weight", F.when(F.col(label) == 1, weight).otherwise(1.0))
+            model = booster(spec, label, seed, validated=False).fit(part)
+            return judge.evaluate(model.transform(folded.filter(F.col("fold") == held["fold"])))
+
+        return score
+
+    found = _side_by_side(df.sparkSession, [job(s, held) for s in specs for held in sizes], parallelism)
+    scores = [sum(found[i * len(sizes):(i + 1) * len(sizes)]) / len(sizes) for i in range(len(specs))]
     best = max(range(len(specs)), key=lambda i: scores[i])
     return specs[best], scores
 
@@ -135,39 +188,81 @@ def scored_set(model: RiskModel, df: DataFrame, name: str, domain: str | None =
 
 
 def ablation(df: DataFrame, groups: dict[str, list[str]], ids: list[str], label: str = LABEL,
-             spec: BoosterSpec = BoosterSpec()) -> DataFrame:
+             spec: BoosterSpec = BoosterSpec(), parallelism: int = 4) -> DataFrame:
     """Metrics of one model per feature group, best AUROC first.
 
-    Features that the frame lacks are ignored and empty groups skipped.
+    Features that the frame lacks are ignored and empty groups skipped.  Training and test rows are written once and
+    the models fitted side by side.
     """
-    train_rows, test_rows = splits.route_split(df, ids, label)
-    sets = []
-    for title, names in groups.items():
-        cols = [c for c in names if c in df.columns]
-        if cols:
-            sets.append(scored_set(train(train_rows, cols, ids, label, spec), test_rows, title))
     from riskloom.sources.readers import union_all
 
-    sizes = F.create_map(*[x for t, names in groups.items() for x in (
-        F.lit(t), F.lit(len([c for c in names if c in df.columns])))])
-    return metrics.metrics_bundle(union_all(sets)).withColumn("n_features", sizes[F.col("model")]) \
+    present = {t: [c for c in names if c in df.columns] for t, names in groups.items()}
+    jobs = {t: (None, cols) for t, cols in present.items() if cols}
+    columns = [*dict.fromkeys(c for cols in present.values() for c in cols)]
+    train_rows, test_rows = splits.route_split(df.select(*dict.fromkeys([*ids, label, *columns, *(["split"] if "split" in df.columns else [])])), ids, label)
+    models = fit_many(training_matrix(train_rows, columns, ids, label, spec), jobs, label, spec, parallelism)
+    held = materialize(test_rows, "held")
+    scored = union_all([scored_set(model, held, title) for title, model in models.items()])
+    sizes = F.create_map(*[x for t, cols in present.items() for x in (F.lit(t), F.lit(len(cols)))])
+    return metrics.metrics_bundle(scored).withColumn("n_features", sizes[F.col("model")]) \
         .orderBy(F.col("auroc").desc_nulls_last(), "model")
 
 
+def domain_plan(df: DataFrame, label: str = LABEL, min_rows: int = MIN_ROWS_PER_DOMAIN_MODEL, domain: str = "domain") -> DataFrame:
+    """domain, n_rows, n_least (rows of the smaller class), fit: how a domain's model is split, or why it has none.
+
+    ``random`` is the unstratified fallback, for a class of a single row, which can't be in both parts.
+    """
+    sizes = df.groupBy(domain).agg(F.count("*").alias("n_rows"), F.least(F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)).alias("n_least"))
+    how = F.when(F.col("n_rows") < min_rows, "too few rows").when(F.col("n_least") == 0, "one class") \
+        .when(F.col("n_least") == 1, "random").otherwise("stratified")
+    return sizes.withColumn("fit", how)
+
+
+@dataclass
+class DomainFits:
+    """Models by domain, scored test rows of all of them (None if there are none), and the ``domain_plan`` they follow."""
+
+    models: dict[str, RiskModel]
+    scored: DataFrame | None
+    plan: DataFrame
+
+    def importance(self, spark: SparkSession) -> DataFrame | None:
+        """feature, importance, domain of every model."""
+        from riskloom.sources.readers import union_all
+
+        parts = [m.importance(spark).withColumn("domain", F.lit(d)) for d, m in self.models.items()]
+        return union_all(parts) if parts else None
+
+
 def domain_models(df: DataFrame, columns: list[str], ids: list[str], label: str = LABEL,
                   spec: BoosterSpec = BoosterSpec(), min_rows: int = MIN_ROWS_PER_DOMAIN_MODEL,
-                  domain: str = "domain") -> dict[str, tuple[RiskModel, DataFrame]]:
-    """One model and scored test set per domain with enough rows and both classes."""
+                  domain: str = "domain", parallelism: int = 4) -> DomainFits:
+    """One model per domain with enough rows and both classes, fitted side by side over one stored matrix.
+
+    A ``split`` column is followed; without one every domain is split on its own.
+    """
+    from riskloom.sources.readers import union_all
+
     cols = without_prefix(columns)
-    sizes = df.groupBy(domain).agg(F.count("*").alias("n"), F.count_distinct(label).alias("k"))
-    wanted = [r[domain] for r in sizes.filter((F.col("n") >= min_rows) & (F.col("k") == 2)).orderBy(domain).collect()]
-    out = {}
-    for d in wanted:
-        own = df.filter(F.col(domain) == d)
-        train_rows, test_rows = splits.route_split(own, ids, label)
-        model = train(train_rows, cols, ids, label, spec)
-        out[d] = (model, scored_set(model, test_rows, "domain_model", domain))
-    return out
+    stored = materialize(df.select(*dict.fromkeys([*ids, domain, label, *cols, *(["split"] if "split" in df.columns else [])])), "domains")
+    plan = domain_plan(stored, label, min_rows, domain)
+    how = {r[domain]: r["fit"] for r in plan.filter(F.col("fit").isin("stratified", "random")).orderBy(domain).collect()}
+    how.pop(None, None)  # rows without a domain are in the plan, but no model is theirs
+    if not how:
+        return DomainFits({}, None, plan)
+    routed = stored.filter(F.col(domain).isin(*how))
+    if "split" not in df.columns:
+        alone = [d for d, fit in how.items() if fit == "random"]
+        routed = splits.stratified_split(stored.filter(F.col(domain).isin(*(set(how) - set(alone)))), ids, label, [domain])
+        if alone:
+            routed = routed.unionByName(splits.random_split(stored.filter(F.col(domain).isin(*alone)), ids, [domain]))
+        routed = materialize(routed, "routed")
+    train_rows, test_rows = splits.route_split(routed, ids, label)
+    matrix = training_matrix(train_rows, cols, ids, label, spec, domain)
+    models = fit_many(matrix, {d: (F.col(domain) == d, cols) for d in how}, label, spec, parallelism)
+    scored = union_all([scored_set(m, test_rows.filter(F.col(domain) == d), "domain_model", domain) for d, m in models.items()])
+    return DomainFits(models, scored, plan)
 
 
 def permutation_importance(model: RiskModel, df: DataFrame, ids: list[str], seed: int = SEED,

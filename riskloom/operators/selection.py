@@ -119,8 +119,8 @@ def select_features(df: DataFrame, columns: list[str], label: str, method: str =
     return [c for c in columns if c in chosen]
 
 
-def class_weight(df: DataFrame, label: str, multiplier: float = 1.0) -> DataFrame:
-    """negatives, positives, weight of the positive class (1 without positives)."""
+def class_weight(df: DataFrame, label: str, multiplier: float = 1.0, by: list[str] | None = None) -> DataFrame:
+    """negatives, positives, weight of the positive class (1 without positives), of every ``by`` group if given."""
     neg, pos = F.count_if(F.col(label) == 0), F.count_if(F.col(label) == 1)
-    return df.agg(neg.alias("negatives"), pos.alias("positives")).withColumn(
+    return df.groupBy(*(by or [])).agg(neg.alias("negatives"), pos.alias("positives")).withColumn(
         "weight", F.when(F.col("positives") > 0, F.col("negatives") / F.col("positives")).otherwise(1.0) * multiplier)

@@ -55,9 +55,10 @@ def stratified_split(df: DataFrame, ids: list[str], label: str = "hallucination_
     return marked.withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
 
 
-def random_split(df: DataFrame, ids: list[str], ratio: float = TRAIN_RATIO, seed: int = SEED) -> DataFrame:
-    """The unstratified fallback."""
-    marked = _below_cut(df, [], ids, F.round(F.col("total_n") * F.lit(ratio)), seed)
+def random_split(df: DataFrame, ids: list[str], by: list[str] | None = None, ratio: float = TRAIN_RATIO,
+                 seed: int = SEED) -> DataFrame:
+    """The unstratified fallback, within every ``by`` group if given."""
+    marked = _below_cut(df, by or [], ids, F.round(F.col("total_n") * F.lit(ratio)), seed)
     return marked.withColumn("split", F.when(F.col("_in"), "train").otherwise("test")).drop("_in")
 
 
@@ -68,12 +69,17 @@ def route_split(df: DataFrame, ids: list[str], label: str = "hallucination_label
 
 
 def validation_split(train: DataFrame, ids: list[str], label: str = "hallucination_label",
-                     min_rows: int = 20, seed: int = SEED) -> DataFrame:
-    """Add boolean ``is_validation``: the last fifth of each class, if there are enough rows."""
-    # total_n of the stratum decides the quota; the whole table decides whether to split
-    enough = train.agg((F.count("*") > min_rows)).scalar()
-    marked = _below_cut(train, [label], ids, F.round(F.col("total_n") * F.lit(TRAIN_RATIO)), seed + 1)
-    return marked.withColumn("is_validation", enough & ~F.col("_in")).drop("_in")
+                     min_rows: int = 20, seed: int = SEED, by: str | None = None) -> DataFrame:
+    """Add boolean ``is_validation``: the last fifth of each class, if there are enough rows (of the ``by`` group)."""
+    # total_n of the stratum decides the quota; the whole table or group decides whether to split
+    quota = F.round(F.col("total_n") * F.lit(TRAIN_RATIO))
+    if by is None:
+        enough = train.agg((F.count("*") > min_rows)).scalar()
+        marked = _below_cut(train, [label], ids, quota, seed + 1)
+        return marked.withColumn("is_validation", enough & ~F.col("_in")).drop("_in")
+    enough = train.groupBy(by).agg((F.count("*") > min_rows).alias("_enough"))
+    marked = _below_cut(train, [by, label], ids, quota, seed + 1).join(enough, by, "left")
+    return marked.withColumn("is_validation", F.coalesce("_enough", F.lit(False)) & ~F.col("_in")).drop("_in", "_enough")
 
 
 def fold_count(n: Column, most: int = 5) -> Column:

@@ -121,17 +121,21 @@ def _domain_models(v):
       count(*) FILTER (WHERE split = 'test' AND y = 1) AS n_pos, true AS adds_up FROM v_model_split GROUP BY domain
     HAVING count(*) >= {MIN_ROWS_PER_DOMAIN_MODEL} AND count(DISTINCT y) = 2""", ("v_model_split",))
 def domain_models(v):
-    from riskloom.sources.readers import union_all
+    return _sizes(metrics.metrics_bundle(_domain_models(v).scored), 0.5).drop("ranks_well")
 
-    return _sizes(metrics.metrics_bundle(union_all([scored for _, scored in _domain_models(v).values()])), 0.5).drop("ranks_well")
+
+@query("domain_fits", f"""SELECT source, n_rows, n_least, CASE WHEN n_rows < {MIN_ROWS_PER_DOMAIN_MODEL} THEN 'too few rows' WHEN n_least = 0 THEN 'one class'
+      WHEN n_least = 1 THEN 'random' ELSE 'stratified' END AS fit
+    FROM (SELECT source, count(*) AS n_rows, least(count(*) FILTER (WHERE y = 0), count(*) FILTER (WHERE y = 1)) AS n_least FROM v_features GROUP BY 1)""",
+       ("v_features",))
+def domain_fits(v):
+    """Which groups get a model of their own and how they are split, and which are skipped and why, by source."""
+    return modeling.domain_plan(v.features, "y", domain="source")
 
 
 @query("domain_model_importance")
 def domain_model_importance(v):
-    from riskloom.sources.readers import union_all
-
-    parts = [m.importance(v.spark).withColumn("domain", F.lit(d)) for d, (m, _) in _domain_models(v).items()]
-    return stats.importance_variation(union_all(parts))
+    return stats.importance_variation(_domain_models(v).importance(v.spark))
 
 
 def _calibrated(v, how, alike):

@@ -7,13 +7,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.config import K_BEST, BoosterSpec
+from riskloom.config import K_BEST, MIN_ROWS_PER_DOMAIN_MODEL, BoosterSpec
 from riskloom.functions.prompts import format_prompt, parse_options
-from riskloom.functions.text import terms
-from riskloom.operators import clustering, context, labelers, matrix, metrics, modeling, responses, selection, splits
+from riskloom.operators import clustering, context, labelers, matrix, metrics, modeling, responses, selection, splits, stats
 from riskloom.operators import uncertainty as U
 from riskloom.plans.views import Views
-from riskloom.session import materialize
+from riskloom.session import is_stored, materialize
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,15 +82,55 @@ def run(prompts: DataFrame, samples: DataFrame, tokens: DataFrame, vectors: Data
     return RunResult(labelled, labelers.unruled_domains(prompts, primary), filled, model, scored, metrics.metrics_bundle(scored))
 
 
-def sample_terms(samples: DataFrame) -> DataFrame:
-    return samples.select("prompt_id", "sample_id", terms(F.col("text")).alias("terms"))
+@dataclass
+class Answers:
+    """Tables of the research questions over one matrix; those of domain models are None where no domain has enough rows."""
+
+    ablation: DataFrame
+    domain_plan: DataFrame
+    domain_metrics: DataFrame | None
+    importance_variation: DataFrame | None
+    importance_grid: DataFrame | None
+    semantic_vs_naive: DataFrame
+    tests: DataFrame
+    rates: DataFrame
+    chi_square: DataFrame
+    proportions: DataFrame
+    terciles: DataFrame
+    trend: DataFrame
+    document: DataFrame
+
+
+def research_questions(features: DataFrame, ids: list[str] | None = None, label: str = modeling.LABEL, spec: BoosterSpec = BoosterSpec(),
+                       min_rows: int = MIN_ROWS_PER_DOMAIN_MODEL, parallelism: int = 4, top: int = 20) -> Answers:
+    """Every research question over one feature matrix, such as ``run(...).features``.
+
+    The matrix is written once if it isn't a stored table yet; models by feature group and by domain are fitted over it,
+    and the tests of domains, features and rarity read the same rows.
+    """
+    ids = ids or ["prompt_id"]
+    stored = features if is_stored(features) else materialize(features, "matrix")
+    columns = matrix.feature_columns(stored)
+    ablation = materialize(modeling.ablation(stored, matrix.feature_groups(columns), ids, label, spec, parallelism), "ablation")
+    fits = modeling.domain_models(stored, columns, ids, label, spec, min_rows, parallelism=parallelism)
+    importance = fits.importance(stored.sparkSession)
+    tests = stats.correlation_test(stored, columns, label)
+    rates, chi = stats.domain_rates(stored, label), stats.chi_square(stored, label)
+    trend = stats.rarity_trend(stored, label)
+    return Answers(
+        ablation, fits.plan, metrics.metrics_bundle(fits.scored) if fits.models else None,
+        stats.importance_variation(importance) if fits.models else None,
+        stats.importance_by_domain(importance, top=top) if fits.models else None,
+        stats.semantic_vs_naive(ablation, matrix.GROUP_TITLES["semantic"], matrix.GROUP_TITLES["naive"], ["domain"]), tests, rates, chi,
+        stats.pairwise_proportions(stored, label), stats.rarity_terciles(stored, label), trend,
+        summary_document(ablation, rates, chi, tests, trend, top))
 
 
 def summary_document(bundle: DataFrame, rates: DataFrame, chi: DataFrame, tests: DataFrame, trend: DataFrame,
                      top: int = 20) -> DataFrame:
     """One nested JSON document of finished result tables, each a few rows long."""
     def rows(df: DataFrame, name: str):
-        return df.agg(F.to_json(F.sort_array(F.collect_list(F.struct(*df.columns)))).alias(name))
+        return df.agg(F.sort_array(F.collect_list(F.struct(*df.columns))).alias(name))
 
     parts = [rows(bundle, "ablation_study"), rows(rates, "domain_stats"), rows(chi, "domain_comparison"),
              rows(tests.orderBy(F.abs("pearson_r").desc_nulls_last(), "feature").limit(top), "top_correlated_features"),

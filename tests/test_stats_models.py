@@ -1,5 +1,6 @@
 """Tests of statistics against closed forms, and of the model jobs."""
 
+import json
 import math
 
 import numpy as np
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from riskloom.config import BoosterSpec
 from riskloom.functions import distributions as D
 from riskloom.operators import metrics, modeling, stats
+from riskloom.plans import pipeline
 
 
 @pytest.mark.parametrize("t, dof, p", [
@@ -170,5 +172,57 @@ def test_ablation_ignores_missing_and_empty(table):
 
 def test_domain_models_need_rows(table):
     few = table[0].filter((F.col("domain") != "IS") | (F.col("id") < 60))
-    got = modeling.domain_models(few, ["a", "b", "domain_IS"], ["id"], spec=SPEC, min_rows=100)
-    assert set(got) == {"Math", "Finance"} and got["Math"][0].columns == ["a", "b"]
+    fits = modeling.domain_models(few, ["a", "b", "domain_IS"], ["id"], spec=SPEC, min_rows=100)
+    assert set(fits.models) == {"Math", "Finance"} and fits.models["Math"].columns == ["a", "b"]
+    assert {r.domain: r.fit for r in fits.plan.collect()} == {"Math": "stratified", "Finance": "stratified", "IS": "too few rows"}
+    by = {r.domain: r for r in metrics.metrics_bundle(fits.scored).collect()}
+    sizes = {(r.domain, r.hallucination_label): r["count"] for r in few.groupBy("domain", "hallucination_label").count().collect()}
+    for d in ("Math", "Finance"):
+        n = [sizes[d, k] - round(.8 * sizes[d, k]) for k in (0, 1)]
+        assert by[d].n == sum(n) and by[d].tp + by[d].fn == n[1]
+    assert {r.domain for r in fits.importance(few.sparkSession).collect()} == {"Math", "Finance"}
+
+
+def test_domains_without_a_model_say_why(spark):
+    rows = [("rare", i, float(i), int(i == 7)) for i in range(60)] + [("one", 100 + i, 0.0, 1) for i in range(60)]
+    rows += [("few", 200, 1.0, 0), (None, 201, 1.0, 1)]
+    df = spark.createDataFrame(rows, "domain string, id long, a double, hallucination_label int")
+    fits = modeling.domain_models(df, ["a"], ["id"], spec=SPEC)
+    assert {(r.domain, r.n_rows, r.n_least, r.fit) for r in fits.plan.collect()} == {
+        ("rare", 60, 1, "random"), ("one", 60, 0, "one class"), ("few", 1, 0, "too few rows"), (None, 1, 0, "too few rows")}
+    assert set(fits.models) == {"rare"} and fits.scored.count() == 12
+    none = modeling.domain_models(df.filter("domain = 'few'"), ["a"], ["id"], spec=SPEC)
+    assert not none.models and none.scored is None and none.importance(spark) is None
+
+
+def test_a_stored_matrix_fits_as_the_rows_do(table):
+    """Weights and validation rows of a group are those that the group alone would have."""
+    df = table[0]
+    stored = modeling.training_matrix(df, ["a", "b"], ["id"], "hallucination_label", SPEC, "domain")
+    for d in ("Math", "IS"):
+        own = df.filter(F.col("domain") == d)
+        alone = modeling.training_frame(own, ["a", "b"], ["id"], "hallucination_label", SPEC)
+        look = lambda f: sorted((r.id, r.is_validation, round(r.weight, 9)) for r in f.select("id", "is_validation", "weight").collect())
+        assert look(stored.filter(F.col("domain") == d)) == look(alone)
+        assert {r.is_validation for r in alone.collect()} == {True, False}
+
+
+def test_tuning_scores_each_fold_with_its_own_weights(table):
+    base = BoosterSpec(ranges={**BoosterSpec().ranges, "n_trees": (3, 5), "max_depth": (2, 3)})
+    best, scores = modeling.tune(table[0], ["a", "b"], ["id"], n_trials=2, base=base)
+    assert len(scores) == 2 and all(.7 < s <= 1 for s in scores) and best == modeling.trial_specs(2, base)[scores.index(max(scores))]
+
+
+def test_research_questions(table):
+    names = {"a": "semantic_entropy", "b": "naive_max_prob", "c": "avg_entity_rarity"}
+    df = table[0].select(F.col("id").alias("prompt_id"), "domain", "hallucination_label", *[F.col(k).alias(v) for k, v in names.items()],
+                         (F.col("id") % 3).cast("int").alias("num_entities"))
+    out = pipeline.research_questions(df, spec=SPEC, min_rows=100)
+    got = {r.model: r.n_features for r in out.ablation.collect()}
+    assert got == {"Baseline: Naive Confidence": 1, "Semantic Uncertainty": 1, "Context Only": 1, "Semantic + Context": 2, "Full Model": 4}
+    assert out.semantic_vs_naive.first().supported and out.domain_metrics.count() == 3
+    assert {r.feature for r in out.importance_variation.collect()} == {*names.values(), "num_entities"}
+    assert {r.fit for r in out.domain_plan.collect()} == {"stratified"} and out.rates.count() == 3
+    assert sum(r.n for r in out.terciles.collect()) == df.filter("num_entities > 0").count()
+    document = json.loads(out.document.first().document)
+    assert len(document["ablation_study"]) == 5 and len(document["top_correlated_features"]) == 4
