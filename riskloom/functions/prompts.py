@@ -41,10 +41,18 @@ def plain_prompt(question: Column, domain: Column, style: str = "simple") -> Col
 
 
 def parse_options(literal: Column) -> Column:
-    """Quoted key/value text, single or double quotes, to ``map<string,string>``."""
-    return F.from_json(literal, "map<string,string>", {
-        "allowSingleQuotes": "true", "allowUnquotedControlChars": "true",
-        "allowBackslashEscapingAnyCharacter": "true"})
+    """Quoted key/value text, single or double quotes, to ``map<string,string>``.
+
+    Bare ``None``, ``True`` and ``False`` become the words that a prompt shows for them; only text that
+    doesn't parse as it stands is read so.
+    """
+    def read(text: Column) -> Column:
+        return F.from_json(text, "map<string,string>", {
+            "allowSingleQuotes": "true", "allowUnquotedControlChars": "true",
+            "allowBackslashEscapingAnyCharacter": "true"})
+
+    quoted = F.regexp_replace(literal, r"(:\s*)(None|True|False)(?=\s*[,}])", '$1"$2"')
+    return F.coalesce(read(literal), read(quoted))
 
 
 def mcq_prompt(question: Column, options: Column) -> Column:

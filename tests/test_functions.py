@@ -131,3 +131,10 @@ def test_chat_messages(spark):
     df = spark.createDataFrame([("hi", "sys"), ("hi", ""), ("hi", None)], "p string, s string")
     got = [[m.role for m in r.m] for r in df.select(prompts.chat_messages(F.col("p"), F.col("s")).alias("m")).collect()]
     assert got == [["system", "user"], ["user"], ["user"]]
+
+
+def test_options_with_bare_words(spark):
+    read = lambda text: one(spark, text, prompts.parse_options)
+    assert read("{'0': None, '1': 'b', '2': True}") == {"0": "None", "1": "b", "2": "True"}
+    assert read("{'0': 'x: None, y', '1': \"it's\"}") == {"0": "x: None, y", "1": "it's"}
+    assert read("no options") is None and read(None) is None
