@@ -6,11 +6,14 @@ cluster is its size and its sum.  Equal vectors fold first and are kept as a
 weight.  Prompts with few distinct vectors are clustered inside one Arrow batch
 many at a time; the rest go through rounds that merge mutual nearest clusters,
 which for average linkage gives the same tree without one task seeing the group.
+In a round, prompts of one block are compared many to an Arrow batch.
 Blocks around pivots bound the similarity of their members, so most pairs of blocks are never compared.
 """
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -150,6 +153,83 @@ def _block_pairs(dealt: DataFrame, threshold: float) -> DataFrame:
 def _nearest(state: DataFrame, block: int, threshold: float) -> DataFrame:
     """Most similar other cluster of each cluster that has one within the threshold: prompt_id, cid, best, sim.
 
+    Prompts of one block are compared many at a time; only larger ones are dealt into blocks.
+    """
+    large = materialize(state.groupBy("prompt_id").agg(F.count("*").alias("_n")).filter(F.col("_n") > block).select("prompt_id"), "large")
+    if large.isEmpty():
+        found = _nearest_whole(state, threshold)
+    else:
+        found = _nearest_whole(state.join(large, "prompt_id", "left_anti"), threshold) \
+            .unionByName(_nearest_blocks(state.join(large, "prompt_id", "left_semi"), block, threshold))
+    return found.groupBy("prompt_id", "cid").agg(
+        F.max_by(F.struct("best", "sim"), F.struct(F.col("sim"), -F.col("best"))).alias("_b")) \
+        .select("prompt_id", "cid", "_b.best", "_b.sim")
+
+
+def _nearest_in(w: np.ndarray, cid: np.ndarray, begins: np.ndarray, flat: np.ndarray, at: np.ndarray, widths: np.ndarray,
+                threshold: float, most: int = 2_000_000):
+    """(row, row of its nearest, similarity) for rows of prompts that begin at ``begins``; a row's sum is ``flat`` from ``at`` on.
+
+    Prompts of equal size are compared in one array of at most about ``most`` numbers.
+    """
+    sizes = np.diff(np.append(begins, len(w)))
+    if (np.repeat(widths[begins], sizes) != widths).any():
+        raise ValueError("the vectors of a prompt differ in length")
+    shapes = np.stack([sizes, widths[begins]], 1)
+    for n, d in np.unique(shapes[sizes > 1], axis=0).tolist():
+        alike = begins[(shapes == (n, d)).all(1)]
+        step = max(1, most // (n * max(n, d)))
+        for a in range(0, len(alike), step):
+            rows = alike[a : a + step, None] + np.arange(n)
+            sums, weights, names = flat[at[rows][:, :, None] + np.arange(d)], w[rows], cid[rows]
+            sim = np.round((sums @ sums.transpose(0, 2, 1)) / (weights[:, :, None] * weights[:, None, :]), DIGITS)
+            sim[names[:, :, None] == names[:, None, :]] = -np.inf
+            best = sim.argmax(axis=2)
+            top = np.take_along_axis(sim, best[:, :, None], 2)[:, :, 0]
+            on = close_enough(top, threshold)
+            yield rows[on], np.take_along_axis(rows, best, 1)[on], top[on]
+
+
+def _nearest_whole(state: DataFrame, threshold: float) -> DataFrame:
+    """Candidates of clusters whose prompts are one block each.
+
+    A prompt's clusters lie in a row in one task; a batch holds many prompts, and no more than one is carried over to the next.
+    """
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        rest = None
+        for batch in chain(batches, [None]):  # None: there are no more, so that what is left is whole
+            parts = [] if rest is None else [rest]
+            if batch is not None:
+                parts.append(pa.Table.from_batches([batch]))
+            if not parts:
+                continue
+            rows = pa.concat_tables(parts).combine_chunks()
+            codes = rows["prompt_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+            begins = np.concatenate([[0], np.flatnonzero(np.diff(codes)) + 1])
+            if batch is not None:
+                rows, rest, begins = rows.slice(0, begins[-1]), rows.slice(begins[-1]), begins[:-1]
+            if not rows.num_rows:
+                continue
+            sums = rows["usum"].combine_chunks()
+            if sums.null_count:
+                raise ValueError("a cluster has no vector")
+            widths = pc.list_value_length(sums).to_numpy().astype(np.int64)
+            for mine, other, sim in _nearest_in(rows["w"].to_numpy(), rows["cid"].to_numpy(), begins, sums.flatten().to_numpy(zero_copy_only=False),
+                                                np.cumsum(widths) - widths, widths, threshold):
+                taken = [rows[c].take(pa.array(i)).combine_chunks() for c, i in (("prompt_id", mine), ("cid", mine), ("cid", other))]
+                yield pa.RecordBatch.from_arrays([*taken, pa.array(sim)], names=["prompt_id", "cid", "best", "sim"])
+
+    kind = state.schema["prompt_id"].dataType.simpleString()
+    ordered = state.select("prompt_id", "cid", "w", "usum").repartition("prompt_id").sortWithinPartitions("prompt_id", "cid")
+    return ordered.mapInArrow(run, f"prompt_id {kind}, cid bigint, best bigint, sim double")
+
+
+def _nearest_blocks(state: DataFrame, block: int, threshold: float) -> DataFrame:
+    """Candidates of clusters of large prompts, at most one for each block its own is compared with.
+
     Clusters are dealt into blocks around pivots; a task compares two blocks that may hold a close pair
     and keeps one candidate per cluster, so no list of pairs is ever produced.
     """
@@ -174,11 +254,8 @@ def _nearest(state: DataFrame, block: int, threshold: float) -> DataFrame:
         return out[close_enough(out["sim"], threshold)]
 
     kind = state.schema["prompt_id"].dataType.simpleString()
-    found = left.unionByName(right).groupBy("prompt_id", "i", "j").applyInPandas(
+    return left.unionByName(right).groupBy("prompt_id", "i", "j").applyInPandas(
         compare, f"prompt_id {kind}, cid bigint, best bigint, sim double")
-    return found.groupBy("prompt_id", "cid").agg(
-        F.max_by(F.struct("best", "sim"), F.struct(F.col("sim"), -F.col("best"))).alias("_b")) \
-        .select("prompt_id", "cid", "_b.best", "_b.sim")
 
 
 def _cluster_large(points: DataFrame, threshold: float, block: int) -> DataFrame:
@@ -200,6 +277,8 @@ def _cluster_large(points: DataFrame, threshold: float, block: int) -> DataFrame
             if near.isEmpty():
                 return members
             raise RuntimeError("clusters within the threshold are left, but no pair is mutually nearest")
+        # a prompt without a close pair is done
+        state = state.join(near.select("prompt_id").distinct(), "prompt_id", "left_semi")
         moved = state.join(merges.withColumnRenamed("gone", "cid"), ["prompt_id", "cid"])
         gain = moved.select("prompt_id", F.col("into").alias("cid"), F.col("w").alias("w2"), F.col("usum").alias("u2"))
         kept = state.join(merges.select("prompt_id", F.col("gone").alias("cid")), ["prompt_id", "cid"], "left_anti")

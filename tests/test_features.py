@@ -87,6 +87,20 @@ def test_clusters_match_textbook_linkage(blob_frame, local_limit, block):
         assert all(c == min(m) for c, m in found.items())
 
 
+def test_prompts_of_one_block_are_compared_in_batches(spark, monkeypatch):
+    """No pivots, and no call of Python for each prompt; prompts run across the ends of batches."""
+    groups = [_blobs(100 + s, 1 + s % 7, 3 + s % 2) for s in range(60)]
+    rows = [(k, i, [float(x) for x in v]) for k, vs in enumerate(groups) for i, v in enumerate(vs)]
+    df = spark.createDataFrame(rows, "prompt_id int, sample_id long, vector array<double>")
+    expected = sorted(clustering.cluster_samples(df, 0.7).collect())
+    monkeypatch.setattr(clustering, "_pivoted", None)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        assert sorted(clustering.cluster_samples(df, 0.7, local_limit=0).collect()) == expected
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_equal_and_zero_vectors(spark):
     rows = [("same", i, [1.0, 2.0]) for i in range(6)] + [("zero", i, [0.0, 0.0]) for i in range(3)]
     df = spark.createDataFrame(rows, "prompt_id string, sample_id long, vector array<double>")
