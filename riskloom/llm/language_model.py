@@ -158,18 +158,21 @@ def windows(lengths: np.ndarray, begins: np.ndarray, width: int):
         yield np.where(on, begins[:n] + at, begins[:n]), on, n
 
 
-def train(net: Network, flat: np.ndarray, slots_of: np.ndarray, lengths: np.ndarray, rate: float = .02, together: int = 48, width: int = 32) -> np.ndarray:
+def train(net: Network, flat: np.ndarray, slots_of: np.ndarray, lengths: np.ndarray, rate: float = .02, together: tuple[int, int] = (48, 128), width: int = 32,
+          steps: int = 100) -> np.ndarray:
     """One pass of truncated back-propagation by Adam steps.
 
-    slots_of: the slots of all documents in a row; lengths: of each document.  The row is cut into ``together`` streams
+    slots_of: the slots of all documents in a row; lengths: of each document.  The row is cut into streams
     that run side by side; state is carried from window to window and emptied where a document begins.
+    together: least and greatest number of streams; long rows have more of them, as long as ``steps`` windows remain, since wide steps cost less a token.
     """
     p = net.unpack(flat.copy())
     first = {n: np.zeros_like(x) for n, x in p.items()}
     second = {n: np.zeros_like(x) for n, x in p.items()}
     begun = np.zeros(len(slots_of), bool)
     begun[np.cumsum(lengths) - lengths] = True
-    together = max(1, min(together, len(slots_of) // width))
+    least, most = together
+    together = max(1, min(max(least, min(most, len(slots_of) // (width * steps))), len(slots_of) // width))
     each = -(-len(slots_of) // together)
     h = np.zeros((together, net.state), np.float32)
     for step, t in enumerate(range(0, each, width), 1):
@@ -258,12 +261,19 @@ def _averaged(spark, net: Network, flat: np.ndarray, chosen: DataFrame, text: st
     return (sum(np.frombuffer(r["p"], "<f4").astype(np.float64) * r["n"] for r in rows) / sum(r["n"] for r in rows)).astype(np.float32)
 
 
-def score(docs: DataFrame, keep: list[str], learnable, text: str = "text", state: int = 32, classes: int = 32, width: int = 32, share: float = 1 / 16,
+def _in_round(text: str, k: int, rounds: int, share: float | None):
+    """Whether round ``k`` trains on a text: on its own part of all texts, or with ``share`` on that share of them."""
+    drawn = F.xxhash64(F.lit("share"), F.col(text))
+    return F.pmod(drawn, F.lit(rounds)) == k if share is None else F.pmod(drawn, F.lit(1 << 20)) < int(share * (1 << 20))
+
+
+def score(docs: DataFrame, keep: list[str], learnable, text: str = "text", state: int = 32, classes: int = 32, width: int = 32, share: float | None = None,
           rounds: int = 3, trust: float = .95, most_in_memory: int = 150_000) -> DataFrame:
     """``keep`` columns and counts and scores of each whole text (null: empty), learned from rows where ``learnable`` holds.
 
-    Counts, classes and biases come from every learnable text.  Gradient steps use a share of those texts, drawn by text hash, which grows
-    with the input.  The most frequent words have slots of their own in the network; the others share one, and a word's
+    Counts, classes and biases come from every learnable text, and so do the gradient steps: each of the ``rounds`` takes its own part of
+    the texts, dealt by text hash, so that every text is used once.  ``share``: every round uses such a share of the texts instead.
+    The most frequent words have slots of their own in the network; the others share one, and a word's
     part of it follows its count.  A token's probability is ``trust`` times the network's plus the rest times that of the counts.
     The ``most_in_memory`` most frequent words' counts are broadcast; the words beyond are looked up by a join,
     so any vocabulary will do.
@@ -287,9 +297,8 @@ def score(docs: DataFrame, keep: list[str], learnable, text: str = "text", state
     other = max(divisor - mass.sum(), .5)
     mass[OTHER_SLOT] = other
     flat = net.pack(net.fresh(mass))
-    chosen = learned.where(F.pmod(F.xxhash64(F.lit("share"), text), F.lit(1 << 20)) < int(share * (1 << 20)))
-    for _ in range(rounds if n else 0):
-        flat = _averaged(spark, net, flat, chosen, text, slot_of)
+    for k in range(rounds if n else 0):
+        flat = _averaged(spark, net, flat, learned.where(_in_round(text, k, rounds, share)), text, slot_of)
     shared = spark.sparkContext.broadcast((flat, known, slot_of, divisor, other))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*[f"`{c}`" for c in keep]).schema)
     schema = (schema + ", " if schema else "") + "n_tokens long, n_known long, base double, model double, rare array<binary>, times array<long>"

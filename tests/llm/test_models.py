@@ -77,6 +77,25 @@ def test_training_beats_counts(spark, sf):
     assert held[0] > held[1]
 
 
+def test_every_learnable_text_is_trained_on_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(300)] + [(300, None), (301, "")], "doc_id long, text string")
+    seen = []
+    monkeypatch.setattr(lm, "_averaged", lambda spark, net, flat, chosen, *rest: (seen.extend(chosen.select("doc_id").collect()), flat)[1])
+    lm.score(docs, ["doc_id"], lm.not_held_out())
+    assert sorted(r.doc_id for r in seen) == sorted(r.doc_id for r in docs.where(lm.not_held_out()).collect())
+
+
+def test_streams_widen_with_the_row():
+    net = lm.Network(4, 2, 3)
+    flat, rng = net.pack(net.fresh(np.ones(6))), np.random.default_rng(3)
+    widths = []
+    slope = net.slope
+    net.slope = lambda p, slots, *rest: (widths.append(slots.shape[1]), slope(p, slots, *rest))[1]
+    for n in (40, 5_000, 400_000):
+        lm.train(net, flat, rng.integers(0, 6, n).astype(np.int32), np.array([n]), together=(8, 64))
+    assert sorted(set(widths)) == [1, 8, 64]
+
+
 def test_marginals():
     rng = np.random.default_rng(4)
     move = rng.standard_normal((2, 2))
