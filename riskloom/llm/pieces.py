@@ -9,7 +9,7 @@ words are, which costs time only.
 from __future__ import annotations
 
 import re
-from itertools import islice
+from itertools import accumulate, chain, islice
 
 import numpy as np
 import regex
@@ -41,8 +41,24 @@ class ChunkCoder:
         self.chunks, self.known = {}, {}
 
     def _learn(self, pieces) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        self.known.update(zip(new, (np.array(x, self.kind).tobytes() for x in self.encode(new))))
+        new = [p for p in dict.fromkeys(pieces) if p not in self.known]
+        ids = self.encode(new)
+        ends = list(accumulate((len(x) * self.kind.itemsize for x in ids), initial=0))
+        flat = np.fromiter(chain.from_iterable(ids), self.kind, ends[-1] // self.kind.itemsize).tobytes()
+        self.known.update((p, flat[a:b]) for p, a, b in zip(new, ends, ends[1:]))
+
+    def _cut_chunks(self, chunks: list[str]) -> tuple[list[str], list[int]]:
+        """Pieces of all the chunks in a row, and where each chunk's begin, with the end of the last.
+
+        No piece crosses the space before a chunk, and a chunk has none inside, so they are cut all at once.  Where the pattern
+        does not keep that space at the start of a piece, they are cut one by one.
+        """
+        pieces = self.cut(" " + " ".join(chunks)) if chunks else []
+        begins = [i for i, p in enumerate(pieces) if p[0] == " "]
+        if len(begins) == len(chunks) and " " not in pieces and begins[:1] in ([], [0]):
+            return pieces, [*begins, len(pieces)]
+        cut = [self.cut(" " + c) for c in chunks]
+        return list(chain.from_iterable(cut)), list(accumulate(map(len, cut), initial=0))
 
     def prepare(self, data: list[str]) -> list[list[str]]:
         """Cut texts into chunks and learn every new chunk of all of them together."""
@@ -62,23 +78,23 @@ class ChunkCoder:
                 chunks[c] = False  # beside another space: such texts are cut by the slower rule
             else:
                 regular.append(c)
-        cut = [self.cut(" " + c) for c in regular]
-        first = [self.cut(p[0]) for p in parts]
-        self._learn(w for pieces in (*cut, *first) for w in pieces)
-        get = self.known.__getitem__
-        for c, pieces in zip(regular, cut):
-            chunks[c] = b"".join(map(get, pieces))
+        pieces, begins = self._cut_chunks(regular)
+        self._learn(chain(pieces, *[self.cut(p[0]) for p in parts]))
+        coded = list(map(self.known.__getitem__, pieces))
+        for c, a, b in zip(regular, begins, begins[1:]):
+            chunks[c] = coded[a] if b - a == 1 else b"".join(coded[a:b])
         return parts
 
     def ids(self, data: list[str]) -> list[bytes]:
         out = []
         for x, p in zip(data, self.prepare(data)):
-            values = list(map(self.chunks.__getitem__, p[1:]))
-            if False in values or p[0][-1:].isspace():
-                values = [self._slow(x)]
-            else:
-                values.insert(0, b"".join(map(self.known.__getitem__, self.cut(p[0]))))
-            out.append(b"".join(values))
+            if p[0][-1:].isspace():
+                out.append(self._slow(x))
+                continue
+            try:
+                out.append(b"".join([*map(self.known.__getitem__, self.cut(p[0])), *map(self.chunks.__getitem__, p[1:])]))
+            except TypeError:  # a chunk is False, which can't be joined
+                out.append(self._slow(x))
         return out
 
     def _slow(self, x: str) -> bytes:

@@ -70,8 +70,15 @@ def _library_coder(vocabulary: str, pattern: str, kind: str) -> LibraryCoder:
         tokenize = tokenizer.model.tokenize
         letters = byte_letters()
 
+        space = letters[32]
+
+        def lettered(p: str) -> str:
+            if p[1:].isalnum() and p.isascii() and p[0] == " ":  # nearly all pieces: a space and a word
+                return space + p[1:]
+            return p.encode().decode("latin-1").translate(letters)
+
         def encode(pieces):
-            return [[t.id for t in tokenize(p.encode().decode("latin-1").translate(letters))] for p in pieces]
+            return [[t.id for t in tokenize(lettered(p))] for p in pieces]
 
         added = [t["content"] for t in json.loads(vocabulary).get("added_tokens", ())]
         _CODERS[key] = LibraryCoder(pattern, encode, kind, lambda x: tokenizer.encode(x, add_special_tokens=False).ids, added)

@@ -5,6 +5,7 @@ import hashlib
 import re
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +217,18 @@ def test_token_files(spark, sf, sf_rows, odd_docs, odd_rows, no_docs, tmp_path):
     assert got(token_files.read(spark, files), *columns) == want(marked)
     assert 50256 in t.encode("a <|endoftext|> b", add_special_tokens=False).ids
     assert token_files.read(spark, token_files.write(no_docs, str(tmp_path / "none"), p.path(Q.LIBRARY_FILE), p.PATTERN, 2)).collect() == []
+
+
+@pytest.mark.parametrize("pattern", [None, r"\S+|\s+", r"(?s: ?\w|.)"])
+def test_new_chunks_are_cut_at_once(pattern):
+    import public_tokenizers
+
+    from riskloom.llm.pieces import ChunkCoder
+
+    code = ChunkCoder(pattern or public_tokenizers.PATTERN, lambda words: [list(w.encode()) for w in words], "<u2")
+    data = [f"Word{i} it's{i}, a\n{i}b \u00fcber{i}... ({i}) {i}%" for i in range(40)] + ["", " x  y ", "a"]
+    cut, calls = code.cut, []
+    code.cut = lambda x: (calls.append(x), cut(x))[1]
+    assert [np.frombuffer(x, "<u2").astype(np.uint8).tobytes().decode() for x in code.ids(data)] == data
+    if pattern is None:
+        assert len(calls) <= 2 * len(data) + 10
