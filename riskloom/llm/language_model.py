@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import heapq
 from collections import Counter
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -58,95 +60,166 @@ class Network:
             at += size
         return out
 
-    def run(self, p, slots: np.ndarray, h: np.ndarray, keep: list | None = None, starts: np.ndarray | None = None):
+    def gates(self, p) -> tuple[np.ndarray, np.ndarray]:
+        """The table with the gate bias in it, and the loop, gate by gate."""
+        parts = (p["table"] + p["gate_bias"], p["loop"])
+        return tuple(np.ascontiguousarray(x.reshape(len(x), 3, self.state).transpose(1, 0, 2)) for x in parts)
+
+    def run(self, p, slots: np.ndarray, h: np.ndarray, keep: list | None = None, starts: np.ndarray | None = None, gates=None):
         """States before each step of a (time, sequence) table of slots, and the state after the last.
 
-        starts: where a new document begins, so that the state is empty before it.
+        starts: where a new document begins, so that the state is empty before it.  gates: ``gates(p)``, if it is known.
         """
-        n = self.state
-        before = np.empty((*slots.shape, n), np.float32)
+        table, loop = gates or self.gates(p)
+        before = np.empty((*slots.shape, self.state), np.float32)
+        x = table.take(slots, axis=1)
+        some = np.zeros(len(slots), bool) if starts is None else starts.any(1)
         for t in range(len(slots)):
-            if starts is not None:
+            if some[t]:
                 h = np.where(starts[t][:, None], np.float32(0), h)
             before[t] = h
-            x = p["table"][slots[t]] + p["gate_bias"]
-            g = h @ p["loop"]
-            rz = 1 / (1 + np.exp(-(x[:, : 2 * n] + g[:, : 2 * n])))
-            r, z = rz[:, :n], rz[:, n:]
-            new = np.tanh(x[:, 2 * n :] + r * g[:, 2 * n :])
+            g = h @ loop
+            rz, new = g[:2], x[2, t]
+            rz += x[:2, t]
+            np.negative(rz, rz)
+            np.exp(rz, rz)
+            rz += 1
+            r, z = np.divide(1, rz, rz)
+            new += r * g[2]
+            np.tanh(new, new)
             if keep is not None:
-                keep.append((h, r, z, new, g[:, 2 * n :]))
-            h = new + z * (h - new)
+                keep.append((h, r, z, new, g[2]))
+            h = h - new
+            h *= z
+            h += new
         return before, h
 
     def log_prob(self, p, states: np.ndarray, slots: np.ndarray, grads: dict | None = None):
         """Natural log of P(class | state) P(word | class, state) for rows of states, and with ``grads`` the slope at the states."""
-        rows, kind = np.arange(len(slots)), slots // self.width
-        logits = states @ p["to_class"] + p["class_bias"]
-        logits -= logits.max(1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(1)
-        out = logits[rows, kind] - np.log(total)
+        kind = slots // self.width
+        logits = states @ p["to_class"]
+        logits += p["class_bias"]
+        out, d = _chosen(logits, kind, grads is not None)
         back = None
         if grads is not None:
-            d = -(e / total[:, None])
-            d[rows, kind] += 1
             grads["to_class"] += states.T @ d
             grads["class_bias"] += d.sum(0)
             back = d @ p["to_class"].T
-        order = np.argsort(kind, kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for c in np.flatnonzero(np.diff(edges)).tolist():
-            at = order[edges[c] : edges[c + 1]]
-            s, w = states[at], slots[at] - c * self.width
-            logits = s @ p["to_word"][c] + p["word_bias"][c]
-            logits -= logits.max(1, keepdims=True)
-            e = np.exp(logits)
-            total = e.sum(1)
-            i = np.arange(len(at))
-            out[at] += logits[i, w] - np.log(total)
-            if grads is not None:
-                d = -(e / total[:, None])
-                d[i, w] += 1
-                grads["to_word"][c] += s.T @ d
-                grads["word_bias"][c] += d.sum(0)
-                back[at] += d @ p["to_word"][c].T
+        # rows by class, so that each class multiplies a run of them and everything else takes all rows at once
+        order = np.argsort(kind.astype(np.uint16), kind="stable")
+        kind, states = kind[order], states[order]
+        edges = np.searchsorted(kind, np.arange(self.classes + 1))
+        runs = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
+        logits = np.empty((len(order), self.width), np.float32)
+        for c, at in runs:
+            np.matmul(states[at], p["to_word"][c], out=logits[at])
+            logits[at] += p["word_bias"][c]
+        value, d = _chosen(logits, slots[order] - kind * self.width, grads is not None)
+        out[order] += value
+        if grads is not None:
+            into = np.empty_like(states)
+            for c, at in runs:
+                grads["to_word"][c] += states[at].T @ d[at]
+                grads["word_bias"][c] += d[at].sum(0)
+                np.matmul(d[at], p["to_word"][c].T, out=into[at])
+            back[order] += into
         return out, back
 
-    def slope(self, p, slots: np.ndarray, on: np.ndarray, h: np.ndarray, starts: np.ndarray | None = None):
-        """(log probability, gradients, state after) of one window; back-propagation stops at its start."""
+    def slope(self, p, slots: np.ndarray, on: np.ndarray, h: np.ndarray, starts: np.ndarray | None = None, grads: dict | None = None):
+        """(log probability, gradients, state after) of one window; back-propagation stops at its start.
+
+        grads: where the gradients go, all zero.
+        """
         steps: list = []
         before, after = self.run(p, slots, h, steps, starts)
-        grads = {n: np.zeros(s, np.float32) for n, s in self.shapes().items()}
-        value, at_states = self.log_prob(p, before[on], slots[on], grads)
-        into = np.zeros_like(before)
-        into[on] = at_states
+        if grads is None:
+            grads = {n: np.zeros(s, np.float32) for n, s in self.shapes().items()}
         n = self.state
+        if on.all():
+            value, into = self.log_prob(p, before.reshape(-1, n), slots.reshape(-1), grads)
+            into = into.reshape(before.shape)
+        else:
+            value, at_states = self.log_prob(p, before[on], slots[on], grads)
+            into = np.zeros_like(before)
+            into[on] = at_states
         d = np.zeros_like(h)
         gates = np.empty((*slots.shape, 3 * n), np.float32)
+        fresh = np.empty_like(before)
+        back = np.ascontiguousarray(p["loop"].T)
+        some = np.zeros(len(slots), bool) if starts is None else starts.any(1)
         for t in range(len(slots) - 1, -1, -1):
             h0, r, z, new, gn = steps[t]
-            dz = d * (h0 - new) * z * (1 - z)
-            dn = d * (1 - z) * (1 - new * new)
-            dr = dn * gn * r * (1 - r)
-            gates[t, :, :n], gates[t, :, n : 2 * n], gates[t, :, 2 * n :] = dr, dz, dn
-            loop = np.concatenate([dr, dz, dn * r], 1)
-            grads["loop"] += h0.T @ loop
-            d = d * z + loop @ p["loop"].T + into[t]
-            if starts is not None:
+            rest = 1 - z
+            dz = h0 - new
+            dz *= d
+            dz *= z
+            np.multiply(dz, rest, out=gates[t, :, n : 2 * n])
+            rest *= d
+            new *= new
+            dn = np.multiply(rest, np.subtract(1, new, new), out=fresh[t])
+            np.multiply(dn, r, out=gates[t, :, 2 * n :])
+            gn *= dn
+            gn *= r
+            np.multiply(gn, np.subtract(1, r, r), out=gates[t, :, :n])
+            grads["loop"] += h0.T @ gates[t]
+            d = d * z
+            d += gates[t] @ back
+            d += into[t]
+            if some[t]:
                 d[starts[t]] = 0
-        order = np.argsort(slots, axis=None, kind="stable")
-        met, first = np.unique(slots.ravel()[order], return_index=True)
-        grads["table"][met] = np.add.reduceat(gates.reshape(-1, gates.shape[2])[order], first)
+        gates[:, :, 2 * n :] = fresh
+        flat = slots.ravel()
+        order = np.argsort(flat.astype(np.uint16) if self.classes * self.width <= 1 << 16 else flat, kind="stable")
+        first = np.flatnonzero(np.diff(flat[order], prepend=-1))
+        grads["table"][flat[order[first]]] = np.add.reduceat(gates.reshape(-1, gates.shape[2])[order], first)
         grads["gate_bias"] += gates.sum((0, 1))
         return float(value.sum()), grads, after
 
 
-def _blocks(lengths: np.ndarray, size: int):
-    """Numbers of up to ``size`` sequences at a time, longest first."""
+def _sum(x: np.ndarray) -> np.ndarray:
+    """Sums of the columns, rounded like numpy's sums of rows that lie one after another."""
+    if len(x) % 8:
+        return x.sum(0)
+    x = x.reshape(-1, 8, x.shape[1]).sum(0)
+    while len(x) > 1:
+        x = x[::2] + x[1::2]
+    return x[0]
+
+
+def _chosen(logits: np.ndarray, which: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log of the softmax of each row at its place of ``which``, and its slope at the logits."""
+    by_place = np.ascontiguousarray(logits.T)
+    by_place -= by_place.max(0)
+    at = which * np.int64(len(which)) + np.arange(len(which))
+    flat = by_place.reshape(-1)
+    out = flat[at]
+    np.exp(by_place, by_place)
+    total = _sum(by_place)
+    out -= np.log(total)
+    if not slope:
+        return out, None
+    by_place /= total
+    np.negative(by_place, by_place)
+    flat[at] += 1
+    return out, np.ascontiguousarray(by_place.T)
+
+
+def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Documents one behind another in up to ``most`` lanes of about equal length: the documents lane by lane, and the length of each lane.
+
+    The longest document says how many lanes are of use.  The longest lane comes first.
+    """
+    n = min(most, -(-int(lengths.sum()) // int(lengths.max())))
+    heap = [(0, lane) for lane in range(n)]
+    of = np.empty(len(lengths), np.int64)
     order = np.argsort(-lengths, kind="stable")
-    for a in range(0, len(order), size):
-        yield order[a : a + size]
+    for i, size in zip(order.tolist(), lengths[order].tolist()):
+        held, of[i] = heap[0]
+        heapq.heapreplace(heap, (held + size, int(of[i])))
+    place = np.empty(n, np.int64)
+    heap.sort(reverse=True)
+    place[[lane for _, lane in heap]] = np.arange(n)
+    return np.argsort(place[of], kind="stable"), np.array([held for held, _ in heap])
 
 
 def windows(lengths: np.ndarray, begins: np.ndarray, width: int):
@@ -166,9 +239,9 @@ def train(net: Network, flat: np.ndarray, slots_of: np.ndarray, lengths: np.ndar
     that run side by side; state is carried from window to window and emptied where a document begins.
     together: least and greatest number of streams; long rows have more of them, as long as ``steps`` windows remain, since wide steps cost less a token.
     """
-    p = net.unpack(flat.copy())
-    first = {n: np.zeros_like(x) for n, x in p.items()}
-    second = {n: np.zeros_like(x) for n, x in p.items()}
+    flat = flat.copy()
+    slopes, first, second = np.zeros_like(flat), np.zeros_like(flat), np.zeros_like(flat)
+    p, grads = net.unpack(flat), net.unpack(slopes)
     begun = np.zeros(len(slots_of), bool)
     begun[np.cumsum(lengths) - lengths] = True
     least, most = together
@@ -179,27 +252,48 @@ def train(net: Network, flat: np.ndarray, slots_of: np.ndarray, lengths: np.ndar
         at = np.arange(t, min(t + width, each))[:, None] + each * np.arange(together)
         on = at < len(slots_of)
         at = np.where(on, at, 0)
-        _, grads, h = net.slope(p, slots_of[at], on, h, begun[at])
+        slopes[:] = 0
+        h = net.slope(p, slots_of[at], on, h, begun[at], grads)[2]
         count = np.float32(on.sum())
         if not count:
             continue
-        for name, g in grads.items():
-            g /= count
-            first[name] += np.float32(.1) * (g - first[name])
-            second[name] += np.float32(.01) * (g * g - second[name])
-            p[name] += np.float32(rate) * (first[name] / np.float32(1 - .9**step)) / (np.sqrt(second[name] / np.float32(1 - .99**step)) + np.float32(1e-6))
-    return net.pack(p)
+        slopes /= count
+        change = slopes - first
+        change *= np.float32(.1)
+        first += change
+        np.multiply(slopes, slopes, change)
+        change -= second
+        change *= np.float32(.01)
+        second += change
+        np.divide(first, np.float32(1 - .9**step), change)
+        change *= np.float32(rate)
+        size = second / np.float32(1 - .99**step)
+        np.sqrt(size, size)
+        size += np.float32(1e-6)
+        change /= size
+        flat += change
+    return flat
 
 
 def log_probs(net: Network, p, slots_of: np.ndarray, lengths: np.ndarray, together: int = 512, width: int = 32) -> np.ndarray:
-    """Natural log probability of each token of each whole sequence, laid out as in ``train``."""
-    out, begins = np.empty(len(slots_of)), np.cumsum(lengths) - lengths
-    for who in _blocks(lengths, together):
-        h = np.zeros((len(who), net.state), np.float32)
-        for at, on, n in windows(lengths[who], begins[who], width):
-            slots = slots_of[at]
-            before, h = net.run(p, slots, h[:n])
-            out[at[on]] = net.log_prob(p, before[on], slots[on])[0]
+    """Natural log probability of each token of each whole sequence, laid out as in ``train``.
+
+    Sequences run in lanes, so that a long one has others beside it until its end.
+    """
+    out = np.empty(len(slots_of), np.float32)
+    if not len(lengths):
+        return out
+    docs, sizes = lanes(lengths, together)
+    begins, ends = np.cumsum(sizes) - sizes, np.cumsum(lengths[docs])
+    places = np.arange(len(slots_of)) + np.repeat((np.cumsum(lengths) - lengths)[docs] - ends + lengths[docs], lengths[docs])
+    begun = np.zeros(len(slots_of), bool)
+    begun[ends - lengths[docs]] = True
+    laid, gates = slots_of[places], net.gates(p)
+    h = np.zeros((len(sizes), net.state), np.float32)
+    for at, on, n in windows(sizes, begins, width):
+        slots = laid[at]
+        before, h = net.run(p, slots, h[:n], None, begun[at], gates)
+        out[places[at[on]]] = net.log_prob(p, before[on], slots[on])[0]
     return out
 
 
@@ -231,7 +325,7 @@ def _averaged(spark, net: Network, flat: np.ndarray, chosen: DataFrame, text: st
         get, data, size = slots.get, [], 0
         for batch in batches:
             for x in text_bytes(batch, text):
-                data.append(np.array([get(w, OTHER_SLOT) for w in tokens_of(x)], np.int32))
+                data.append(np.fromiter(map(get, tokens_of(x), repeat(OTHER_SLOT)), np.int32))
                 if (size := size + len(data[-1])) > 4_000_000:  # a task's texts are trained on in turns of bounded size
                     start = train(net, start, np.concatenate(data), np.array([*map(len, data)]))
                     yield packed(start, size)
@@ -316,11 +410,11 @@ def score(docs: DataFrame, keep: list[str], learnable, text: str = "text", state
         plain = (1 - trust) * np.where(unslotted, 1.0, 10.0**log_count) / divisor
         gain, extra = trust / np.where(unslotted, other, 1.0), np.where(unslotted, log_count, 0.0)
         for whole in batches:
-            for batch in slices(whole, text, 4_000_000):
+            for batch in slices(whole, text, 16_000_000):
                 numbers, rares, times = [], [], []
                 for x in text_bytes(batch, text):
                     words = tokens_of(x)
-                    numbers.append(np.array([get(w, missing) for w in words], np.int32))
+                    numbers.append(np.fromiter(map(get, words, repeat(missing)), np.int32, len(words)))
                     rare = Counter(words[i] for i in np.flatnonzero(numbers[-1] == missing).tolist())
                     rares.append(list(rare))
                     times.append(list(rare.values()))

@@ -71,6 +71,25 @@ def test_state_is_carried(monkeypatch):
     assert np.allclose(a, b, atol=1e-4)
 
 
+def test_long_texts_run_beside_others():
+    net = lm.Network(4, 2, 3)
+    p = net.fresh(np.ones(6))
+    rng = np.random.default_rng(6)
+    n = np.array([32] * 15 + [320] + [32] * 15)
+    data = [rng.integers(0, 6, x).astype(np.int32) for x in n]
+    alone = np.concatenate([lm.log_probs(net, p, x, np.array([len(x)])) for x in data])
+    steps = []
+    run = net.run
+    net.run = lambda p, slots, *rest: (steps.append(len(slots)), run(p, slots, *rest))[1]
+    assert np.allclose(lm.log_probs(net, p, np.concatenate(data), n, together=4), alone, atol=1e-5)
+    assert sum(steps) == 320  # in blocks of four texts each it would be 544
+
+
+def test_sums_round_like_rows():
+    x = np.random.default_rng(7).standard_normal((50, 32)).astype(np.float32)
+    assert (lm._sum(np.ascontiguousarray(x.T)) == x.sum(1)).all()
+
+
 def test_training_beats_counts(spark, sf):
     out = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"], lm.not_held_out(), share=1.0)
     held = out.where(F.coalesce(toxicity.remainder("doc_id", 5) == 1, F.lit(False))).agg(F.sum("score"), F.sum("base_score")).first()
