@@ -12,6 +12,8 @@ import re
 from itertools import accumulate, chain, islice
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 
 #: The characters with the Unicode property White_Space.
@@ -60,42 +62,53 @@ class ChunkCoder:
         cut = [self.cut(" " + c) for c in chunks]
         return list(chain.from_iterable(cut)), list(accumulate(map(len, cut), initial=0))
 
-    def prepare(self, data: list[str]) -> list[list[str]]:
-        """Cut texts into chunks and learn every new chunk of all of them together."""
+    def prepare(self, data: list[str]) -> tuple[list[bytes | bool], np.ndarray, np.ndarray, np.ndarray]:
+        """Cut texts into chunks and learn every new chunk of all of them together.
+
+        Ids of each distinct chunk, whether a text that has it is cut by the slower rule, the chunks of all texts in a row by number, and where each text's begin.
+        """
         if len(self.chunks) > self.most:
             self.chunks = dict(islice(self.chunks.items(), self.most // 2))
         if len(self.known) > self.most:
             self.known = dict(islice(self.known.items(), self.most // 2))
-        parts = [x.split(" ") for x in data]
+        # Arrow splits the texts and numbers their chunks, so that each chunk of them is looked up once; a first chunk has no space before it
+        parts = pc.split_pattern(pa.array(data, pa.large_string()), " ")
+        coded = parts.flatten().dictionary_encode()
+        begins = parts.offsets.to_numpy()
+        found = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+        at = coded.indices.to_numpy().astype(np.int64)
+        heads = [found[i] for i in at[begins[:-1]].tolist()]
+        at[begins[:-1]] = len(found) + np.arange(len(data))
         chunks = self.chunks
-        new: set[str] = set()
-        for p in parts:
-            new.update(p[1:])
-        new.difference_update(chunks)
+        held = np.zeros(len(found), bool)
+        held[at[at < len(found)]] = True  # a chunk that only begins texts is not learned
+        new = [c for c, h in zip(found, held.tolist()) if h and c not in chunks]
         regular = []
         for c in new:
             if not c or c[0].isspace() or c[-1].isspace():
                 chunks[c] = False  # beside another space: such texts are cut by the slower rule
             else:
                 regular.append(c)
-        pieces, begins = self._cut_chunks(regular)
-        self._learn(chain(pieces, *[self.cut(p[0]) for p in parts]))
-        coded = list(map(self.known.__getitem__, pieces))
-        for c, a, b in zip(regular, begins, begins[1:]):
-            chunks[c] = coded[a] if b - a == 1 else b"".join(coded[a:b])
-        return parts
+        pieces, cuts = self._cut_chunks(regular)
+        firsts = [self.cut(h) for h in heads]
+        self._learn(chain(pieces, *firsts))
+        ids = list(map(self.known.__getitem__, pieces))
+        for c, a, b in zip(regular, cuts, cuts[1:]):
+            chunks[c] = ids[a] if b - a == 1 else b"".join(ids[a:b])
+        values = [chunks[c] if h else b"" for c, h in zip(found, held.tolist())]
+        odd = np.array([*(v is False for v in values), *(h[-1:].isspace() for h in heads)], bool)
+        values += [b"".join(map(self.known.__getitem__, f)) for f in firsts]
+        return values, odd, at, begins
 
     def ids(self, data: list[str]) -> list[bytes]:
-        out = []
-        for x, p in zip(data, self.prepare(data)):
-            if p[0][-1:].isspace():
-                out.append(self._slow(x))
-                continue
-            try:
-                out.append(b"".join([*map(self.known.__getitem__, self.cut(p[0])), *map(self.chunks.__getitem__, p[1:])]))
-            except TypeError:  # a chunk is False, which can't be joined
-                out.append(self._slow(x))
-        return out
+        if not data:
+            return []
+        values, odd, at, begins = self.prepare(data)
+        slow = np.add.reduceat(odd[at], begins[:-1]) > 0  # a text has one chunk at least
+        laid = pa.array([v or b"" for v in values], pa.large_binary()).take(pa.array(at))
+        ends = np.frombuffer(laid.buffers()[1], np.int64)[begins].tolist()
+        flat = memoryview(laid.buffers()[2] or b"")
+        return [self._slow(x) if s else bytes(flat[a:b]) for x, s, a, b in zip(data, slow.tolist(), ends, ends[1:])]
 
     def _slow(self, x: str) -> bytes:
         first, *rest = _SAFE.split(x)

@@ -13,6 +13,7 @@ import os
 import uuid
 import zlib
 from dataclasses import dataclass
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -68,23 +69,27 @@ def _library_coder(vocabulary: str, pattern: str, kind: str) -> LibraryCoder:
 
         tokenizer = Tokenizer.from_str(vocabulary)
         tokenize = tokenizer.model.tokenize
-        letters = byte_letters()
-
-        space = letters[32]
-
-        def lettered(p: str) -> str:
-            if p[1:].isalnum() and p.isascii() and p[0] == " ":  # nearly all pieces: a space and a word
-                return space + p[1:]
-            return p.encode().decode("latin-1").translate(letters)
+        number = attrgetter("id")
 
         def encode(pieces):
-            return [[t.id for t in tokenize(lettered(p))] for p in pieces]
+            return [list(map(number, tokenize(x))) for x in lettered(pieces)]
 
         added = [t["content"] for t in json.loads(vocabulary).get("added_tokens", ())]
         _CODERS[key] = LibraryCoder(pattern, encode, kind, lambda x: tokenizer.encode(x, add_special_tokens=False).ids, added)
     return _CODERS[key]
 
 
+def lettered(pieces: list[str]) -> list[str]:
+    """Pieces in the letters of byte-level vocabularies; the byte 255, which UTF-8 never has, stands between them meanwhile."""
+    if not pieces:
+        return []
+    whole = b"\xff".join(map(str.encode, pieces)).decode("latin-1")
+    for byte, letter in byte_letters().items():
+        if chr(byte) != letter:
+            whole = whole.replace(chr(byte), letter)
+    return whole.split("\xff")
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter that byte-level vocabularies write for each byte.
 

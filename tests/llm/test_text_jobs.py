@@ -232,3 +232,28 @@ def test_new_chunks_are_cut_at_once(pattern):
     assert [np.frombuffer(x, "<u2").astype(np.uint8).tobytes().decode() for x in code.ids(data)] == data
     if pattern is None:
         assert len(calls) <= 2 * len(data) + 10
+
+
+def test_a_chunk_is_looked_up_once_a_batch():
+    import public_tokenizers
+    from riskloom.llm.pieces import ChunkCoder
+
+    class Counted(dict):
+        n = 0
+
+        def __getitem__(self, key):
+            self.n += 1
+            return super().__getitem__(key)
+
+    code = ChunkCoder(public_tokenizers.PATTERN, lambda words: [list(w.encode()) for w in words], "<u2")
+    code.chunks = Counted()
+    data = ["of the of " * 500 + "end", "", "the  odd of", "of", " of the", "a \n"]
+    assert [bytes(x[::2]).decode() for x in code.ids(data)] == data
+    assert code.chunks.n <= 10
+
+
+def test_pieces_are_lettered_together():
+    letters = token_files.byte_letters()
+    pieces = [" the", "ÿ", "\x00\xad\n", " Ġé日\U0001f600", "", "\x7f\x85\xa0"]
+    assert token_files.lettered(pieces) == [p.encode().decode("latin-1").translate(letters) for p in pieces]
+    assert token_files.lettered([]) == []
