@@ -27,6 +27,8 @@ from riskloom.session import materialize
 LABEL = "hallucination_label"
 #: gamma is a loss reduction summed over a node's rows, minInfoGain a mean per row: taken as that of a node of 1,000 rows.
 GAIN_PER_GAMMA = 1 / 1000
+#: A fit has some hundred short stages, so its tasks get about as many rows as pay for their start.
+ROWS_PER_TASK = 100_000
 
 
 @dataclass
@@ -120,12 +122,13 @@ def fit_many(stored: DataFrame, jobs: dict[str, tuple[Column | None, list[str]]]
              spec: BoosterSpec = BoosterSpec(), parallelism: int = 4, seed: int = SEED) -> dict[str, RiskModel]:
     """A model for each job, which is a condition on the rows (or None) and the columns to read.
 
-    ``stored`` is a ``training_matrix``: each fit reads it once, its own rows and columns only.
+    ``stored`` is a ``training_matrix``: each fit reads it once, its own rows and columns only.  Its tasks follow the number
+    of its rows, not that of the matrix's files, since every level of every tree starts them again.
     """
     def job(rows: Column | None, columns: list[str]) -> Callable:
         def fit() -> RiskModel:
             own = stored if rows is None else stored.filter(rows)
-            ready = assemble(own, columns).select(label, "features", "is_validation", "weight")
+            ready = assemble(own, columns).select(label, "features", "is_validation", "weight").coalesce(max(1, math.ceil(own.count() / ROWS_PER_TASK)))
             return RiskModel(booster(spec, label, seed).fit(ready), list(columns), label, spec)
 
         return fit

@@ -2,6 +2,7 @@
 
 import json
 import math
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from riskloom.config import BoosterSpec
 from riskloom.functions import distributions as D
 from riskloom.operators import metrics, modeling, stats
 from riskloom.plans import pipeline
+from riskloom.session import materialize
 
 
 @pytest.mark.parametrize("t, dof, p", [
@@ -226,3 +228,14 @@ def test_research_questions(table):
     assert sum(r.n for r in out.terciles.collect()) == df.filter("num_entities > 0").count()
     document = json.loads(out.document.first().document)
     assert len(document["ablation_study"]) == 5 and len(document["top_correlated_features"]) == 4
+
+
+def test_tasks_of_a_fit_follow_its_rows(spark, monkeypatch):
+    rows = spark.range(600).repartition(16).selectExpr("id % 2 AS y", "id * 1.0 AS x", "id % 3 = 0 AS is_validation", "1.0 AS weight", "id % 4 AS part")
+    stored, tasks = materialize(rows, "many-files"), []
+    monkeypatch.setattr(modeling, "booster", lambda *_: SimpleNamespace(fit=lambda ready: tasks.append((ready.count(), ready.rdd.getNumPartitions()))))
+    jobs = {"all": (None, ["x"]), "one": (F.col("part") == 1, ["x"])}
+    modeling.fit_many(stored, jobs, "y", parallelism=1)
+    monkeypatch.setattr(modeling, "ROWS_PER_TASK", 200)
+    modeling.fit_many(stored, jobs, "y", parallelism=1)
+    assert stored.rdd.getNumPartitions() > 3 and tasks == [(600, 1), (150, 1), (600, 3), (150, 1)]
