@@ -145,7 +145,7 @@ class Network:
         d = np.zeros_like(h)
         gates = np.empty((*slots.shape, 3 * n), np.float32)
         fresh = np.empty_like(before)
-        back = np.ascontiguousarray(p["loop"].T)
+        back = p["loop"].T
         some = np.zeros(len(slots), bool) if starts is None else starts.any(1)
         for t in range(len(slots) - 1, -1, -1):
             h0, r, z, new, gn = steps[t]
