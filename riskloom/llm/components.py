@@ -26,12 +26,13 @@ def _pointed(edges: DataFrame, both_ways: bool) -> DataFrame:
     return out.where("a > b").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, in_file: int = 100_000) -> DataFrame:
     """(node, root) of every node of ``edges`` (two long columns a, b); the root is the least node.
 
     Large-star and small-star steps alternate until a round leaves the table as it is, which
     takes a number of rounds that grows with the logarithm of the largest component.  Every round is
-    written to the shared folder; only a count and a checksum reach the driver.
+    written to the shared folder; only a count and a checksum reach the driver.  A round has at most one file for each
+    ``in_file`` edges of the round before, as every file costs each executor time and processes of its own.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     before = None
@@ -42,5 +43,5 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
                 now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before, last = mark, now
-        now = materialize(_pointed(_pointed(now, True), False), "edges")
+        now = materialize(_pointed(_pointed(now, True), False).coalesce(-(-mark["n"] // in_file)), "edges")
         drop_stage(last)

@@ -116,3 +116,18 @@ def test_components_of_a_long_chain(spark):
     edges = spark.range(1, 300).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b")).union(spark.createDataFrame([(900, 901), (5, 5)], "a long, b long"))
     roots = {r.node: r.root for r in components(edges).collect()}
     assert roots == {**{i: 0 for i in range(300)}, 900: 900, 901: 900}
+
+
+def test_rounds_of_few_edges_have_few_files(spark, monkeypatch):
+    from riskloom.llm import components as C
+
+    files, store = [], C.materialize
+    monkeypatch.setattr(C, "materialize", lambda df, stem: (out := store(df, stem), files.append(len(out.inputFiles())))[0])
+    kept = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        edges = spark.createDataFrame([(i, i + 1) for i in range(100)], "a long, b long")
+        assert {r.root for r in C.components(edges).collect()} == {0}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", kept)
+    assert len(files) > 2 and set(files[1:]) == {1}
