@@ -3,26 +3,55 @@
 from __future__ import annotations
 
 import heapq
-from collections import Counter
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.common import LOWER, slices, text_bytes
+from riskloom.llm.common import LOWER, slices
 from riskloom.llm.toxicity import remainder
 from riskloom.session import materialize
 
 END = b""  # no word is empty
 END_SLOT, OTHER_SLOT = 0, 1
+CUT_AT_ONCE = 8_000_000  # bytes of texts
 
 
 def tokens_of(text: bytes) -> list[bytes]:
     return [*text.translate(LOWER).split(), END]
 
 
+def tokens_in(batch: pa.RecordBatch, text: str) -> tuple[pa.Array, np.ndarray]:
+    """What ``tokens_of`` gives for each text (null: empty), in a row, and the number of tokens of each."""
+    column = batch.column(batch.schema.get_field_index(text))
+    column = column.take(pa.array(np.arange(len(column))))  # Arrow's lower-casing reads a cast slice at the wrong place
+    column = pc.cast(column, options=pc.CastOptions(pa.large_string(), allow_invalid_utf8=True))
+    solid = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(column, "")))
+    # a space at its end has a text end in an empty token; an empty text is one
+    after = pc.if_else(pc.equal(pc.binary_length(solid), 0), pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string()))
+    parts = pc.ascii_split_whitespace(pc.binary_join_element_wise(solid, after, pa.scalar("", pa.large_string())))
+    return parts.flatten(), parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def places_in(tokens: pa.Array, words: list[bytes]) -> np.ndarray:
+    """The place of each token in ``words``, -1 where it is none of them."""
+    return pc.fill_null(pc.index_in(tokens, pa.array(words, pa.large_binary()).view(pa.large_string())), -1).to_numpy()
+
+
+def rare_in(tokens: pa.Array, lengths: np.ndarray, at: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Of the tokens at the places ``at``: each text's own, once, and how often it has them."""
+    coded = tokens.take(pa.array(at)).dictionary_encode()
+    n = max(len(coded.dictionary), 1)
+    of = np.searchsorted(np.cumsum(lengths), at, side="right")
+    pair, times = np.unique(of * n + coded.indices.to_numpy(), return_counts=True)
+    doc, word = np.divmod(pair, n)
+    edges = pa.array(np.searchsorted(doc, np.arange(len(lengths) + 1)), pa.int32())
+    return (pa.ListArray.from_arrays(edges, coded.dictionary.take(pa.array(word)).cast(pa.binary())),
+            pa.ListArray.from_arrays(edges, pa.array(times, pa.int64())))
+
+
 class Network:
     """Parameters by name, float32.
 
@@ -61,9 +90,12 @@ class Network:
         return out
 
     def gates(self, p) -> tuple[np.ndarray, np.ndarray]:
-        """The table with the gate bias in it, and the loop, gate by gate."""
+        """The table with the gate bias in it, and the loop, gate by gate, those of the first two gates negated."""
         parts = (p["table"] + p["gate_bias"], p["loop"])
-        return tuple(np.ascontiguousarray(x.reshape(len(x), 3, self.state).transpose(1, 0, 2)) for x in parts)
+        parts = tuple(np.ascontiguousarray(x.reshape(len(x), 3, self.state).transpose(1, 0, 2)) for x in parts)
+        for x in parts:
+            np.negative(x[:2], x[:2])
+        return parts
 
     def run(self, p, slots: np.ndarray, h: np.ndarray, keep: list | None = None, starts: np.ndarray | None = None, gates=None):
         """States before each step of a (time, sequence) table of slots, and the state after the last.
@@ -74,22 +106,22 @@ class Network:
         before = np.empty((*slots.shape, self.state), np.float32)
         x = table.take(slots, axis=1)
         some = np.zeros(len(slots), bool) if starts is None else starts.any(1)
+        before[:1] = h
         for t in range(len(slots)):
+            h = before[t]
             if some[t]:
-                h = np.where(starts[t][:, None], np.float32(0), h)
-            before[t] = h
+                h[starts[t]] = 0
             g = h @ loop
             rz, new = g[:2], x[2, t]
             rz += x[:2, t]
-            np.negative(rz, rz)
             np.exp(rz, rz)
             rz += 1
-            r, z = np.divide(1, rz, rz)
-            new += r * g[2]
+            r, z = np.reciprocal(rz, rz)
+            new += np.multiply(r, g[2], None if keep is not None else g[2])
             np.tanh(new, new)
             if keep is not None:
                 keep.append((h, r, z, new, g[2]))
-            h = h - new
+            h = np.subtract(h, new, before[t + 1] if t + 1 < len(slots) else None)
             h *= z
             h += new
         return before, h
@@ -97,32 +129,35 @@ class Network:
     def log_prob(self, p, states: np.ndarray, slots: np.ndarray, grads: dict | None = None):
         """Natural log of P(class | state) P(word | class, state) for rows of states, and with ``grads`` the slope at the states."""
         kind = slots // self.width
-        logits = states @ p["to_class"]
-        logits += p["class_bias"]
+        logits = p["to_class"].T @ states.T
+        logits += p["class_bias"][:, None]
         out, d = _chosen(logits, kind, grads is not None)
         back = None
         if grads is not None:
-            grads["to_class"] += states.T @ d
-            grads["class_bias"] += d.sum(0)
-            back = d @ p["to_class"].T
+            grads["to_class"] += states.T @ d.T
+            grads["class_bias"] += d.sum(1)
+            back = d.T @ p["to_class"].T
         # rows by class, so that each class multiplies a run of them and everything else takes all rows at once
         order = np.argsort(kind.astype(np.uint16), kind="stable")
-        kind, states = kind[order], states[order]
+        kind, states = kind[order], states.take(order, axis=0)
         edges = np.searchsorted(kind, np.arange(self.classes + 1))
-        runs = [(c, slice(edges[c], edges[c + 1])) for c in np.flatnonzero(np.diff(edges)).tolist()]
-        logits = np.empty((len(order), self.width), np.float32)
+        some = np.flatnonzero(np.diff(edges))
+        runs = [(c, slice(edges[c], edges[c + 1])) for c in some.tolist()]
+        logits = np.empty((self.width, len(order)), states.dtype)
         for c, at in runs:
-            np.matmul(states[at], p["to_word"][c], out=logits[at])
-            logits[at] += p["word_bias"][c]
+            np.matmul(p["to_word"][c].T, states[at].T, out=logits[:, at])
+        logits += np.repeat(p["word_bias"][some].T, np.diff(edges)[some], axis=1)
         value, d = _chosen(logits, slots[order] - kind * self.width, grads is not None)
         out[order] += value
-        if grads is not None:
+        if grads is not None and runs:
             into = np.empty_like(states)
             for c, at in runs:
-                grads["to_word"][c] += states[at].T @ d[at]
-                grads["word_bias"][c] += d[at].sum(0)
-                np.matmul(d[at], p["to_word"][c].T, out=into[at])
-            back[order] += into
+                grads["to_word"][c] += states[at].T @ d[:, at].T
+                np.matmul(d[:, at].T, p["to_word"][c].T, out=into[at])
+            grads["word_bias"][some] += np.add.reduceat(d, edges[some], axis=1).T
+            place = np.empty_like(order)
+            place[order] = np.arange(len(order))
+            back += into.take(place, axis=0)
         return out, back
 
     def slope(self, p, slots: np.ndarray, on: np.ndarray, h: np.ndarray, starts: np.ndarray | None = None, grads: dict | None = None):
@@ -143,9 +178,10 @@ class Network:
             into = np.zeros_like(before)
             into[on] = at_states
         d = np.zeros_like(h)
-        gates = np.empty((*slots.shape, 3 * n), np.float32)
-        fresh = np.empty_like(before)
-        back = p["loop"].T
+        # slopes gate by gate; the last is that of the new state's table part, and ``looped`` that of its loop part
+        gates = np.empty((3, *slots.shape, n), before.dtype)
+        looped = np.empty_like(before)
+        back = [np.ascontiguousarray(p["loop"][:, k * n : (k + 1) * n].T) for k in range(3)]
         some = np.zeros(len(slots), bool) if starts is None else starts.any(1)
         for t in range(len(slots) - 1, -1, -1):
             h0, r, z, new, gn = steps[t]
@@ -153,29 +189,61 @@ class Network:
             dz = h0 - new
             dz *= d
             dz *= z
-            np.multiply(dz, rest, out=gates[t, :, n : 2 * n])
+            np.multiply(dz, rest, out=gates[1, t])
             rest *= d
             new *= new
-            dn = np.multiply(rest, np.subtract(1, new, new), out=fresh[t])
-            np.multiply(dn, r, out=gates[t, :, 2 * n :])
+            dn = np.multiply(rest, np.subtract(1, new, new), out=gates[2, t])
+            np.multiply(dn, r, out=looped[t])
             gn *= dn
             gn *= r
-            np.multiply(gn, np.subtract(1, r, r), out=gates[t, :, :n])
-            grads["loop"] += h0.T @ gates[t]
-            d = d * z
-            d += gates[t] @ back
+            np.multiply(gn, np.subtract(1, r, r), out=gates[0, t])
+            d *= z
+            d += gates[0, t] @ back[0]
+            d += gates[1, t] @ back[1]
+            d += looped[t] @ back[2]
             d += into[t]
             if some[t]:
                 d[starts[t]] = 0
-        gates[:, :, 2 * n :] = fresh
         flat = slots.ravel()
         order = np.argsort(flat.astype(np.uint16) if self.classes * self.width <= 1 << 16 else flat, kind="stable")
         first = np.flatnonzero(np.diff(flat[order], prepend=-1))
-        grads["table"][flat[order[first]]] = np.add.reduceat(gates.reshape(-1, gates.shape[2])[order], first)
-        grads["gate_bias"] += gates.sum((0, 1))
+        sums = _run_sums(first, len(order))
+        states = before.reshape(-1, n).T
+        for k, x in enumerate((gates[0], gates[1], looped)):
+            at = slice(k * n, (k + 1) * n)
+            grads["loop"][:, at] += states @ x.reshape(-1, n)
+            table = sums(gates[k].reshape(-1, n).take(order, axis=0))
+            grads["table"][flat[order[first]], at] = table
+            grads["gate_bias"][at] += table.sum(0)
         return float(value.sum()), grads, after
 
 
+def _run_sums(first: np.ndarray, n: int, long: int = 24):
+    """A function that sums each run of ``n`` rows; ``first`` has where runs begin.
+
+    Runs of over ``long`` rows are summed one by one, the others side by side: first all first rows, then all second ones, and so on.
+    """
+    sizes = np.diff(first, append=n)
+    ones = np.ones(n, np.float32)
+    alone = [(i, slice(first[i], first[i] + sizes[i])) for i in np.flatnonzero(sizes > long).tolist()]
+    rest = np.flatnonzero(sizes <= long)
+    rest = rest[np.argsort(-sizes[rest], kind="stable")]
+    begins, least = first[rest], -sizes[rest]
+    turns = [begins[: np.searchsorted(least, -k, side="left")] + k for k in range(1, -least[0] if len(rest) else 0)]
+
+    def sums(rows: np.ndarray) -> np.ndarray:
+        out = np.empty((len(first), rows.shape[1]), rows.dtype)
+        for i, at in alone:
+            out[i] = ones[: at.stop - at.start] @ rows[at]
+        short = rows.take(begins, axis=0)
+        for at in turns:
+            short[: len(at)] += rows.take(at, axis=0)
+        out[rest] = short
+        return out
+
+    return sums
+
+
 def _sum(x: np.ndarray) -> np.ndarray:
     """Sums of the columns, rounded like numpy's sums of rows that lie one after another."""
     if len(x) % 8:
@@ -186,9 +254,8 @@ def _sum(x: np.ndarray) -> np.ndarray:
     return x[0]
 
 
-def _chosen(logits: np.ndarray, which: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
-    """Log of the softmax of each row at its place of ``which``, and its slope at the logits."""
-    by_place = np.ascontiguousarray(logits.T)
+def _chosen(by_place: np.ndarray, which: np.ndarray, slope: bool) -> tuple[np.ndarray, np.ndarray | None]:
+    """Log of the softmax of each column of logits at its place of ``which``, and its slope at the logits, which it overwrites."""
     by_place -= by_place.max(0)
     at = which * np.int64(len(which)) + np.arange(len(which))
     flat = by_place.reshape(-1)
@@ -201,7 +268,7 @@ def _chosen(logits: np.ndarray, which: np.ndarray, slope: bool) -> tuple[np.ndar
     by_place /= total
     np.negative(by_place, by_place)
     flat[at] += 1
-    return out, np.ascontiguousarray(by_place.T)
+    return out, by_place
 
 
 def lanes(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -300,20 +367,26 @@ def log_probs(net: Network, p, slots_of: np.ndarray, lengths: np.ndarray, togeth
 def word_counts(docs: DataFrame, text: str = "text", most: int = 400_000) -> DataFrame:
     """(word, c) over every token of every text; counts fold in each task before they move."""
     def run(batches):
-        held: Counter = Counter()
-        for batch in batches:
-            for x in text_bytes(batch, text):
-                held.update(tokens_of(x))
-                if len(held) > most:
-                    yield packed(held)
-                    held = Counter()
+        held: list[pa.Table] = []
+        for whole in batches:
+            for batch in slices(whole, text, CUT_AT_ONCE):
+                found = tokens_in(batch, text)[0].value_counts()
+                held.append(pa.table({"word": found.field("values").view(pa.large_binary()), "c": found.field("counts")}))
+                if sum(map(len, held)) > most:
+                    held = [folded(held)]
+                    if len(held[0]) > most:
+                        yield from packed(held[0])
+                        held = []
         if held:
-            yield packed(held)
+            yield from packed(folded(held))
+
+    def folded(held):
+        return pa.concat_tables(held).group_by("word", use_threads=False).aggregate([("c", "sum")]).rename_columns({"c_sum": "c"})
 
-    def packed(held):
-        return pa.RecordBatch.from_arrays([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["word", "c"])
+    def packed(counts):
+        return counts.select(["word", "c"]).cast(pa.schema([("word", pa.binary()), ("c", pa.int64())])).combine_chunks().to_batches()
 
-    return docs.select(F.col(text).alias(text)).mapInArrow(run, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    return docs.select(F.col(text).alias(text)).mapInArrow(run, "word binary, c long").repartition("word").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def _averaged(spark, net: Network, flat: np.ndarray, chosen: DataFrame, text: str, slot_of, groups: int = 16) -> np.ndarray:
@@ -321,15 +394,19 @@ def _averaged(spark, net: Network, flat: np.ndarray, chosen: DataFrame, text: st
     shared = spark.sparkContext.broadcast((flat, slot_of))
 
     def fit(batches):
-        start, slots = shared.value
-        get, data, size = slots.get, [], 0
-        for batch in batches:
-            for x in text_bytes(batch, text):
-                data.append(np.fromiter(map(get, tokens_of(x), repeat(OTHER_SLOT)), np.int32))
-                if (size := size + len(data[-1])) > 4_000_000:  # a task's texts are trained on in turns of bounded size
-                    start = train(net, start, np.concatenate(data), np.array([*map(len, data)]))
-                    yield packed(start, size)
-                    size, data = 0, []
+        start, slot_of = shared.value
+        words = list(slot_of)
+        slots = np.array([*slot_of.values(), OTHER_SLOT], np.int32)
+        data, size = [], 0
+        for whole in batches:
+            for batch in slices(whole, text, CUT_AT_ONCE):
+                tokens, lengths = tokens_in(batch, text)
+                for x in np.split(slots[places_in(tokens, words)], np.cumsum(lengths)[:-1]):
+                    data.append(x)
+                    if (size := size + len(x)) > 4_000_000:  # a task's texts are trained on in turns of bounded size
+                        start = train(net, start, np.concatenate(data), np.array([*map(len, data)]))
+                        yield packed(start, size)
+                        size, data = 0, []
         if data:
             yield packed(train(net, start, np.concatenate(data), np.array([*map(len, data)])), size)
 
@@ -401,33 +478,30 @@ def score(docs: DataFrame, keep: list[str], learnable, text: str = "text", state
         flat, known, slot_of, divisor, other = shared.value
         p = net.unpack(flat)
         # a word's number leads to its slot, its log count, and what the counts alone give; the last entry is for words that aren't held
-        number = {w: i for i, w in enumerate(known)}
-        missing = len(number)
-        get = number.get
-        slot = np.array([*(slot_of.get(w, OTHER_SLOT) for w in known), OTHER_SLOT], np.int32)
+        words, missing = list(known), len(known)
+        slot = np.array([*(slot_of.get(w, OTHER_SLOT) for w in words), OTHER_SLOT], np.int32)
         unslotted = slot == OTHER_SLOT
         log_count = np.array([*(np.log10(c + .5) for c in known.values()), 0.0])
         plain = (1 - trust) * np.where(unslotted, 1.0, 10.0**log_count) / divisor
         gain, extra = trust / np.where(unslotted, other, 1.0), np.where(unslotted, log_count, 0.0)
         for whole in batches:
-            for batch in slices(whole, text, 16_000_000):
-                numbers, rares, times = [], [], []
-                for x in text_bytes(batch, text):
-                    words = tokens_of(x)
-                    numbers.append(np.fromiter(map(get, words, repeat(missing)), np.int32, len(words)))
-                    rare = Counter(words[i] for i in np.flatnonzero(numbers[-1] == missing).tolist())
-                    rares.append(list(rare))
-                    times.append(list(rare.values()))
-                lengths = np.array([*map(len, numbers)])
-                flat_numbers = np.concatenate(numbers)
-                begins = np.cumsum(lengths) - lengths
-                chances = log_probs(net, p, slot[flat_numbers], lengths)
-                model = np.log10(gain[flat_numbers] * np.exp(chances) + plain[flat_numbers]) + extra[flat_numbers]
-                sums = [np.add.reduceat(x, begins) for x in ((flat_numbers != missing).astype(np.int64), log_count[flat_numbers], model)]
-                values = [pa.array(lengths), pa.array(sums[0]), pa.array(sums[1] - lengths * np.log10(divisor)), pa.array(sums[2]),
-                          pa.array(rares, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
-                arrays = [batch.column(batch.schema.get_field_index(c)) for c in keep] + values
-                yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "n_known", "base", "model", "rare", "times"])
+            for batch in slices(whole, text, 32_000_000):  # many lanes side by side
+                parts = []
+                for part in slices(batch, text, CUT_AT_ONCE):
+                    tokens, lengths = tokens_in(part, text)
+                    numbers = places_in(tokens, words)
+                    numbers = np.where(numbers < 0, np.int32(missing), numbers)
+                    parts.append((part, lengths, numbers, *rare_in(tokens, lengths, np.flatnonzero(numbers == missing))))
+                chances = log_probs(net, p, np.concatenate([slot[x[2]] for x in parts]), np.concatenate([x[1] for x in parts]))
+                end = 0
+                for part, lengths, numbers, rares, times in parts:
+                    end += len(numbers)
+                    begins = np.cumsum(lengths) - lengths
+                    model = np.log10(gain[numbers] * np.exp(chances[end - len(numbers) : end]) + plain[numbers]) + extra[numbers]
+                    sums = [np.add.reduceat(x, begins) for x in ((numbers != missing).astype(np.int64), log_count[numbers], model)]
+                    values = [pa.array(lengths), pa.array(sums[0]), pa.array(sums[1] - lengths * np.log10(divisor)), pa.array(sums[2]), rares, times]
+                    arrays = [part.column(part.schema.get_field_index(c)) for c in keep] + values
+                    yield pa.RecordBatch.from_arrays(arrays, names=[*keep, "n_tokens", "n_known", "base", "model", "rare", "times"])
 
     scored = materialize(rows.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id()), "scored")
     rare = scored.select("__row", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("__row", F.col("r.rare").alias("w"), F.col("r.times").alias("k"))

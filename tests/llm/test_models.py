@@ -6,6 +6,7 @@ from collections import Counter
 from itertools import product
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -90,6 +91,25 @@ def test_sums_round_like_rows():
     assert (lm._sum(np.ascontiguousarray(x.T)) == x.sum(1)).all()
 
 
+def test_tokens_of_whole_batches(spark, odd_rows):
+    batch = pa.RecordBatch.from_arrays([pa.array([r[1] for r in odd_rows] + ["", " ", "\x00 A\x0bb\r"], pa.string())], names=["text"])
+    for part in (batch, batch.slice(5), batch.slice(7, 1)):
+        want = [lm.tokens_of((x or "").encode()) for x in part.column(0).to_pylist()]
+        tokens, n = lm.tokens_in(part, "text")
+        assert [x.encode() for x in tokens.to_pylist()] == [w for x in want for w in x] and n.tolist() == [*map(len, want)]
+        assert lm.places_in(tokens, [b"the", b""]).tolist() == [{b"the": 0, b"": 1}.get(w, -1) for x in want for w in x]
+        at = np.flatnonzero([w != b"the" for x in want for w in x])
+        words, times = lm.rare_in(tokens, n, at)
+        assert [dict(zip(*x)) for x in zip(words.to_pylist(), times.to_pylist())] == [dict(Counter(w for w in x if w != b"the")) for x in want]
+
+
+def test_sums_of_runs():
+    rng = np.random.default_rng(8)
+    sizes = np.array([40, 1, 3, 24, 25, 2, 1])
+    rows, first = rng.standard_normal((sizes.sum(), 5)).astype(np.float32), np.cumsum(sizes) - sizes
+    assert np.allclose(lm._run_sums(first, len(rows))(rows), np.add.reduceat(rows, first), atol=1e-5)
+
+
 def test_training_beats_counts(spark, sf):
     out = lm.score(spark.read.parquet(f"{sf}/documents.parquet"), ["doc_id"], lm.not_held_out(), share=1.0)
     held = out.where(F.coalesce(toxicity.remainder("doc_id", 5) == 1, F.lit(False))).agg(F.sum("score"), F.sum("base_score")).first()
