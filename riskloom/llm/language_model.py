@@ -352,7 +352,9 @@ def log_probs(net: Network, p, slots_of: np.ndarray, lengths: np.ndarray, togeth
         return out
     docs, sizes = lanes(lengths, together)
     begins, ends = np.cumsum(sizes) - sizes, np.cumsum(lengths[docs])
-    places = np.arange(len(slots_of)) + np.repeat((np.cumsum(lengths) - lengths)[docs] - ends + lengths[docs], lengths[docs])
+    kind = np.int32 if len(slots_of) < 1 << 31 else np.int64
+    places = np.repeat(((np.cumsum(lengths) - lengths)[docs] - ends + lengths[docs]).astype(kind), lengths[docs])
+    places += np.arange(len(places), dtype=kind)
     begun = np.zeros(len(slots_of), bool)
     begun[ends - lengths[docs]] = True
     laid, gates = slots_of[places], net.gates(p)
